@@ -15,6 +15,10 @@ LOG_LINE = (
 )
 LOG_MODEL = r"model='([^']+)'"
 
+TRAILING_COMMA = r",\s*([\}\]])"
+
+WHITESPACE = " \t\n\r\f\v"
+
 LENIENT_JSON = {
     "allowSingleQuotes": "true",
     "allowUnquotedFieldNames": "true",
@@ -25,22 +29,33 @@ LENIENT_JSON = {
 ANSWER_WITH_STEPS = "steps array<string>, final_response string"
 
 
+def trimmed(text: Column) -> Column:
+    """The text without white space around it."""
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
 def json_fence(text: Column) -> Column:
     """Text inside the first json code fence, else the text itself."""
     return F.when(F.rlike(text, F.lit(FENCE)), F.regexp_extract(text, FENCE, 1)).otherwise(text)
 
 
-def mended(text: Column) -> Column:
-    """The outermost braces or brackets of a text, without trailing commas."""
-    inner = F.regexp_extract(text, r"(?s)[\{\[].*[\}\]]", 0)
-    return F.regexp_replace(inner, r",\s*([\}\]])", "$1")
+def outermost(text: Column) -> Column:
+    """From the first brace or bracket of a text to the last one; empty if there is none."""
+    return F.regexp_extract(text, r"(?s)[\{\[].*[\}\]]", 0)
 
 
 def parse(text: Column, schema: str) -> Column:
-    """Lenient JSON parse; null where neither the text nor its mended form parses."""
-    return F.coalesce(
-        F.from_json(text, schema, LENIENT_JSON), F.from_json(mended(text), schema, LENIENT_JSON)
+    """Lenient JSON parse of what stands between the outermost braces or brackets.
+
+    A text that fails is tried again without trailing commas, if it has any. Null
+    where neither parses.
+    """
+    inner = outermost(text)
+    again = F.when(
+        F.rlike(inner, F.lit(TRAILING_COMMA)),
+        F.from_json(F.regexp_replace(inner, TRAILING_COMMA, "$1"), schema, LENIENT_JSON),
     )
+    return F.coalesce(F.from_json(inner, schema, LENIENT_JSON), again)
 
 
 def final_response(text: Column) -> Column:

@@ -40,8 +40,7 @@ def drop_missing(df: DataFrame, col: str = "response") -> DataFrame:
 
 def drop_blank(df: DataFrame, col: str = "response") -> DataFrame:
     """Trim a text column and drop the rows where nothing is left."""
-    trimmed = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")
-    return df.withColumn(col, trimmed).where(F.col(col) != "")
+    return df.withColumn(col, text.trimmed(F.col(col))).where(F.col(col) != "")
 
 
 def equal_to(df: DataFrame, spec: dict) -> DataFrame:
@@ -127,10 +126,25 @@ def entries_valid(entries: Column, dataset: Column, task: str = SOFT, atol: floa
     )
 
 
-def explode_entries(df: DataFrame, entries: str = "entries") -> DataFrame:
-    """One row per category, with its pred."""
-    keep = [c for c in df.columns if c != entries]
-    return df.select(*keep, F.inline(entries))
+def explode_entries(df: DataFrame, entries: Column, task: str = SOFT) -> DataFrame:
+    """One row per category with its pred and whether the whole answer is valid.
+
+    Answers without entries give no row. The parse sits in the generator alone, so
+    no filter or projection around it repeats it.
+    """
+    def rows(t: Column) -> Column:
+        return F.transform(
+            t["entries"],
+            lambda e: F.struct(
+                e["category"].alias("category"), e["pred"].alias("pred"), t["valid"].alias("is_valid_pred")
+            ),
+        )
+
+    def checked(es: Column) -> Column:
+        valid = entries_valid(es, F.col("dataset"), task)
+        return vectors.bind(F.struct(es.alias("entries"), valid.alias("valid")), rows)
+
+    return df.select("*", F.inline(vectors.bind(entries, checked)))
 
 
 def label_valid(df: DataFrame, col: str = "pred") -> Column:
@@ -176,30 +190,33 @@ def clean(
 ) -> DataFrame:
     """Raw answers to predictions in rows of (.., category, pred, is_valid_pred)."""
     df = prepared(df, with_steps)
-    df = df.withColumn("entries", prediction_entries(df, task))
-    df = drop_missing(df, "entries").where(F.size("entries") > 0)
-    df = df.withColumn("is_valid_pred", entries_valid(F.col("entries"), F.col("dataset"), task))
+    df = explode_entries(df, prediction_entries(df, task), task)
+    df = df.where(F.col("pred").isNotNull())
     if discard_invalid:
         df = drop_invalid(df, observation=observation)
-    return drop_helpers(explode_entries(with_template_alias(df)))
+    return drop_helpers(with_template_alias(df))
 
 
 def rejected(df: DataFrame, task: str = SOFT, with_steps: bool = False) -> DataFrame:
     """The answers ``clean`` leaves out, each with the reason."""
     keys = [c for c in [*EXAMPLE, "run_idx"] if c in df.columns]
-    raw = df.withColumn("__raw", F.regexp_replace("response", r"^\s+|\s+$", ""))
+    raw = df.withColumn("__raw", text.trimmed(F.col("response")))
     answer = text.json_fence(F.col("__raw"))
     raw = raw.withColumn("response", text.final_response(answer) if with_steps else answer)
-    raw = raw.withColumn("entries", prediction_entries(raw, task))
-    valid = entries_valid(F.col("entries"), F.col("dataset"), task)
+    checked = vectors.bind(
+        prediction_entries(raw, task),
+        lambda es: F.when(es.isNull() | (F.size(es) == 0), "not readable").when(
+            ~entries_valid(es, F.col("dataset"), task), "not valid"
+        ),
+    )
     reason = (
         F.when(~successful(F.col("success")), "failed")
         .when(F.col("__raw").isNull(), "no response")
         .when(F.col("__raw") == "", "blank response")
-        .when(F.col("entries").isNull() | (F.size("entries") == 0), "not readable")
-        .when(~valid, "not valid")
+        .otherwise(checked)
     )
-    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*keys, "reason")
+    found = F.explode(F.array_compact(F.array(reason))).alias("reason")
+    return raw.select(*keys, found)
 
 
 def distinct_answers(df: DataFrame, keys: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:

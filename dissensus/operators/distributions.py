@@ -137,3 +137,25 @@ def random_label_distance(annotators: DataFrame, seed: str = "0") -> DataFrame:
     return rows.groupBy(*keys).agg(
         F.avg(F.abs(F.col("pred") - F.col("target")) / (n - 1)).alias("avg_abs_dist")
     )
+
+
+def compared_shares(
+    df: DataFrame, keys: list[str], index: Column, n: int, sides: dict[str, Column]
+) -> DataFrame:
+    """Distributions of several subsets of a group side by side, in one pass.
+
+    ``sides`` maps a column name to the condition of its subset. A subset without
+    rows gives null.
+    """
+    counts = [
+        F.count_if(condition & (index == k)).alias(f"__{side}{k}")
+        for side, condition in sides.items()
+        for k in range(n)
+    ]
+    sizes = [F.count_if(condition).alias(f"__{side}n") for side, condition in sides.items()]
+    grouped = df.groupBy(*keys).agg(*counts, *sizes)
+    vector = lambda side: F.when(
+        F.col(f"__{side}n") > 0,
+        F.array(*[F.col(f"__{side}{k}") / F.col(f"__{side}n") for k in range(n)]),
+    )
+    return grouped.select(*keys, *[vector(side).alias(side) for side in sides])

@@ -62,9 +62,12 @@ def collect_metadata(rows: DataFrame, keys: list[str] | None = None) -> DataFram
 
     The list is as long as the annotator list the item row already holds.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "metadata")))
+    # Maps have no order, so their entries are sorted along with the position.
+    pairs = F.struct("pos", F.map_entries("metadata").alias("entries"))
     return rows.groupBy(*(keys or ITEM)).agg(
-        F.transform(ordered, lambda x: x["metadata"]).alias("annotator_metadata")
+        F.transform(
+            F.array_sort(F.collect_list(pairs)), lambda x: F.map_from_entries(x["entries"])
+        ).alias("annotator_metadata")
     )
 
 
