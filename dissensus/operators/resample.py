@@ -265,7 +265,7 @@ def best_with_random_ties(
 
     Only the runs that share an item's best score go into the draws.
     """
-    group = [*keys, *item]
+    group = list(dict.fromkeys([*keys, *item]))
     top = W.partitionBy(*group).orderBy(F.col(score).desc())
     tied = (
         df.select(*group, value, score, F.struct(*run).alias("__run"))

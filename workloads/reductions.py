@@ -118,12 +118,12 @@ def _(t):
 
 @query(
     "weighted_model_average", "A6",
-    """WITH w AS (SELECT dataset, split, dataset_idx, class_idx, sum(p * q) / sum(q) AS p FROM soft GROUP BY ALL)
+    """WITH w AS (SELECT dataset, split, dataset_idx, class_idx, sum(p * sqrt(q)) / sum(sqrt(q)) AS p FROM soft GROUP BY ALL)
        SELECT dataset, split, dataset_idx, class_idx, round(p, 6) AS prob FROM w""",
 )
 def _(t):
     df = t.soft.select(*ITEM, "q", "pred")
-    return long_vector(distributions.mean_vectors(df, ITEM, weight=F.col("q").cast("double")), ITEM)
+    return long_vector(distributions.mean_vectors(df, ITEM, weight=F.sqrt("q")), ITEM)
 
 
 @query(
@@ -480,8 +480,8 @@ def _(t):
 
 @query(
     "score_quintiles", "W3",
-    """WITH e AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM answers)
-       SELECT dataset, split, rid, CASE WHEN score <= q[1] THEN 'Q1' WHEN score <= q[2] THEN 'Q2' WHEN score <= q[3] THEN 'Q3' WHEN score <= q[4] THEN 'Q4' ELSE 'Q5' END AS diversity
+    """WITH e AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS e FROM answers)
+       SELECT dataset, split, rid, CASE WHEN score <= e[1] THEN 'Q1' WHEN score <= e[2] THEN 'Q2' WHEN score <= e[3] THEN 'Q3' WHEN score <= e[4] THEN 'Q4' ELSE 'Q5' END AS diversity
        FROM answers, e""",
 )
 def _(t):
@@ -704,10 +704,11 @@ def _(t):
 
 @query(
     "rater_means_by_part", "A45",
-    "SELECT part, round(avg(d), 2) AS d, round(avg(t), 2) AS t FROM answers GROUP BY ALL",
+    "SELECT part, round(avg(sqrt(d)), 2) AS d, round(avg(sqrt(t)), 2) AS t FROM answers GROUP BY ALL",
 )
 def _(t):
-    return reshape.rater_means(t.answers, "part", ["d", "t"])
+    df = t.answers.select("part", F.sqrt("d").alias("d"), F.sqrt("t").alias("t"))
+    return reshape.rater_means(df, "part", ["d", "t"])
 
 
 @query(
