@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.operators import cleaning, distributions, joins, reshape, selection, votes
-from dissensus.schemas import ITEM
+from dissensus.schemas import ANSWER, ITEM
 from dissensus.sources import submissions
 
 
-def ready_answers(raw: DataFrame, task: str) -> DataFrame:
-    """Cleaned valid answers, one per (item, run)."""
-    keys = ["dataset", "split", "dataset_idx", "run_idx"]
-    return cleaning.clean(cleaning.distinct_answers(raw, keys), task, discard_invalid=True)
+def ready_answers(raw: DataFrame, task: str, order: list[Column] | None = None) -> DataFrame:
+    """Valid predictions, of repeated answers to one (item, run) the first.
 
+    The order is by time and then by content unless one is given, so the rows of an
+    answer's categories stay together.
+    """
+    preds = cleaning.clean(raw, task, discard_invalid=True)
+    if order is None:
+        order = [F.col(c).asc_nulls_last() for c in ("timestamp",) if c in preds.columns]
+        order.append(F.xxhash64("response"))
+    return cleaning.distinct_answers(preds, [*ANSWER, "category"], order)
 
-def soft_label_table(raw: DataFrame, items: DataFrame) -> DataFrame:
+
+def soft_label_table(raw: DataFrame, items: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Mean distribution of every item in item order, checked, as text."""
-    preds = ready_answers(raw, cleaning.SOFT)
+    preds = ready_answers(raw, cleaning.SOFT, order)
     keys = [*ITEM, "category"]
     average = submissions.require_sum_to_one(distributions.mean_vectors(preds, keys))
     return in_order(submissions.as_text(average), items)

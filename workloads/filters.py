@@ -191,10 +191,10 @@ def _(t):
 @query(
     "half_correct_users", "F20",
     """SELECT event_id, user_id FROM events WHERE user_id IN (
-         SELECT user_id FROM events GROUP BY user_id HAVING 2 * count(*) FILTER (value > 14) = count(*) ORDER BY user_id LIMIT 10)""",
+         SELECT user_id FROM events GROUP BY user_id HAVING 2 * count(*) FILTER (value > 34) = count(*) ORDER BY user_id LIMIT 10)""",
 )
 def _(t):
-    df = t.events.withColumn("correct", F.col("value") > 14)
+    df = t.events.withColumn("correct", F.col("value") > 34)
     return selection.half_correct_problems(df, 10, "user_id").select("event_id", "user_id")
 
 
