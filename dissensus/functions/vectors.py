@@ -94,6 +94,35 @@ def wasserstein(p: Column, q: Column) -> Column:
     return F.when(F.size(p) == F.size(q), bind(sums, distance))
 
 
+def at(v: str, k: int) -> str:
+    """SQL of element k of a vector column, 0 behind its end."""
+    return f"coalesce(get({v}, {k}), 0D)"
+
+
+def wasserstein_up_to(p: str, q: str, sp: str, sq: str, width: int) -> Column:
+    """The distance of two vector columns of at most ``width`` classes, given their sums.
+
+    Written out class by class, it compiles to plain code; a higher-order function
+    is interpreted per element. Longer vectors take the general form.
+    """
+    def share(v: str, s: str, k: int) -> str:
+        return f"try_divide({' + '.join(at(v, i) for i in range(k + 1))}, {s})"
+
+    gaps = [f"abs({share(p, sp, k)} - {share(q, sq, k)})" for k in range(width - 1)]
+    return F.when(F.size(p) != F.size(q), F.lit(None).cast("double")).when(
+        F.size(p) <= width, F.expr(" + ".join(gaps))
+    ).otherwise(wasserstein(F.col(p), F.col(q)))
+
+
+def entropy_up_to(v: str, s: str, width: int) -> Column:
+    """Entropy of a vector column of at most ``width`` classes with the sum ``s``."""
+    terms = [f"if({at(v, k)} > 0, {at(v, k)} * ln({at(v, k)}), 0D)" for k in range(width)]
+    written_out = F.expr(f"ln({s}) - try_divide({' + '.join(terms)}, {s})")
+    return F.when(
+        F.col(s) > 0, F.when(F.size(v) <= width, written_out).otherwise(entropy(F.col(v)))
+    )
+
+
 def mean_abs_diff(p: Column, q: Column) -> Column:
     """Mean absolute difference of two arrays of the same length, else null."""
     diffs = F.zip_with(p, q, lambda a, b: F.abs(a - b).cast("double"))

@@ -219,7 +219,7 @@ def judge_requests(
     answers: DataFrame,
     kind: str,
     template: str,
-    n_items: int,
+    n_items: int | None,
     n_runs: int,
     spec: dict | None = None,
     at_random: bool = False,

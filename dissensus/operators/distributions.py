@@ -28,12 +28,13 @@ def label_shares(
 
     ``width`` is the largest number of classes that occurs.
     """
-    counts = [F.count_if(index == k).alias(f"__c{k}") for k in range(width)]
-    grouped = df.groupBy(*keys).agg(*counts, F.count(F.lit(1)).alias("__n"), F.first(n).alias("__k"))
-    vector = F.slice(
-        F.array(*[F.col(f"__c{k}") / F.col("__n") for k in range(width)]), F.lit(1), F.col("__k")
+    rows = df.withColumns({"__i": index, "__classes": n})
+    counts = [F.expr(f"count_if(__i = {k})").alias(f"__c{k}") for k in range(width)]
+    grouped = rows.groupBy(*keys).agg(
+        *counts, F.count(F.lit(1)).alias("__n"), F.first("__classes").alias("__k")
     )
-    return grouped.select(*keys, vector.alias(name))
+    shares = ", ".join(f"__c{k} / __n" for k in range(width))
+    return grouped.select(*keys, F.expr(f"slice(array({shares}), 1, __k)").alias(name))
 
 
 def soft_labels(df: DataFrame, keys: list[str] | None = None, col: str = "pred", name: str = "pred") -> DataFrame:
@@ -58,13 +59,12 @@ def mean_vectors(
 ) -> DataFrame:
     """Weighted mean of the vectors of a group, scaled to sum to 1."""
     w = F.lit(1.0) if weight is None else weight
-    sums = [F.sum(w * F.get(F.col(col), F.lit(k))).alias(f"__s{k}") for k in range(width)]
-    grouped = df.groupBy(*keys).agg(*sums, F.sum(w).alias("__w"), F.max(F.size(col)).alias("__k"))
-    mean = F.slice(
-        F.array(*[F.try_divide(F.col(f"__s{k}"), F.col("__w")) for k in range(width)]),
-        F.lit(1),
-        F.col("__k"),
+    sums = [F.expr(f"sum(__w * get(`{col}`, {k}))").alias(f"__s{k}") for k in range(width)]
+    grouped = df.withColumn("__w", w).groupBy(*keys).agg(
+        *sums, F.sum("__w").alias("__w"), F.max(F.size(col)).alias("__k")
     )
+    means = ", ".join(f"try_divide(__s{k}, __w)" for k in range(width))
+    mean = F.expr(f"slice(array({means}), 1, __k)")
     return grouped.select(*keys, (vectors.normalised(mean) if renormalise else mean).alias(col))
 
 
@@ -147,15 +147,16 @@ def compared_shares(
     ``sides`` maps a column name to the condition of its subset. A subset without
     rows gives null.
     """
+    names = {side: f"__{i}" for i, side in enumerate(sides)}
+    rows = df.withColumns({"__i": index, **{names[s]: condition for s, condition in sides.items()}})
     counts = [
-        F.count_if(condition & (index == k)).alias(f"__{side}{k}")
-        for side, condition in sides.items()
-        for k in range(n)
+        F.expr(f"count_if({c} AND __i = {k})").alias(f"{c}_{k}") for c in names.values() for k in range(n)
     ]
-    sizes = [F.count_if(condition).alias(f"__{side}n") for side, condition in sides.items()]
-    grouped = df.groupBy(*keys).agg(*counts, *sizes)
-    vector = lambda side: F.when(
-        F.col(f"__{side}n") > 0,
-        F.array(*[F.col(f"__{side}{k}") / F.col(f"__{side}n") for k in range(n)]),
-    )
-    return grouped.select(*keys, *[vector(side).alias(side) for side in sides])
+    sizes = [F.expr(f"count_if({c})").alias(f"{c}_n") for c in names.values()]
+    grouped = rows.groupBy(*keys).agg(*counts, *sizes)
+
+    def vector(c: str) -> Column:
+        shares = ", ".join(f"{c}_{k} / {c}_n" for k in range(n))
+        return F.expr(f"if({c}_n > 0, array({shares}), NULL)")
+
+    return grouped.select(*keys, *[vector(c).alias(side) for side, c in names.items()])

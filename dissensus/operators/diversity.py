@@ -9,6 +9,7 @@ from dissensus.functions import vectors
 from dissensus.operators import ordering
 from dissensus.operators.ordering import DEFAULT_LIMIT, SizeLimit
 from dissensus.schemas import ITEM
+from dissensus.session import written
 
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
@@ -28,7 +29,7 @@ def pairwise_wasserstein(
     points = df.select(*keys, F.posexplode(vectors.cumulative(F.col("pred"))).alias("class", "v"))
     counts = points.groupBy(*keys, "class", "v").agg(F.count(F.lit(1)).alias("c"))
     placed = ordering.running_total(
-        counts, [*keys, "class"], [F.col("v")], F.col("c"), "b", "n", limit
+        counts, [*keys, "class"], [F.col("v")], F.col("c"), "b", "n", limit, df.select(*keys)
     )
     copies = F.col("c") * (2 * F.col("b") + F.col("c") - F.col("n"))
     return placed.groupBy(*keys).agg(
@@ -82,7 +83,8 @@ def by_problem(df: DataFrame, keys: list[str] | None = None, by: list[str] | Non
         )
     else:
         value = pairwise_wasserstein(df, keys)
-    return with_quintile(value, by=by)
+    # One row per item, read by the quantiles and by the tagging.
+    return with_quintile(written(value, "diversity"), by=by)
 
 
 def most_diverse(df: DataFrame, diversity: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dissensus import registry
 from dissensus.functions import ratings as grades
-from dissensus.functions import vectors
 from dissensus.operators import agreement, cleaning, distributions, metrics, resample, votes
 from dissensus.schemas import ITEM
 
@@ -65,8 +64,7 @@ def soft_label_rows(preds: DataFrame, targets: DataFrame, by: list[str] | None =
     """Labels of an item as a distribution, with its distance to the target."""
     shares = distributions.soft_labels(preds, [*(by or []), *ITEM])
     keys = [c for c in ITEM if c in targets.columns]
-    joined = shares.join(targets.select(*keys, "target"), keys, "inner")
-    return joined.withColumn("ws_loss", vectors.wasserstein(F.col("target"), F.col("pred")))
+    return metrics.with_wasserstein(shares.join(targets.select(*keys, "target"), keys, "inner"))
 
 
 def soft_label_scores(preds: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -10,16 +10,31 @@ from dissensus.functions import vectors
 from dissensus.operators import cleaning
 
 
-def with_soft_metrics(df: DataFrame) -> DataFrame:
-    """Wasserstein, its normed form and the entropy of each (answer, category) row."""
-    ws = vectors.wasserstein(F.col("target"), F.col("pred"))
-    df = df.withColumn("ws_loss", ws)
+def with_sums(df: DataFrame) -> DataFrame:
+    """Sums of target and pred as columns, so that the metrics compute them once."""
     return df.withColumns(
+        {"__st": vectors.total(F.col("target")), "__sp": vectors.total(F.col("pred"))}
+    )
+
+
+def wasserstein_of_sums(width: int = registry.MAX_CLASSES) -> Column:
+    return vectors.wasserstein_up_to("target", "pred", "__st", "__sp", width)
+
+
+def with_wasserstein(df: DataFrame, width: int = registry.MAX_CLASSES) -> DataFrame:
+    return with_sums(df).withColumn("ws_loss", wasserstein_of_sums(width)).drop("__st", "__sp")
+
+
+def with_soft_metrics(df: DataFrame, width: int = registry.MAX_CLASSES) -> DataFrame:
+    """Wasserstein, its normed form and the entropy of each (answer, category) row."""
+    df = with_sums(df).withColumns(
         {
-            "normed_ws_loss": F.col("ws_loss") / (F.col("n_classes") - 1),
-            "pred_entropy": vectors.entropy(F.col("pred")),
+            "ws_loss": wasserstein_of_sums(width),
+            "pred_entropy": vectors.entropy_up_to("pred", "__sp", width),
         }
     )
+    normed = F.col("ws_loss") / (F.col("n_classes") - 1)
+    return df.withColumn("normed_ws_loss", normed).drop("__st", "__sp")
 
 
 def with_l0(df: DataFrame) -> DataFrame:
@@ -121,5 +136,4 @@ def class_differences(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def average_wasserstein(df: DataFrame, digits: int = 5) -> DataFrame:
     """One row: the mean distance of all rows, rounded."""
-    ws = vectors.wasserstein(F.col("target"), F.col("pred"))
-    return df.agg(F.round(F.avg(ws), digits).alias("average_ws"))
+    return with_wasserstein(df).agg(F.round(F.avg("ws_loss"), digits).alias("average_ws"))

@@ -33,27 +33,42 @@ class SizeLimit:
 DEFAULT_LIMIT = SizeLimit()
 
 
-def large_groups(df: DataFrame, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT) -> DataFrame | None:
-    """Keys of the groups above the limit, or None where there are none.
-
-    Costs one aggregation over the key columns; two numbers come to the driver.
-    """
+def group_stats(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """Group sizes, and from them the number of rows and the largest size."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     stats = sizes.agg(F.sum("__rows").alias("n"), F.max("__rows").alias("largest")).first()
-    bound = max(limit.rows, limit.share * (stats["n"] or 0))
-    if (stats["largest"] or 0) <= bound:
-        return None
-    return sizes.where(F.col("__rows") > bound)
+    return sizes, stats["n"] or 0, stats["largest"] or 0
 
 
-def with_ranges(df: DataFrame, keys: list[str], order: Column, limit: SizeLimit) -> DataFrame | None:
+def large_groups(
+    df: DataFrame, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT, bound: DataFrame | None = None
+) -> DataFrame | None:
+    """Keys of the groups above the limit, or None where there are none.
+
+    Costs one aggregation over the key columns; two numbers come to the driver.
+    ``bound`` is a frame that is cheaper to count and has at least as many rows in
+    every group, e.g. the rows ``df`` was aggregated from: if it has no large group
+    by the keys it shares, ``df`` has none and is not computed for the check.
+    """
+    if bound is not None:
+        shared = [k for k in keys if k in bound.columns]
+        if group_stats(bound, shared)[2] <= limit.rows:
+            return None
+    sizes, n, largest = group_stats(df, keys)
+    least = max(limit.rows, limit.share * n)
+    return None if largest <= least else sizes.where(F.col("__rows") > least)
+
+
+def with_ranges(
+    df: DataFrame, keys: list[str], order: Column, limit: SizeLimit, bound: DataFrame | None = None
+) -> DataFrame | None:
     """Number the value range of every row of a large group in ``__range``.
 
     The bounds of the ranges are picked by the hash of the order key: about 16 per
     range, each distinct key once. They only balance the work; any bounds give
     the same result, and the same rows give the same bounds on every attempt.
     """
-    large = large_groups(df, keys, limit)
+    large = large_groups(df, keys, limit, bound)
     if large is None:
         return None
     spread = limit.ranges * 16
@@ -86,18 +101,20 @@ def running_total(
     name: str = "before",
     total: str | None = None,
     limit: SizeLimit = DEFAULT_LIMIT,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the total weight of the rows that come before a row in its group.
 
     ``order`` is ascending and must tell the rows of a group apart. Without a
     weight the result is the number of rows before. ``total`` names a second
-    column for the weight of the whole group.
+    column for the weight of the whole group. ``bound`` is explained at
+    ``large_groups``.
     """
     keep = df.columns + [name] + ([total] if total else [])
     if not keys:
         df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
     df = df.withColumn("__w", F.lit(1).cast("bigint") if weight is None else weight)
-    ranged = with_ranges(df, keys, F.struct(*order), limit)
+    ranged = with_ranges(df, keys, F.struct(*order), limit, bound)
 
     def with_window(data: DataFrame, window_keys: list[str]) -> DataFrame:
         group = W.partitionBy(*window_keys)
@@ -180,7 +197,7 @@ def quantiles(
         data, group = data.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
     counts = data.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
     places = running_total(
-        counts, group, [F.col(value)], F.col("__n"), "__before", "__total", limit
+        counts, group, [F.col(value)], F.col("__n"), "__before", "__total", limit, data
     )
 
     def covers(place: Column) -> Column:

@@ -82,13 +82,24 @@ def random_rows(df: DataFrame, keys: list[str], row_key: list[Column], n: int =
     return ordering.first_rows(df, keys, order, n)
 
 
+# Up to this many rows the first ones are found as a top-n, which the driver merges.
+TOP_ROWS = 10_000
+
+
+def first_ids(df: DataFrame, n: int, key: str, order: list[Column]) -> DataFrame:
+    """The first ``n`` distinct ids in an order."""
+    ids = df.select(key).distinct()
+    if n <= TOP_ROWS:
+        return ids.orderBy(*order).limit(n)
+    return ordering.first_rows(ids, [], order, n)
+
+
 def random_items(df: DataFrame, n: int, key: str = "dataset_idx", seed: str = "0") -> DataFrame:
     """A reproducible random subset of ``n`` item ids.
 
     The order is by hash, so the subset for a larger ``n`` contains this one.
     """
-    ids = df.select(key).distinct()
-    return ids.orderBy(rng.order_key(F.lit(seed), F.col(key)), key).limit(n)
+    return first_ids(df, n, key, [rng.order_key(F.lit(seed), F.col(key)), F.col(key)])
 
 
 def random_items_by_dataset(df: DataFrame, n: int, seed: str = "0") -> DataFrame:
@@ -101,13 +112,14 @@ def only_items(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, ids.columns, "left_semi")
 
 
-def answers_to_grade(df: DataFrame, n_items: int, n_runs: int, at_random: bool = False) -> DataFrame:
-    """Runs below ``n_runs`` of the first, or of random, ``n_items`` items."""
+def answers_to_grade(df: DataFrame, n_items: int | None, n_runs: int, at_random: bool = False) -> DataFrame:
+    """Runs below ``n_runs`` of the first, or of random, ``n_items`` items; of all if None."""
+    runs = df.where(F.col("run_idx") < n_runs)
+    if n_items is None:
+        return runs
     if at_random:
-        ids = random_items(df, n_items)
-    else:
-        ids = df.select("dataset_idx").distinct().orderBy("dataset_idx").limit(n_items)
-    return only_items(df.where(F.col("run_idx") < n_runs), ids)
+        return only_items(runs, random_items(df, n_items))
+    return only_items(runs, first_ids(df, n_items, "dataset_idx", [F.col("dataset_idx")]))
 
 
 def shard(df: DataFrame, keys: list[str], rank: int, world: int) -> DataFrame:

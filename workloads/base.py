@@ -84,19 +84,18 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         """A table; one of few row groups is spread over the cores, as a scan of it
         would keep them idle. A large table has row groups for all of them."""
-        if name not in self.made:
-            df = self.spark.read.parquet(self.path(name))
-            cores = self.spark.sparkContext.defaultParallelism
-            # Partitions of the scan: files are cut at a size, not at row groups.
-            small = name in SPREAD and df.rdd.getNumPartitions() < cores
-            self.made[name] = df.repartition(cores) if small else df
-        return self.made[name]
+        df = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        # Partitions of the scan: files are cut at a size, not at row groups.
+        small = name in SPREAD and df.rdd.getNumPartitions() < cores
+        return df.repartition(cores) if small else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        maker = VIEWS.get(name)
-        return maker(self) if maker else self.read(name)
+        if name not in self.made:
+            self.made[name] = VIEWS[name](self) if name in VIEWS else self.read(name)
+        return self.made[name]
 
 
 VIEWS: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -154,7 +153,7 @@ def with_ctes(sql: str) -> str:
 )
 def answers(t: Tables) -> DataFrame:
     hundredths = lambda c: F.round(F.col(c) * 100).cast("int")
-    return t.read("lineitem").select(
+    return t.lineitem.select(
         F.when(F.col("l_returnflag") == "A", "CSC").when(F.col("l_returnflag") == "N", "MP")
         .otherwise("Paraphrase").alias("dataset"),
         F.when(F.col("l_linestatus") == "F", "train").otherwise("dev").alias("split"),

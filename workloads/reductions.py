@@ -18,6 +18,7 @@ from dissensus.operators import (
     votes,
 )
 from dissensus.plans import reports
+from dissensus.session import written
 from workloads import columns, joining  # noqa: F401  (their views are used)
 from workloads.base import long_vector, query, rounded, view
 
@@ -469,7 +470,7 @@ def _(t):
 def _(t):
     keys = ["dataset", "part"]
     value = diversity.pairwise_wasserstein(t.soft.select(*keys, "pred"), keys)
-    value = value.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9))
+    value = written(value.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
     tagged = diversity.with_quintile(value, by=["dataset"])
     return rounded(
         tagged.groupBy("dataset", "diversity").agg(
@@ -494,7 +495,7 @@ def _(t):
        SELECT s.dataset, s.split, s.rid, round(v.v, 6) AS avg_pairwise_ws_loss FROM answers s JOIN v USING (dataset, split, dataset_idx), e WHERE v.v > e.q""",
 )
 def _(t):
-    value = t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9))
+    value = written(t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
     tagged = diversity.with_quintile(value)
     kept = diversity.most_diverse(t.answers, tagged)
     return rounded(diversity.with_diversity(kept, tagged).select(*KEY, "avg_pairwise_ws_loss"))
@@ -513,7 +514,7 @@ def _(t):
             round(CASE WHEN abs(r) < 1e-9 THEN NULL ELSE m / r END, 4) AS fraction FROM j""",
 )
 def _(t):
-    value = t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9))
+    value = written(t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
     tagged = diversity.with_quintile(value, by=["dataset"])
     gains = diversity.improvements(t.scored, t.averaged_scored, t.best, tagged)
     out = diversity.captured_fraction(gains, ["dataset", "diversity"])

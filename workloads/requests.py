@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dissensus.functions import prompts, text
 from dissensus.operators import batches, diversity, ordering
+from dissensus.session import written
 from workloads import columns, joining, reductions  # noqa: F401  (their views are used)
 from workloads.base import query, view
 
@@ -170,7 +171,7 @@ def _(t):
 def _(t):
     first = ordering.first_rows(t.dialogs, ITEM, [F.col("run_idx")]).select(*ITEM, F.col("text").alias("topic"))
     rows = t.dialogs.join(first, ITEM).withColumns({"text": F.col("topic"), "success": F.lit(True)}).drop("topic", "target")
-    out = batches.judge_requests(rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=10**9, n_runs=10**6)
+    out = batches.judge_requests(rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=None, n_runs=10**6)
     pieces = F.split("judge_prompt", "@@")
     listed = F.from_json(pieces[1], "array<struct<run_idx:int>>")
     return out.select(
@@ -229,7 +230,7 @@ def _(t):
      GROUP BY ALL""",
 )
 def _(t):
-    value = t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9))
+    value = written(t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
     rows = t.answers.select(
         *ITEM, "run_idx", "model_id", "rid", F.lit(True).alias("success"), F.col("d").cast("string").alias("reasoning"),
         F.lit("x").alias("text"), F.lit("y").alias("response"),
@@ -250,7 +251,7 @@ def _(t):
     done = rows.where("run_idx % 3 = 0")
     shown = [{"role": "user", "content": "example"}, {"role": "assistant", "content": "great"}]
     out = batches.judge_requests(
-        rows, "reformat", "{problem} {response}", n_items=10**9, n_runs=10**6, done=done, fewshot=shown
+        rows, "reformat", "{problem} {response}", n_items=None, n_runs=10**6, done=done, fewshot=shown
     )
     return out.select(*keys(), F.size("convo").alias("n_messages"))
 
