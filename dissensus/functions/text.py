@@ -85,14 +85,12 @@ def int_list(text: Column) -> Column:
 
 
 def int_list_by_category(text: Column) -> Column:
-    """Category to list of integers; lists with a non-integer become null."""
-    return F.transform_values(
-        parse(text, "map<string,array<double>>"),
-        lambda _, xs: F.when(
-            F.forall(xs, lambda x: x.try_cast("int").isNotNull()),
-            F.transform(xs, lambda x: x.cast("int")),
-        ),
-    )
+    """Category to list of integers; lists with anything else become null."""
+    def whole(xs: Column) -> Column:
+        good = F.forall(xs, lambda x: F.coalesce(F.rlike(x, F.lit(r"^-?\d{1,9}$")), F.lit(False)))
+        return F.when(good, F.transform(xs, lambda x: x.try_cast("int")))
+
+    return F.transform_values(parse(text, "map<string,array<string>>"), lambda _, xs: whole(xs))
 
 
 def number(text: Column) -> Column:

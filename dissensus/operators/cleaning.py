@@ -96,7 +96,10 @@ def strict_vector(soft_label: Column, dataset: Column) -> Column:
 
 
 def prediction_entries(df: DataFrame, task: str = SOFT) -> Column:
-    """The answer of a row as array of (category, pred); null or empty if unreadable."""
+    """The answer of a row as array of (category, pred); null or empty if unreadable.
+
+    Soft labels with a key that is no label have a null pred.
+    """
     dataset, response = F.col("dataset"), F.col("response")
     if task == SOFT:
         whole = scheme_vector(text.soft_label(response), dataset)
@@ -113,7 +116,12 @@ def prediction_entries(df: DataFrame, task: str = SOFT) -> Column:
         F.map_entries(by_category),
         lambda e: F.struct(e["key"].alias("category"), part(e["value"]).alias("pred")),
     )
-    return F.when(registry.n_categories(dataset) == 1, single).otherwise(split)
+    entries = F.when(registry.n_categories(dataset) == 1, single).otherwise(split)
+    if task == SOFT:
+        return entries
+    # A list of labels that cannot be read stays, as an answer that is not valid.
+    unread = F.array(F.struct(F.lit("").alias("category"), F.lit(None).cast("array<int>").alias("pred")))
+    return F.coalesce(entries, unread)
 
 
 def entries_valid(entries: Column, dataset: Column, task: str = SOFT, atol: float = 0.01) -> Column:
@@ -191,7 +199,8 @@ def clean(
     """Raw answers to predictions in rows of (.., category, pred, is_valid_pred)."""
     df = prepared(df, with_steps)
     df = explode_entries(df, prediction_entries(df, task), task)
-    df = df.where(F.col("pred").isNotNull())
+    if task == SOFT:
+        df = drop_missing(df, "pred")
     if discard_invalid:
         df = drop_invalid(df, observation=observation)
     return drop_helpers(with_template_alias(df))

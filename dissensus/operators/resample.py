@@ -124,7 +124,8 @@ def bca_rows(alpha: float):
             if not 0 < below < 1:
                 return float(means[0]), float(means[-1])
             z0 = normal.inv_cdf(below)
-            skew = 0.0 if row["__skew"] is None else row["__skew"]
+            # Undefined for a constant group.
+            skew = row["__skew"] if row["__skew"] == row["__skew"] and row["__skew"] is not None else 0.0
             a = skew / (6 * row["n_samples"] ** 0.5)
             ends = []
             for p in (alpha, 1 - alpha):

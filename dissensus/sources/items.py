@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dissensus import registry, schemas
 from dissensus.operators import cleaning, joins, metrics
@@ -15,7 +16,7 @@ def read_keyed_json(spark: SparkSession, path: str, schema: str = schemas.RAW_IT
     The format keeps a whole file in one object, so one task parses a file; use it
     to convert to Parquet once (``convert_keyed_json``).
     """
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", f"map<string,struct<{as_fields(schema)}>>")
     rows = texts.select(F.explode(parsed).alias("key", "item"))
     return rows.select(F.col("key").cast("bigint").alias("dataset_idx"), "item.*")
@@ -23,9 +24,7 @@ def read_keyed_json(spark: SparkSession, path: str, schema: str = schemas.RAW_IT
 
 def as_fields(schema: str) -> str:
     """A column list as the fields of a struct type."""
-    from pyspark.sql import types as T
-
-    return T.StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
+    return ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
 
 
 def convert_keyed_json(spark: SparkSession, path: str, target: str, dataset: str, split: str) -> None:
@@ -83,12 +82,13 @@ def label_targets(df: DataFrame) -> DataFrame:
             F.transform(labels, lambda v: v.try_cast("double").cast("int")).alias("target"),
         )
     )
+
+    def holds(category: str) -> Column:
+        return F.transform(labels, lambda v: F.contains(v, F.lit(category)).cast("int"))
+
     by_category = F.array(
         *[
-            F.struct(
-                F.lit(c).alias("category"),
-                F.transform(labels, lambda v, c=c: F.contains(v, F.lit(c)).cast("int")).alias("target"),
-            )
+            F.struct(F.lit(c).alias("category"), holds(c).alias("target"))
             for c in registry.SCHEMES["VariErrNLI"].categories
         ]
     )
@@ -127,7 +127,7 @@ def load_items(
 
 def read_annotators(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """A JSON object from annotator id to attributes, as one row per annotator."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "map<string,map<string,string>>")
     rows = texts.select(F.explode(parsed).alias("annotator_id", "attrs"))
     return rows.select(F.lit(dataset).alias("dataset"), "annotator_id", "attrs")
