@@ -21,9 +21,11 @@ EXAMPLE = [
 
 RAW_ITEM = (
     "text map<string,string>, soft_label map<string,double>, annotations map<string,string>, "
-    "`number of annotators` int, `number of annotations` int, target string"
+    "`number of annotators` int, `number of annotations` int"
 )
 
+RAW_MATH_ITEM = "text string, target string"
+
 # Items whose soft label is one distribution per category.
 RAW_ITEM_BY_CATEGORY = (
     "text map<string,string>, soft_label map<string,map<string,double>>, "

@@ -67,7 +67,7 @@ def soft_targets(df: DataFrame) -> DataFrame:
             cleaning.strict_vector(e["value"], F.col("dataset")).alias("target"),
         ),
     )
-    return df.select("*", F.inline(entries))
+    return df.drop("category", "target").select("*", F.inline(entries))
 
 
 def annotator_ids(annotations: Column) -> Column:
@@ -96,7 +96,7 @@ def label_targets(df: DataFrame) -> DataFrame:
     ids = annotator_ids(F.col("annotations"))
     return df.withColumns(
         {"annotator_ids": ids, "n_annotators": F.size(F.array_distinct(ids))}
-    ).select("*", F.inline(rows))
+    ).drop("category", "target").select("*", F.inline(rows))
 
 
 ITEM_COLUMNS = [

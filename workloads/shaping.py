@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissensus.operators import batches, evaluation, joins, metrics, reshape, selection
+from dissensus.operators import batches, evaluation, joins, metrics, ordering, reshape, selection
 from dissensus.plans import reports, submit
 from dissensus.session import scratch_folder
 from dissensus.sources import answers as answer_source
@@ -66,6 +66,31 @@ def _(t):
     )
 
 
+@query(
+    "keyed_json_items", "S1",
+    "SELECT o_orderkey AS dataset_idx, o_orderpriority AS post, o_orderstatus AS label, 1::INTEGER AS n FROM orders",
+)
+def _(t):
+    # Files of 1000 items, each one JSON object from item id to item.
+    path = scratch_folder(t.spark, "keyed")
+    item = F.struct(
+        F.create_map(F.lit("post"), "o_orderpriority").alias("text"),
+        F.create_map(F.lit("Ann1"), "o_orderstatus").alias("annotations"),
+        F.lit(1).alias("number of annotators"),
+    )
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("key"), item.alias("value"))
+    placed = ordering.running_total(t.orders, [], [F.col("o_orderkey")], name="pos")
+    files = placed.groupBy(F.floor(F.col("pos") / 1000).alias("file")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
+    )
+    files.repartition("file").write.partitionBy("file").text(path)
+    df = item_source.read_keyed_json(t.spark, f"{path}/file=*")
+    return df.select(
+        "dataset_idx", F.col("text")["post"].alias("post"), F.col("annotations")["Ann1"].alias("label"),
+        F.col("number of annotators").alias("n"),
+    )
+
+
 @query(
     "answers_with_file", "S13",
     "SELECT event_type, count(*) AS n, true AS in_events_file FROM events GROUP BY ALL",
