@@ -106,16 +106,23 @@ def smoothed_metrics(df: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def dataset_mean(items: DataFrame) -> DataFrame:
-    """Mean target vector of each dataset (and category)."""
-    keys = [c for c in ("dataset", "category") if c in items.columns]
-    means = mean_vectors(items.withColumn("pred", F.col("target")), keys, renormalise=False)
-    return means
+    """Mean target vector of each known dataset (and category).
+
+    The result has at most one row per dataset and category of the registry.
+    """
+    known = items.where(F.col("dataset").isin(list(registry.SCHEMES)))
+    keys = ["dataset"]
+    if "category" in items.columns:
+        categories = sorted({c for s in registry.SCHEMES.values() for c in s.categories})
+        known, keys = known.where(F.col("category").isin(categories)), ["dataset", "category"]
+    return mean_vectors(known.withColumn("pred", F.col("target")), keys, renormalise=False)
 
 
 def dataset_mean_metrics(items: DataFrame) -> DataFrame:
     """Metrics of predicting the dataset's mean target for every item."""
     keys = [c for c in ("dataset", "category") if c in items.columns]
-    return metrics.with_soft_metrics(items.join(F.broadcast(dataset_mean(items)), keys, "inner"))
+    means = F.broadcast(dataset_mean(items))
+    return metrics.with_soft_metrics(items.join(means, keys, "inner"))
 
 
 def random_labels(annotators: DataFrame, seed: str = "0") -> DataFrame:

@@ -152,9 +152,10 @@ def ranked(
     order: list[Column],
     name: str = "rank",
     limit: SizeLimit = DEFAULT_LIMIT,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the position 1, 2, .. of a row in its group."""
-    return running_total(df, keys, order, None, name, limit=limit).withColumn(name, F.col(name) + 1)
+    return running_total(df, keys, order, None, name, limit=limit, bound=bound).withColumn(name, F.col(name) + 1)
 
 
 # Spark trims a group to its first rows before the shuffle up to this many.

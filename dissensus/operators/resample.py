@@ -29,25 +29,38 @@ def replicate_sums(
     replicates. The partial sums of a map task replace its rows before the shuffle.
     """
     blocks = (n_resamples + 3) // 4
-    words = df.select(
-        *keys,
-        F.col(value).cast("double").alias("__x"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"),
-        rng.key_text(F.lit(seed), *row_key).alias("__key"),
+    spark = df.sparkSession
+    # Every row becomes many, so few partitions of rows are spread over the cluster first.
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    rows = df.select(
+        *keys, F.col(value).cast("double").alias("__x"), rng.key_text(F.lit(seed), *row_key).alias("__key")
+    ).repartition(tasks, "__key")
+    words = rows.select(
+        *keys, "__x", "__key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
     ).withColumn("__md5", rng.order_key(F.col("__key"), F.col("__block")))
     draws = words.select(
-        *keys, "__x", "__block", "__md5", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("__i")
+        *keys, "__block", "__x", *[rng.word(F.col("__md5"), F.lit(i)).alias(f"__u{i}") for i in range(4)]
     )
-    draws = draws.select(
-        *keys,
-        (F.col("__block") * 4 + F.col("__i")).alias("replicate"),
-        rng.word(F.col("__md5"), F.col("__i")).alias("__u"),
-        "__x",
-    ).where(F.col("replicate") < n_resamples)
-    weighted = draws.withColumn("__w", rng.poisson(F.col("__u")))
-    return weighted.groupBy(*keys, "replicate").agg(
-        F.sum("__w").alias("w"), F.sum(F.col("__w") * F.col("__x")).alias("wx")
+    weights = draws.select(
+        *keys, "__block", "__x", *[rng.poisson(F.col(f"__u{i}")).alias(f"__w{i}") for i in range(4)]
+    )
+    sums = weights.groupBy(*keys, "__block").agg(
+        *[F.sum(f"__w{i}").alias(f"__w{i}") for i in range(4)],
+        *[F.sum(F.col(f"__w{i}") * F.col("__x")).alias(f"__wx{i}") for i in range(4)],
+    )
+    replicates = F.array(
+        *[
+            F.struct(
+                (F.col("__block") * 4 + i).alias("replicate"),
+                F.col(f"__w{i}").alias("w"),
+                F.col(f"__wx{i}").alias("wx"),
+            )
+            for i in range(4)
+        ]
     )
+    return sums.select(*keys, F.inline(replicates)).where(F.col("replicate") < n_resamples)
 
 
 def bootstrap_mean(
@@ -163,16 +176,29 @@ def cautious_mean(
 
 
 def simple_sampling(
-    df: DataFrame, keys: list[str], item: list[str], run: list[Column], value: str, k: int = 100, seed: str = "0"
+    df: DataFrame,
+    keys: list[str],
+    item: list[str],
+    run: list[Column],
+    value: str,
+    k: int = 100,
+    seed: str = "0",
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """One random run of every item, averaged, ``k`` times: (keys, draw, value).
 
     A row finds out by itself in which draws it is the chosen one, from its place
-    in its item, so the draws multiply neither the rows nor the shuffle.
+    in its item, so the draws multiply neither the rows nor the shuffle. ``bound`` is
+    explained at ``ordering.large_groups``.
     """
     order = [rng.order_key(F.lit(seed), *[F.col(c) for c in item], *run), *run]
     placed = ordering.running_total(
-        df.select(*dict.fromkeys([*keys, *item]), value, *run), item, order, name="__r", total="__n"
+        df.select(*dict.fromkeys([*keys, *item]), value, *run),
+        item,
+        order,
+        name="__r",
+        total="__n",
+        bound=bound,
     )
     item_key = rng.key_text(F.lit(seed), *[F.col(c) for c in item])
     chosen = placed.withColumn("__key", item_key).select(

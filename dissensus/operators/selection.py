@@ -62,9 +62,16 @@ def extremes(df: DataFrame, keys: list[str], score: str, tie: list[Column]) -> D
     )
 
 
-def group_ranks(df: DataFrame, keys: list[str], col: str, tie: list[Column], name: str | None = None) -> DataFrame:
+def group_ranks(
+    df: DataFrame,
+    keys: list[str],
+    col: str,
+    tie: list[Column],
+    name: str | None = None,
+    bound: DataFrame | None = None,
+) -> DataFrame:
     """Rank of a row in its item by a column, ascending, ties in the given order."""
-    return ordering.ranked(df, keys, [F.col(col), *tie], name or f"{col}_rank")
+    return ordering.ranked(df, keys, [F.col(col), *tie], name or f"{col}_rank", bound=bound)
 
 
 def mean_by_rank(ranked: DataFrame, rank: str, cols: list[str]) -> DataFrame:

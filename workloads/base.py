@@ -63,7 +63,7 @@ def long_vector(df: DataFrame, keys: list[str], col: str = "pred") -> DataFrame:
 
 
 # Tables that the costly column functions read.
-SPREAD = {"lineitem", "documents", "events", "embeddings", "conversations"}
+SPREAD = {"lineitem", "orders", "documents", "events", "embeddings", "conversations"}
 
 
 @dataclass

@@ -48,7 +48,7 @@ def _(t):
        SELECT score_rank, round(avg(score), 4) AS score, round(avg(ws_loss), 6) AS ws_loss FROM r GROUP BY ALL""",
 )
 def _(t):
-    ranked = selection.group_ranks(t.scored, ITEM, "score", [F.col("run_idx"), F.col("rid")])
+    ranked = selection.group_ranks(t.scored, ITEM, "score", [F.col("run_idx"), F.col("rid")], bound=t.answers)
     out = selection.mean_by_rank(ranked, "score_rank", ["score", "ws_loss"])
     return out.select("score_rank", r6("score", 4).alias("score"), r6("ws_loss").alias("ws_loss"))
 
@@ -174,7 +174,7 @@ def _(t):
 )
 def _(t):
     return rounded(
-        resample.simple_sampling(t.scored, ["dataset"], ITEM, [F.col("rid")], "ws_loss", k=20)
+        resample.simple_sampling(t.scored, ["dataset"], ITEM, [F.col("rid")], "ws_loss", k=20, bound=t.answers)
     )
 
 
