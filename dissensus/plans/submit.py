@@ -31,9 +31,11 @@ def soft_label_table(raw: DataFrame, items: DataFrame, order: list[Column] | Non
     return in_order(submissions.as_text(average), items)
 
 
-def perspectivist_table(raw: DataFrame, items: DataFrame) -> DataFrame:
+def perspectivist_table(
+    raw: DataFrame, items: DataFrame, order: list[Column] | None = None
+) -> DataFrame:
     """First fitting answer of every item in item order, checked, as text."""
-    preds = ready_answers(raw, cleaning.PERSPECTIVIST)
+    preds = ready_answers(raw, cleaning.PERSPECTIVIST, order)
     sizes = items.select(*ITEM, F.size("annotator_ids").alias("n_annotators"))
     counted = preds.join(
         cleaning.annotator_count(preds, [*ITEM, "run_idx"]), [*ITEM, "run_idx"]

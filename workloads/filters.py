@@ -106,32 +106,28 @@ def _(t):
 
 @query(
     "equal_length_lists", "F13 F14 P44",
-    """SELECT dataset, split, dataset_idx, run_idx, len(preds)::INTEGER AS n FROM label_lists l
-       WHERE len(preds) = (SELECT count(DISTINCT annotator) FROM labelled a WHERE a.dataset = l.dataset AND a.split = l.split
-                           AND a.dataset_idx = l.dataset_idx AND a.run_idx = l.run_idx)""",
+    """SELECT dataset, split, rid, len(preds)::INTEGER AS n_pred_annotators FROM label_lists WHERE len(preds) = len(targets) AND len(preds) = n_annotators""",
 )
 def _(t):
-    keys = ["dataset", "split", "dataset_idx", "run_idx"]
-    counted = t.labelled.groupBy(*keys).agg(F.count_distinct("annotator").alias("n_annotators"))
-    df = cleaning.same_annotators(cleaning.same_length(t.label_lists).join(counted, keys))
-    sizes = cleaning.annotator_count(df, keys)
-    return sizes.withColumnRenamed("n_pred_annotators", "n")
+    df = cleaning.same_annotators(cleaning.same_length(t.label_lists))
+    return cleaning.annotator_count(df, KEY)
 
 
 @query(
     "category_list_lengths", "F13 P44",
-    """SELECT dataset, split, dataset_idx, count(*)::BIGINT AS n_runs, max(len(preds))::INTEGER AS longest,
+    """SELECT dataset, split, dataset_idx, count(*) AS n_runs, max(len(preds))::INTEGER AS longest,
               CASE WHEN min(len(preds)) = max(len(preds)) THEN max(len(preds))::INTEGER END AS n_pred_annotators
-       FROM label_lists GROUP BY ALL""",
+       FROM label_lists GROUP BY ALL HAVING sum(len(preds)) = sum(len(targets))""",
 )
 def _(t):
     keys = ["dataset", "split", "dataset_idx"]
+    # The answers to an item stand in for the categories of an answer.
     df = t.label_lists.withColumn("category", F.col("run_idx").cast("string"))
     kept = cleaning.same_length(df, keys)
     counts = kept.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"), F.max(F.size("pred")).alias("longest")
     )
-    return counts.join(cleaning.annotator_count(df, keys), keys)
+    return counts.join(cleaning.annotator_count(kept, keys), keys)
 
 
 @query(
@@ -232,15 +228,15 @@ def _(t):
 
 @query(
     "annotator_count_check", "F24",
-    """SELECT dataset, split, dataset_idx, n::INTEGER AS n_pred_annotators, u::INTEGER AS n_item_annotators FROM (
-         SELECT dataset, split, dataset_idx, count(*) AS n, count(DISTINCT annotator) AS u FROM labelled GROUP BY ALL) WHERE n <> u""",
+    """SELECT 'all' AS dataset, split, rid AS dataset_idx, len(preds)::INTEGER AS n_pred_annotators, len(targets)::INTEGER AS n_item_annotators
+       FROM label_lists WHERE len(preds) <> len(targets)""",
 )
 def _(t):
-    keys = ["dataset", "split", "dataset_idx"]
-    rows = t.labelled.groupBy(*keys)
-    preds = rows.agg(F.array_repeat(F.lit(1), F.count(F.lit(1)).cast("int")).alias("pred"))
-    items = rows.agg(F.collect_set("annotator").alias("annotator_ids"))
-    return submissions.annotator_mismatches(preds, items)
+    rows = t.label_lists.select(
+        F.lit("all").alias("dataset"), "split", F.col("rid").alias("dataset_idx"), "pred",
+        F.col("target").alias("annotator_ids"),
+    )
+    return submissions.annotator_mismatches(rows.drop("annotator_ids"), rows.drop("pred"))
 
 
 @query(

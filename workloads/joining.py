@@ -74,21 +74,21 @@ def _(t):
 
 @query(
     "metadata_lists", "J3",
-    """SELECT l.split, l.dataset_idx, count(*) AS n, string_agg(coalesce(a.nation, '-'), ',' ORDER BY rid) AS nations
-       FROM labelled l JOIN annotators a ON l.annotator = a.suppkey GROUP BY ALL""",
+    """SELECT l.split, l.rid, 2::BIGINT AS n, coalesce(a.nation, '-') || ',' || coalesce(b.nation, '-') AS nations
+       FROM labelled l JOIN annotators a ON l.annotator = a.suppkey LEFT JOIN annotators b ON l.annotator + 7 = b.suppkey""",
 )
 def _(t):
-    order = F.array_sort(F.collect_list(F.struct("rid", F.col("annotator").cast("string").alias("a"))))
-    items = t.labelled.groupBy("split", "dataset_idx").agg(order.alias("l")).select(
-        F.lit("all").alias("dataset"), "split", "dataset_idx",
-        F.transform("l", lambda x: x["a"]).alias("annotator_ids"),
+    ids = F.array(F.col("annotator").cast("string"), F.concat(F.lit("Ann"), F.col("annotator") + 7))
+    items = t.labelled.select(
+        F.lit("all").alias("dataset"), "split", F.col("rid").alias("dataset_idx"), ids.alias("annotator_ids")
     )
     lists = joins.collect_metadata(joins.with_metadata(joins.annotator_rows(items), t.annotators))
     nations = F.transform(
         "annotator_metadata", lambda m: F.coalesce(F.try_element_at(m, F.lit("nation")), F.lit("-"))
     )
     return lists.select(
-        "split", "dataset_idx", F.size(nations).cast("bigint").alias("n"), F.array_join(nations, ",").alias("nations")
+        "split", F.col("dataset_idx").alias("rid"), F.size(nations).cast("bigint").alias("n"),
+        F.array_join(nations, ",").alias("nations"),
     )
 
 
@@ -133,33 +133,50 @@ def _(t):
     return joins.in_item_order(preds, reshape.item_order(items)).select("dataset_idx", "ord", "n")
 
 
+# Orders as items with three annotators each, who label every line of the order.
 @view(
-    "annotator_votes",
-    """SELECT dataset, split, dataset_idx, annotator, pred FROM (
-         SELECT *, row_number() OVER (PARTITION BY dataset, split, dataset_idx, annotator ORDER BY n DESC, pred) AS rn
-         FROM (SELECT dataset, split, dataset_idx, annotator, pred, count(*) AS n FROM labelled GROUP BY ALL)) WHERE rn = 1""",
+    "voted_items",
+    """SELECT o_orderkey, ['A' || o_custkey, 'B' || o_orderkey % 5, 'C'] AS ids FROM orders""",
 )
-def annotator_votes(t):
-    from dissensus.operators import votes
+def voted_items(t):
+    return t.orders.select(
+        F.lit("MP").alias("dataset"), F.lit("test_clear").alias("split"), F.col("o_orderkey").alias("dataset_idx"),
+        F.array(
+            F.concat(F.lit("A"), "o_custkey"), F.concat(F.lit("B"), F.col("o_orderkey") % 5), F.lit("C")
+        ).alias("annotator_ids"),
+    )
 
-    rows = t.labelled.withColumn("annotator_ids", F.col("annotator").cast("string"))
-    return votes.vote(rows, "mode", ["dataset", "split", "dataset_idx", "annotator_ids"])
+
+@view(
+    "annotator_votes",
+    """SELECT o_orderkey AS dataset_idx, pos, pred FROM (
+         SELECT *, row_number() OVER (PARTITION BY o_orderkey, pos ORDER BY n DESC, pred) AS rn FROM (
+           SELECT o_orderkey, p.pos, CASE p.pos WHEN 0 THEN d % 2 WHEN 1 THEN t % 2 ELSE q % 2 END AS pred, count(*) AS n
+           FROM voted_items JOIN answers ON dataset_idx = o_orderkey, (SELECT unnest([0, 1, 2]) AS pos) p GROUP BY ALL)) WHERE rn = 1""",
+)
+def annotator_labels(t):
+    """Labels in rows of (item, annotator), the annotators in another order than the item's."""
+    keys = ["dataset", "split", "dataset_idx"]
+    lines = t.answers.select("dataset_idx", "d", "t", "q").join(t.voted_items, "dataset_idx")
+    labels = F.arrays_zip(
+        F.reverse("annotator_ids").alias("a"), F.array(F.col("q") % 2, F.col("t") % 2, F.col("d") % 2).alias("p")
+    )
+    return lines.select(*keys, F.explode(labels).alias("x")).select(
+        *keys, F.col("x.a").alias("annotator_ids"), F.col("x.p").alias("pred")
+    )
 
 
 @query(
     "labels_in_annotator_order", "J7",
-    """SELECT dataset, split, dataset_idx, string_agg(pred::VARCHAR, ',' ORDER BY annotator::VARCHAR) AS preds
-       FROM annotator_votes GROUP BY ALL""",
+    "SELECT dataset_idx, string_agg(pred::VARCHAR, ',' ORDER BY pos) AS preds FROM annotator_votes GROUP BY ALL",
 )
 def _(t):
-    votes = t.annotator_votes
-    items = t.labelled.groupBy("dataset", "split", "dataset_idx").agg(
-        F.array_sort(F.collect_set(F.col("annotator").cast("string"))).alias("annotator_ids")
-    )
-    lists = joins.labels_in_annotator_order(votes, items)
+    from dissensus.operators import votes
+
+    keys = ["dataset", "split", "dataset_idx", "annotator_ids"]
+    lists = joins.labels_in_annotator_order(votes.vote(t.annotator_votes, "mode", keys), t.voted_items)
     return lists.select(
-        "dataset", "split", "dataset_idx",
-        F.array_join(F.transform("pred", lambda x: x.cast("string")), ",").alias("preds"),
+        "dataset_idx", F.array_join(F.transform("pred", lambda x: x.cast("string")), ",").alias("preds")
     )
 
 

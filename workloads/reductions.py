@@ -295,10 +295,10 @@ def _(t):
 
 @query(
     "majority_vote_distance", "A15 P34 F13",
-    """WITH v AS (SELECT dataset, split, dataset_idx, list(label ORDER BY pos) AS preds FROM position_votes GROUP BY ALL),
-     j AS (SELECT l.dataset, l.split, l.dataset_idx, l.run_idx, l.n_classes, v.preds, l.targets FROM label_lists l
-           JOIN v USING (dataset, split, dataset_idx) WHERE len(v.preds) = len(l.targets))
-     SELECT dataset, round(avg(list_avg(list_transform(range(1, len(preds) + 1), lambda i: abs(preds[i] - targets[i])::DOUBLE)) / (n_classes - 1)), 6) AS avg_abs_dist,
+    """WITH v AS (SELECT dataset, split, dataset_idx, list(label ORDER BY pos) AS voted FROM position_votes GROUP BY ALL),
+     j AS (SELECT l.dataset, l.n_classes, v.voted, l.targets FROM label_lists l
+           JOIN v USING (dataset, split, dataset_idx) WHERE len(v.voted) = len(l.targets))
+     SELECT dataset, round(avg(list_avg(list_transform(range(1, len(voted) + 1), lambda i: abs(voted[i] - targets[i])::DOUBLE)) / (n_classes - 1)), 6) AS avg_abs_dist,
             count(*) AS n FROM j GROUP BY dataset""",
 )
 def _(t):

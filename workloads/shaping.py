@@ -48,8 +48,7 @@ def _(t):
 
 @query(
     "json_lines_round_trip", "S5 S6 S7 S8",
-    """SELECT dataset, split, dataset_idx, run_idx, count(*) AS n, count(success)::BIGINT AS n_success, string_agg(coalesce(response, '-'), '/' ORDER BY coalesce(response, '-')) AS responses
-       FROM responses GROUP BY ALL""",
+    "SELECT dataset, split, dataset_idx, run_idx, model_id, response, success, true AS stamped FROM responses",
 )
 def _(t):
     folder = scratch_folder(t.spark, "lines")
@@ -59,11 +58,7 @@ def _(t):
     path = f"{folder}/table"
     raw.drop("run_start").write.parquet(path)
     df = answer_source.read_files(t.spark, [path])
-    return df.groupBy(*ITEM, "run_idx").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("success").alias("n_success"),
-        F.array_join(F.array_sort(F.collect_list(F.coalesce("response", F.lit("-")))), "/").alias("responses"),
-    )
+    return df.select(*ITEM, "run_idx", "model_id", "response", "success", F.col("timestamp").isNotNull().alias("stamped"))
 
 
 @query(
@@ -292,28 +287,27 @@ def _(t):
 
 @query(
     "label_submission_per_annotator", "S24 S27 J7 F24 A16",
-    """SELECT dataset, split, dataset_idx, '[' || string_agg(pred::VARCHAR, ',' ORDER BY annotator::VARCHAR) || ']' AS pred FROM annotator_votes GROUP BY ALL""",
+    """SELECT dataset_idx, '[' || string_agg(pred::VARCHAR, ',' ORDER BY pos) || ']' AS pred FROM annotator_votes GROUP BY ALL""",
 )
 def _(t):
-    rows = t.labelled.withColumn("annotator_ids", F.col("annotator").cast("string"))
-    items = rows.groupBy(*ITEM).agg(F.array_sort(F.collect_set("annotator_ids")).alias("annotator_ids"))
-    return submit.label_table(rows, items, "perspectivist").select(*ITEM, "pred")
+    return submit.label_table(t.annotator_votes, t.voted_items, "perspectivist").select("dataset_idx", "pred")
 
 
 @query(
     "perspectivist_submission", "S26 J2 F14 W6 F24 F13",
-    """WITH i AS (SELECT dataset, split, dataset_idx, len(preds) AS n FROM label_lists WHERE run_idx = 0),
-     f AS (SELECT l.*, row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY run_idx) AS rn FROM label_lists l JOIN i USING (dataset, split, dataset_idx) WHERE len(l.preds) = i.n)
-     SELECT i.dataset, i.split, i.dataset_idx, replace(preds::VARCHAR, ' ', '') AS pred FROM i LEFT JOIN f ON i.dataset = f.dataset AND i.split = f.split AND i.dataset_idx = f.dataset_idx AND f.rn = 1""",
+    """WITH f AS (SELECT *, row_number() OVER (PARTITION BY dataset, split, dataset_idx, run_idx ORDER BY rid) AS rn FROM label_lists),
+     x AS (SELECT *, row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY run_idx) AS first FROM f WHERE rn = 1 AND len(preds) = 3)
+     SELECT i.dataset, i.split, i.dataset_idx, replace(preds::VARCHAR, ' ', '') AS pred FROM (SELECT DISTINCT dataset, split, dataset_idx FROM answers) i
+     LEFT JOIN x ON i.dataset = x.dataset AND i.split = x.split AND i.dataset_idx = x.dataset_idx AND x.first = 1""",
 )
 def _(t):
-    lists = t.label_lists
-    raw = lists.select(
-        *ITEM, "run_idx", F.to_json("pred").alias("response"), F.lit(True).alias("success"),
+    raw = t.label_lists.select(
+        *ITEM, "run_idx", "rid", F.to_json("pred").alias("response"), F.lit(True).alias("success"),
         F.lit("Qwen/Qwen3-32B").alias("model_id"), F.lit(33).alias("template_id"), F.lit("set2").alias("gen_kwargs"),
     )
-    items = lists.where("run_idx = 0").select(*ITEM, F.col("pred").alias("annotator_ids"))
-    return submit.perspectivist_table(raw, items).select(*ITEM, "pred")
+    three = F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("annotator_ids")
+    items = t.answers.select(*ITEM).distinct().select(*ITEM, three)
+    return submit.perspectivist_table(raw, items, [F.col("rid")]).select(*ITEM, "pred")
 
 
 @query(
@@ -435,14 +429,15 @@ def _(t):
 
 @query(
     "label_baselines", "A10 P34",
-    """WITH s AS (SELECT dataset, split, dataset_idx, run_idx, list_avg(list_transform(range(1, len(preds) + 1), lambda i: abs(preds[i] - targets[i])::DOUBLE)) / (n_classes - 1) AS x FROM label_lists),
+    """WITH s AS (SELECT dataset, split, dataset_idx, list_avg(list_transform(range(1, len(preds) + 1), lambda i: abs(preds[i] - targets[i])::DOUBLE)) / (n_classes - 1) AS x
+                  FROM label_lists WHERE len(preds) = len(targets)),
      o AS (SELECT dataset, split, dataset_idx, min(x) AS x FROM s GROUP BY ALL)
      SELECT 'Simple Sampling' AS method, dataset, round(avg(x), 6) AS avg_abs_dist FROM s GROUP BY ALL
      UNION ALL SELECT 'BoN Oracle', dataset, round(avg(x), 6) FROM o GROUP BY ALL""",
 )
 def _(t):
-    # The target differs between the runs of an order, so it stays with the run.
-    joined = metrics.with_abs_dist(t.label_lists)
+    # The target differs between the answers, so it stays with the answer.
+    joined = metrics.with_metrics(t.label_lists, "perspectivist")
     best = reports.best_answers(joined.select(*ITEM, "run_idx", "avg_abs_dist"), "avg_abs_dist")
     rows = reshape.named(
         {"Simple Sampling": joined.select("dataset", "avg_abs_dist"), "BoN Oracle": best.select("dataset", "avg_abs_dist")},
