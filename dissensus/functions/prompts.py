@@ -54,6 +54,6 @@ def message(role: str, content: Column) -> Column:
 
 def thinking_answer(reasoning: Column, answer: Column) -> Column:
     """Reasoning and answer as one text, the reasoning inside think tags."""
-    return F.concat(
-        F.lit("\n<think>\n"), reasoning, F.lit("\n</think>\n\n"), answer, F.lit("\n")
-    )
+    # Fixed value: the text format that reasoning models are trained with.
+    whole = F.format_string("\n<think>\n%s\n</think>\n\n%s\n", reasoning, answer)
+    return F.when(reasoning.isNotNull() & answer.isNotNull(), whole)

@@ -220,7 +220,7 @@ def judge_requests(
     kind: str,
     template: str,
     n_items: int | None,
-    n_runs: int,
+    n_runs: int | None,
     spec: dict | None = None,
     at_random: bool = False,
     items: DataFrame | None = None,
@@ -231,7 +231,7 @@ def judge_requests(
     fewshot: list[dict] | None = None,
     settings: dict | None = None,
 ) -> DataFrame:
-    """One request per answer that is to be graded.
+    """One request per answer that is to be graded; of all items or runs where None.
 
     ``diversity`` limits the answers to the items of the top quintile, ``done``
     leaves out graded ones, ``fewshot`` is a list of messages put before the prompt.

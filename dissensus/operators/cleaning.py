@@ -233,7 +233,9 @@ def distinct_answers(df: DataFrame, keys: list[str] | None = None, order: list[C
     keys = [c for c in (keys or ANSWER) if c in df.columns]
     if order is None:
         order = [F.col(c).asc_nulls_last() for c in ("timestamp",) if c in df.columns]
-        order.append(F.xxhash64(*[c for c in df.columns if c not in keys]).asc())
+        # Maps have no hash.
+        hashed = [c for c, kind in df.dtypes if c not in keys and "map<" not in kind]
+        order.append(F.xxhash64(*hashed).asc())
     return ordering.first_rows(df, keys, order)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dissensus.functions import text
 from dissensus.schemas import ITEM
 
-# What an annotator without metadata gets.
+# Fixed value: what an annotator without metadata gets.
 UNKNOWN_ANNOTATOR = {"data": "there is no information about the annotator"}
 
 

@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 class SizeLimit:
     """A group is large above ``rows`` rows and above ``share`` of all rows.
 
-    By the second condition there are fewer than ``1 / share`` large groups,
-    however large the table is. With ``ranges`` ranges each, the tables of ranges
-    that are broadcast have at most ``ranges / share`` rows.
+    A large group is cut into ranges of about that size. So there are fewer than
+    ``1 / share`` large groups and, all of them together, at most ``2 / share``
+    ranges, however large the table is. This bounds the tables that are broadcast.
     """
 
     rows: int = 1_000_000
     share: float = 1e-4
-    ranges: int = 64
 
 
+# Order keys looked at per range when its bounds are chosen.
+PICKS = 16
+
 DEFAULT_LIMIT = SizeLimit()
 
 
@@ -42,8 +44,8 @@ def group_stats(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
 
 def large_groups(
     df: DataFrame, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT, bound: DataFrame | None = None
-) -> DataFrame | None:
-    """Keys of the groups above the limit, or None where there are none.
+) -> tuple[DataFrame, int] | None:
+    """Keys of the large groups and the size of a range, or None where there are none.
 
     Costs one aggregation over the key columns; two numbers come to the driver.
     ``bound`` is a frame that is cheaper to count and has at least as many rows in
@@ -55,41 +57,54 @@ def large_groups(
         if group_stats(bound, shared)[2] <= limit.rows:
             return None
     sizes, n, largest = group_stats(df, keys)
-    least = max(limit.rows, limit.share * n)
-    return None if largest <= least else sizes.where(F.col("__rows") > least)
+    size = int(max(limit.rows, limit.share * n))
+    return None if largest <= size else (sizes.where(F.col("__rows") > size), size)
 
 
-def with_ranges(
-    df: DataFrame, keys: list[str], order: Column, limit: SizeLimit, bound: DataFrame | None = None
-) -> DataFrame | None:
-    """Number the value range of every row of a large group in ``__range``.
+def range_bounds(df: DataFrame, keys: list[str], order: Column, large: DataFrame, size: int) -> DataFrame:
+    """Bounds of the ranges of each large group, as sorted lists of order keys.
 
-    The bounds of the ranges are picked by the hash of the order key: about 16 per
-    range, each distinct key once. They only balance the work; any bounds give
-    the same result, and the same rows give the same bounds on every attempt.
+    The keys are picked by their hash, each distinct key once, and every 16th of them
+    is a bound. The bounds only balance the work: any give the same result, and the
+    same rows give the same bounds on every attempt. ``__coarse`` holds every
+    ``__step``-th bound, so that a row is placed in two short searches.
     """
-    large = large_groups(df, keys, limit, bound)
-    if large is None:
-        return None
-    spread = limit.ranges * 16
     picked = (
-        df.join(F.broadcast(large), keys)
-        .withColumn("__o", order)
-        .where(F.pmod(F.xxhash64("__o"), F.greatest(F.lit(1), F.col("__rows") / spread).cast("bigint")) == 0)
+        df.join(F.broadcast(large.select(*keys)), keys)
+        .select(*keys, order.alias("__o"))
+        .where(F.pmod(F.xxhash64("__o"), F.lit(max(1, size // PICKS))) == 0)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("__o")).alias("__all"))
+        .agg(F.array_sort(F.collect_set("__o")).alias("__picked"))
     )
     bounds = picked.select(
-        *keys,
-        F.filter("__all", lambda _, i: (i % 16) == 15).alias("__bounds"),
+        *keys, F.filter("__picked", lambda _, i: i % PICKS == PICKS - 1).alias("__bounds")
     )
-    in_range = F.size(F.filter("__bounds", lambda b: b <= F.col("__o")))
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__bounds")))).cast("int")
+    stepped = bounds.withColumn("__step", step)
+    coarse = F.filter("__bounds", lambda _, i: (i + 1) % F.col("__step") == 0)
+    return stepped.withColumn("__coarse", coarse)
+
+
+def with_ranges(
+    df: DataFrame, keys: list[str], order: Column, limit: SizeLimit, bound: DataFrame | None = None
+) -> DataFrame | None:
+    """Number the value range of every row of a large group in ``__range``.
+
+    None where there is no large group. Rows of other groups are in range 0.
+    """
+    found = large_groups(df, keys, limit, bound)
+    if found is None:
+        return None
+    bounds = range_bounds(df, keys, order, *found)
+    placed = df.withColumn("__o", order).join(F.broadcast(bounds), keys, "left")
+    passed = F.size(F.filter("__coarse", lambda b: b <= F.col("__o"))) * F.col("__step")
+    placed = placed.withColumn("__passed", passed)
+    rest = F.slice("__bounds", F.col("__passed") + 1, F.col("__step"))
+    within = F.col("__passed") + F.size(F.filter(rest, lambda b: b <= F.col("__o")))
     return (
-        df.withColumn("__o", order)
-        .join(F.broadcast(bounds), keys, "left")
-        .withColumn("__range", F.when(F.col("__bounds").isNull(), 0).otherwise(in_range))
+        placed.withColumn("__range", F.when(F.col("__bounds").isNull(), 0).otherwise(within))
         .withColumn("__large", F.col("__bounds").isNotNull())
-        .drop("__bounds", "__o")
+        .drop("__bounds", "__coarse", "__step", "__passed", "__o")
     )
 
 

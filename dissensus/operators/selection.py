@@ -119,9 +119,11 @@ def only_items(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, ids.columns, "left_semi")
 
 
-def answers_to_grade(df: DataFrame, n_items: int | None, n_runs: int, at_random: bool = False) -> DataFrame:
-    """Runs below ``n_runs`` of the first, or of random, ``n_items`` items; of all if None."""
-    runs = df.where(F.col("run_idx") < n_runs)
+def answers_to_grade(
+    df: DataFrame, n_items: int | None, n_runs: int | None, at_random: bool = False
+) -> DataFrame:
+    """Runs below ``n_runs`` of the first, or of random, ``n_items`` items; all where None."""
+    runs = df if n_runs is None else df.where(F.col("run_idx") < n_runs)
     if n_items is None:
         return runs
     if at_random:

@@ -27,7 +27,7 @@ def soft_label_table(raw: DataFrame, items: DataFrame, order: list[Column] | Non
     """Mean distribution of every item in item order, checked, as text."""
     preds = ready_answers(raw, cleaning.SOFT, order)
     keys = [*ITEM, "category"]
-    average = submissions.require_sum_to_one(distributions.mean_vectors(preds, keys))
+    average = submissions.must_sum_to_one(distributions.mean_vectors(preds, keys))
     return in_order(submissions.as_text(average), items)
 
 
@@ -43,18 +43,18 @@ def perspectivist_table(
     fitting = counted.where(F.col("n_pred_annotators") == F.col("n_annotators"))
     first = selection.first_per_item(fitting.select(*ITEM, "run_idx").distinct(), ITEM)
     chosen = fitting.join(first, [*ITEM, "run_idx"], "left_semi").select(*ITEM, "category", "pred")
-    submissions.require_annotators(chosen, items)
     return in_order(submissions.as_text(chosen), items)
 
 
 def label_table(preds: DataFrame, items: DataFrame, task: str) -> DataFrame:
     """Per-annotator labels reduced for the task, in item order, checked, as text."""
     if task == cleaning.SOFT:
-        reduced = submissions.require_sum_to_one(distributions.soft_labels(preds))
+        reduced = submissions.must_sum_to_one(distributions.soft_labels(preds))
     else:
         voted = votes.vote(preds, "mode", [*ITEM, "annotator_ids"])
-        reduced = joins.labels_in_annotator_order(voted, items)
-        submissions.require_annotators(reduced, items)
+        reduced = submissions.must_have_annotators(
+            joins.labels_in_annotator_order(voted, items), items
+        )
     return in_order(submissions.as_text(reduced), items).where(F.col("pred").isNotNull())
 
 

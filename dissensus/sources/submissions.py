@@ -23,6 +23,23 @@ def require_sum_to_one(df: DataFrame, atol: float = 1e-6) -> DataFrame:
     return df
 
 
+def must_sum_to_one(df: DataFrame, atol: float = 1e-6) -> DataFrame:
+    """As require_sum_to_one, but checked while the rows are written: the job fails."""
+    checked = F.when(vectors.sums_to_one(F.col("pred"), atol), F.col("pred")).otherwise(
+        F.raise_error(F.lit("a prediction does not sum to 1")).cast("array<double>")
+    )
+    return df.withColumn("pred", checked)
+
+
+def must_have_annotators(df: DataFrame, items: DataFrame) -> DataFrame:
+    """As require_annotators for lists without categories, checked while they are written."""
+    sizes = items.select(*ITEM, F.size("annotator_ids").alias("__n")).distinct()
+    checked = F.when(F.size("pred") == F.col("__n"), F.col("pred")).otherwise(
+        F.raise_error(F.lit("a prediction has another number of annotators than its item")).cast("array<int>")
+    )
+    return df.join(sizes, ITEM, "left").withColumn("pred", checked).drop("__n")
+
+
 def annotator_mismatches(preds: DataFrame, items: DataFrame) -> DataFrame:
     """Items whose prediction has another number of annotators than the item."""
     keys = [c for c in ITEM if c in preds.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dissensus.operators import diversity, ordering
 from dissensus.operators.ordering import SizeLimit
 
-SMALL = SizeLimit(rows=50, share=1e-3, ranges=8)
+SMALL = SizeLimit(rows=50, share=1e-3)
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_large_groups_are_cut(spark, skewed):
     df = spark.createDataFrame(skewed)
     ranged = ordering.with_ranges(df, ["g"], F.struct("v", "id"), SMALL)
     sizes = ranged.where("g = 'hot'").groupBy("__range").count().toPandas()["count"]
-    assert len(sizes) > 3 and sizes.max() < (skewed["g"] == "hot").sum() / 2
+    assert 5 < len(sizes) < 60 and sizes.max() < 250
     assert ranged.where("g <> 'hot'").select("__range").distinct().collect() == [(0,)]
     assert ordering.with_ranges(df, ["g"], F.struct("v", "id"), ordering.DEFAULT_LIMIT) is None
 
@@ -90,7 +90,7 @@ def test_first_rows_are_trimmed_before_the_shuffle(spark, skewed):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("limit", [ordering.DEFAULT_LIMIT, SizeLimit(rows=20, share=1e-3, ranges=4)])
+@pytest.mark.parametrize("limit", [ordering.DEFAULT_LIMIT, SizeLimit(rows=20, share=1e-3)])
 def test_pairwise_distance_equals_the_pair_loop(spark, limit):
     import itertools
 

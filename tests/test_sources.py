@@ -160,6 +160,10 @@ def test_gates(spark):
     its = spark.createDataFrame([("MP", "dev", 1, ["a"])], "dataset string, split string, dataset_idx bigint, annotator_ids array<string>")
     with pytest.raises(submissions.InvalidSubmission):
         submissions.require_annotators(bad, its)
+    with pytest.raises(Exception, match="does not sum to 1"):
+        submissions.must_sum_to_one(bad).collect()
+    with pytest.raises(Exception, match="another number of annotators"):
+        submissions.must_have_annotators(bad.withColumn("pred", F.array(F.lit(1), F.lit(0))), its).collect()
     check = submissions.row_check(bad.withColumn("run_idx", F.lit(0)), its, runs=1).first()
     assert (check["expected"], check["found"], check["off"]) == (1, 1, False)
 

@@ -29,6 +29,7 @@ def main() -> None:
         "| --- | --- | --- |",
     ]
     for i, what in rows:
+        what = re.sub(r" ?\(`[^)]*\)", "", what)
         lines.append(f"| {i} | {what.strip()} | {', '.join(f'`{n}`' for n in by_id.get(i, []))} |")
     (ROOT / "COVERAGE.md").write_text("\n".join(lines) + "\n")
     missing = [i for i, _ in rows if i not in by_id]

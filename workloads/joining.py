@@ -28,16 +28,16 @@ def _(t):
 
 
 # Suppliers as annotators. Every other one is known by a name with the prefix Ann,
-# every fifth one not at all.
+# those with a low balance not at all.
 @view(
     "annotators",
-    """SELECT 'all' AS dataset, s_suppkey AS suppkey, CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE n_name END AS nation,
+    """SELECT 'all' AS dataset, s_suppkey AS suppkey, CASE WHEN s_acctbal < 1500 THEN NULL ELSE n_name END AS nation,
               CASE WHEN s_suppkey % 2 = 0 THEN 'Ann' ELSE '' END || s_suppkey AS seen_as
        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def annotators(t):
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).where(
-        F.col("s_suppkey") % 5 != 4
+        F.col("s_acctbal") >= 1500
     ).select(
         F.lit("all").alias("dataset"), F.col("s_suppkey").cast("string").alias("annotator_id"),
         F.create_map(F.lit("nation"), "n_name").alias("attrs"),

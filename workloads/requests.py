@@ -19,7 +19,7 @@ ITEM = ["dataset", "split", "dataset_idx"]
     """SELECT conv_id, turn, role, text, turn % 2 = 0 AS readable FROM conversations""",
 )
 def dialogs(t):
-    steps = F.to_json(F.array("role", F.substring("text", 1, 10)))
+    steps = F.to_json(F.array("role", "text"))
     final = F.concat(F.lit("answer "), F.col("turn"))
     good = F.concat(F.lit('{"steps": '), steps, F.lit(', "final_response": "'), final, F.lit('"}'))
     return t.conversations.select(
@@ -94,7 +94,7 @@ def _(t):
 
 @query(
     "judge_prompts_answer_steps", "B3 B4 P15",
-    """SELECT conv_id, turn, role AS problem, 2::INTEGER AS n, left(text, 10) AS step, 'answer ' || turn AS final FROM dialogs WHERE readable""",
+    """SELECT conv_id, turn, role AS problem, 2::INTEGER AS n, text AS step, 'answer ' || turn AS final FROM dialogs WHERE readable""",
 )
 def _(t):
     out = batches.with_judge_prompt(t.dialogs, "answer_steps", "{PROBLEM}@@{STEPS}@@{FINAL_RESPONSE}")
@@ -171,7 +171,7 @@ def _(t):
 def _(t):
     first = ordering.first_rows(t.dialogs, ITEM, [F.col("run_idx")]).select(*ITEM, F.col("text").alias("topic"))
     rows = t.dialogs.join(first, ITEM).withColumns({"text": F.col("topic"), "success": F.lit(True)}).drop("topic", "target")
-    out = batches.judge_requests(rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=None, n_runs=10**6)
+    out = batches.judge_requests(rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=None, n_runs=None)
     pieces = F.split("judge_prompt", "@@")
     listed = F.from_json(pieces[1], "array<struct<run_idx:int>>")
     return out.select(
@@ -203,10 +203,9 @@ def _(t):
 
 
 @query(
-    "open_requests", "B6 J4 F18",
-    """WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)
-       SELECT o_orderkey AS dataset_idx, r.r::INTEGER AS run_idx, 'Order ' || o_orderkey AS prompt FROM i, range(3) r(r)
-       WHERE pos % 4 = 1 AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.dataset_idx = o_orderkey AND a.run_idx = r.r AND a.q > 10)""",
+    "open_requests", "B6 J4",
+    """SELECT o_orderkey AS dataset_idx, r.r::INTEGER AS run_idx, 'Order ' || o_orderkey AS prompt FROM orders, range(3) r(r)
+       WHERE NOT EXISTS (SELECT 1 FROM answers a WHERE a.dataset_idx = o_orderkey AND a.run_idx = r.r AND a.q > 10)""",
 )
 def _(t):
     fixed = {"dataset": F.lit("all"), "split": F.lit("all")}
@@ -215,9 +214,7 @@ def _(t):
     templates = t.spark.createDataFrame(
         [("all", 31, "Order {text}")], "dataset string, template_id int, template string"
     )
-    out = batches.prediction_requests(
-        items.withColumns(fixed), templates, n_loops=3, rank=1, world=4, done=done
-    )
+    out = batches.prediction_requests(items.withColumns(fixed), templates, n_loops=3, done=done)
     return out.select("dataset_idx", "run_idx", "prompt")
 
 
@@ -251,7 +248,7 @@ def _(t):
     done = rows.where("run_idx % 3 = 0")
     shown = [{"role": "user", "content": "example"}, {"role": "assistant", "content": "great"}]
     out = batches.judge_requests(
-        rows, "reformat", "{problem} {response}", n_items=None, n_runs=10**6, done=done, fewshot=shown
+        rows, "reformat", "{problem} {response}", n_items=None, n_runs=None, done=done, fewshot=shown
     )
     return out.select(*keys(), F.size("convo").alias("n_messages"))
 
