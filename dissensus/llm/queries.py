@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +31,29 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_benchmark_passages")
+def op3(spark, folder):
+    from dissensus.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_toxicity")
+def op6(spark, folder):
+    from dissensus.llm import toxicity
+
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "toxic",
+    )
+
+
 @query("op7_token_files")
 def op7(spark, folder):
     from dissensus.llm import tokenfiles
