@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dissensus.llm import pretokens
 
@@ -197,7 +198,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     executor can read.
     """
     kept = [c for c in docs.columns if c != name]
-    schema = docs.select(*kept).schema.add(name, "array<int>")
+    schema = docs.select(*kept).schema.add(name, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         coder = memo(path)

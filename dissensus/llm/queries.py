@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import dissensus
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in SHIPPED:
+        package = Path(dissensus.__file__).parent
+        into = Path(tempfile.mkdtemp(prefix="run-")) / "dissensus.zip"
+        with zipfile.ZipFile(into, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(into))
+        SHIPPED.add(context.applicationId)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -22,6 +43,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -31,6 +53,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_duplicates")
+def op1(spark, folder):
+    from dissensus.llm import minhash
+
+    return minhash.classes(table(spark, folder, "documents"))
+
+
 @query("op3_benchmark_passages")
 def op3(spark, folder):
     from dissensus.llm import decontaminate
