@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dissensus
+from dissensus.llm import licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +68,49 @@ def op3(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+# Fixed values of the query.
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query(
+    "op4_url_filter",
+    """
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canon FROM p),
+    l AS (SELECT canon FROM c WHERE canon <> '' GROUP BY canon HAVING count(*) > 1),
+    r AS (SELECT * FROM (VALUES %s) r(verdict, rule)),
+    f AS (SELECT host, path, min({'n': -length(rule), 'k': rule, 'v': verdict}) AS best
+          FROM (SELECT DISTINCT host, path FROM p) d JOIN r
+            ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+           AND starts_with(path, rule[instr(rule, '/'):])
+          GROUP BY host, path)
+    SELECT c.page_id, c.host, c.path, f.best.k AS rule,
+           coalesce(f.best.v, CASE WHEN l.canon IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+           l.canon IS NOT NULL AS listed
+    FROM c LEFT JOIN f ON c.host = f.host AND c.path = f.path LEFT JOIN l ON c.canon = l.canon
+    """
+    % ", ".join(map(str, RULES)),
+)
+def op4(spark, folder):
+    from dissensus.llm import urlfilter
+
+    pages = table(spark, folder, "pages")
+    return urlfilter.judge(pages, urlfilter.rule_table(spark, RULES), urlfilter.repeated(pages))
+
+
+@query("op5_license_scan", licenses.sql())
+def op5(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op6_toxicity")
 def op6(spark, folder):
     from dissensus.llm import toxicity
