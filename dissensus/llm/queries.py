@@ -154,3 +154,12 @@ def op9(spark, folder):
     from dissensus.llm import exactdedup
 
     return exactdedup.groups(table(spark, folder, "documents"))
+
+
+@query("op10_warc_index")
+def op10(spark, folder):
+    from dissensus.llm import warc
+
+    return warc.archive(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "place", "capture"
+    )
