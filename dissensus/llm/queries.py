@@ -61,6 +61,22 @@ def op1(spark, folder):
     return minhash.classes(table(spark, folder, "documents"))
 
 
+@query("op2_language")
+def op2(spark, folder):
+    """The language of every page and of every document, in one table."""
+    from dissensus.llm import langid
+
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    model = langid.train(docs)
+    which = lambda name: F.struct(F.lit(name).alias("table"), F.col("key").alias("id")).alias("key")
+    rest = ["text", "declared", "suffix", "host", "domain"]
+    rows = langid.page_evidence(pages).select(which("pages"), *rest)
+    rows = rows.unionByName(langid.text_evidence(docs).select(which("documents"), *rest))
+    of = lambda name: F.when(F.col("key")["table"] == name, F.col("key")["id"])
+    found = langid.identify(rows, model)
+    return found.select(of("documents").alias("doc_id"), of("pages").alias("page_id"), *found.columns[1:])
+
+
 @query("op3_benchmark_passages")
 def op3(spark, folder):
     from dissensus.llm import decontaminate
