@@ -5,24 +5,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dissensus.llm import bpe, exactdedup
+from dissensus.llm import bpe, decontaminate, exactdedup, minhash, toxicity
 from dissensus.llm.queries import table, vocabulary
 from dissensus.session import written
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reach their language's threshold go. The classifier is fitted to
+    the labelled ones among ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing ``A-Z``, the row with the largest id stays."""
     return exactdedup.keep_newest(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id stays."""
+    return minhash.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark`` go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and the decoded bytes of each document."""
     return bpe.digests(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-STAGES = [("exact dedup", exact_dedup), ("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("encoding", encode),
+]
 
-# The classifier of the first stage and the signatures of the third are not SQL.
+# The classifier, the signatures and the encoder are not SQL.
 ORACLE_SQL = None
 
 

@@ -243,10 +243,21 @@ def contaminated(
     return source.mapInArrow(run, schema).withColumnsRenamed({"key": key, "item": item})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; rows with null keys or texts too.
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns, in one pass.
+    Null and empty texts hold none."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(benchmark, item, item_text))
 
-    Rows with a key that another, contaminated row has too are judged by key.
-    """
-    found = contaminated(docs, benchmark, key, text).select(F.col(key).alias("__found")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__found")), "left_anti")
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            data, offsets = W.utf8(batch.column(text).cast(pa.string()))
+            for lo, hi in W.chunks(offsets, 1 << 18):
+                found = matches(index, W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                stays = np.ones(hi - lo, dtype=bool)
+                stays[[m[0] for m in found]] = False
+                yield batch.slice(lo, hi - lo).filter(pa.array(stays))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -177,8 +177,9 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     said = written(said, "text-evidence")
     # A text that says nothing adds nothing to the sums.
     share = lambda p: F.when(F.col("known"), F.col(p)).otherwise(0.0)
-    every = said.agg(*[F.coalesce(F.sum(share(p)), F.lit(0.0)).alias(f"all_{p}") for p in ps])
-    joined = said.crossJoin(F.broadcast(every))  # one row
+    # One number per language.
+    every = said.agg(*[F.coalesce(F.sum(share(p)), F.lit(0.0)).alias(p) for p in ps]).first()
+    joined = said.withColumns({f"all_{p}": F.lit(every[p]) for p in ps})
     for level in ("declared", "suffix", "host", "domain"):
         sums = said.filter(F.col(level).isNotNull()).groupBy(level).agg(*[F.sum(share(p)).alias(f"{level}_{p}") for p in ps])
         joined = joined.join(sums, level, "left")

@@ -234,11 +234,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is the id of a class, and those with null keys.
 
-    Of rows that repeat that key, all with the same words stay only if there is one; the
-    row of the lowest text stays.
+    Of rows that repeat such a key the one with the lowest text stays.
     """
-    heads = classes(docs, key, text).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("__head")).distinct()
-    kept = docs.join(heads, F.col(key) == F.col("__head"), "left_semi")
+    found = classes(docs, key, text).select(F.col(key).alias("__key"), "class_id").filter("__key IS NOT NULL")
+    found = written(found, "classes-of-keys")
+    repeated = found.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class_id")).filter("n > 1")
+    dropped = found.filter("__key <> class_id").select("__key").unionByName(repeated.select("__key")).distinct()
+    same = F.col(key) == F.col("__key")
+    once = docs.join(dropped, same, "left_anti")
+    heads = docs.join(repeated.filter("__key = class_id").select("__key"), same, "left_semi")
     place = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    kept = kept.withColumn("__place", place).filter("__place = 1").drop("__place")
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    heads = heads.withColumn("__place", place).filter("__place = 1").drop("__place")
+    return once.unionByName(heads)
