@@ -5,10 +5,10 @@ its weighted words. A fingerprint is cut into blocks: two that differ in at most
 bits agree up to one bit in some block, so a table of all such block values finds every
 fingerprint within the radius. Candidates are compared by their weighted shingles.
 
-Item lengths fall into classes. The windows of a class are as long as its shortest item
-less STRIDE - 1 words and begin at every STRIDE-th word, and an item is known by the
-windows at each of its words: wherever an item stands, a window of the document and one
-of the item cover the same words.
+Item lengths fall into classes. The windows of a class have COVER of the words of its
+shortest item, so that a passage which lost words at an end still has whole windows. They
+begin at every STRIDE-th word of a document and at each word of an item: wherever an item
+stands, a window of the document and one of the item cover the same words.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ BLOCKS = 4
 # A bit of difference a block: 2 * BLOCKS - 1 bits are found for certain.
 RADIUS = 2 * BLOCKS - 1
 STRIDE = 3
+COVER = 0.8
 GROWTH = 1.25  # from a length class to the next
 SLACK = 2  # words an item may have moved by, after words were put in or left out
 # Items the driver and each worker may hold; about 1 KB each.
@@ -97,8 +98,8 @@ def build(keys: list, texts: list[str | None]) -> Index:
     rows, values, _ = W.counted(w.hashes, w.rows())
     known, held_by = np.unique(values, return_counts=True)
     # Words of few items weigh 3, those of many 1.
-    share = held_by / max(1, len(keys))
-    weights = np.where(share <= 0.02, 3, np.where(share <= 0.2, 2, 1)).astype(np.uint8)
+    few, many = max(1, 0.02 * len(keys)), max(1, 0.2 * len(keys))
+    weights = np.where(held_by <= few, 3, np.where(held_by <= many, 2, 1)).astype(np.uint8)
     index = Index(list(keys), sizes, [], known, weights, 3, [])
     every = index.word_weights(w.hashes)
     for lo, hi in zip(w.bounds, w.bounds[1:]):
@@ -109,7 +110,7 @@ def build(keys: list, texts: list[str | None]) -> Index:
         members = lengths[lengths < max(lengths[0] * GROWTH, lengths[0] + 1)]
         lengths = lengths[len(members) :]
         # Weights of a window add up to less than 256.
-        window = int(min(max(1, members[0] - STRIDE + 1), 255 // index.top))
+        window = int(min(max(1, COVER * members[0] - STRIDE + 1), 255 // index.top))
         found, items, offsets = [], [], []
         for i in np.flatnonzero(np.isin(sizes, members)):
             at = np.arange(sizes[i] - window + 1)
