@@ -11,13 +11,13 @@ from dissensus.functions import text, vectors
 from dissensus.schemas import RATED_STEPS
 
 
-def grade_values(ok: float = 0, bad: float = -1) -> dict[str, float]:
-    """Number of each grade word."""
-    return {"great": 1.0, "ok": float(ok), "okay": float(ok), "bad": float(bad)}
-
-
-# The two ways of valuing a middling step that are compared.
-GRADE_MAPPINGS = {"ok=0": grade_values(ok=0, bad=0), "ok=1": grade_values(ok=1, bad=0)}
+# The words that grade a step, as numbers.
+SIGNED_GRADES = {"great": 1.0, "ok": 0.0, "okay": 0.0, "bad": -1.0}
+# The two ways of valuing a middling step that are compared.
+GRADE_MAPPINGS = {
+    "ok=0": {"great": 1.0, "ok": 0.0, "okay": 0.0, "bad": 0.0},
+    "ok=1": {"great": 1.0, "ok": 1.0, "okay": 1.0, "bad": 0.0},
+}
 
 
 def product(grades: Column) -> Column:
@@ -40,7 +40,7 @@ def parse_ratings(response: Column) -> Column:
 
 def step_grades(rated_steps: Column, values: dict[str, float] | None = None) -> Column:
     """Grades of the steps as numbers; null as soon as one grade is not a known word."""
-    values = grade_values() if values is None else values
+    values = SIGNED_GRADES if values is None else values
     words = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return vectors.bind(
         F.transform(rated_steps, lambda s: F.try_element_at(words, s["rating"])),

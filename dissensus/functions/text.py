@@ -47,15 +47,31 @@ def outermost(text: Column) -> Column:
 def parse(text: Column, schema: str) -> Column:
     """Lenient JSON parse of what stands between the outermost braces or brackets.
 
-    A text that fails is tried again without trailing commas, if it has any. Null
-    where neither parses.
+    What fails is tried again: without trailing commas; from the first brace on, for
+    objects, or the first bracket, for lists, where other brackets stand before it; and,
+    where an object is cut off, closed as it is or after its last whole pair. Null where
+    nothing parses.
     """
     inner = outermost(text)
-    again = F.when(
-        F.rlike(inner, F.lit(TRAILING_COMMA)),
-        F.from_json(F.regexp_replace(inner, TRAILING_COMMA, "$1"), schema, LENIENT_JSON),
-    )
-    return F.coalesce(F.from_json(inner, schema, LENIENT_JSON), again)
+    read = lambda part: F.from_json(part, schema, LENIENT_JSON)
+    tries = [read(inner)]
+    tries.append(F.when(F.rlike(inner, F.lit(TRAILING_COMMA)), read(F.regexp_replace(inner, TRAILING_COMMA, "$1"))))
+    first, last = ("[", "]") if schema.startswith("array") else ("{", "}")
+    at = F.instr(text, first)
+    if schema.startswith("array"):
+        own = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    else:
+        own = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    tries.append(F.when((at > 0) & (own != inner), read(own)))
+    if not schema.startswith("array"):
+        rest = F.when(at > 0, F.substr(text, at))
+        whole = F.regexp_extract(rest, r"(?s)^(.*),", 1)
+        ends = ("}", "}}") if schema.count("map") > 1 else ("}",)
+        for part in (rest, whole):
+            # A text that ends with a brace is not cut off.
+            cut = ~F.rlike(rest, F.lit(r"\}\s*$"))
+            tries += [F.when(cut, read(F.concat(part, F.lit(end)))) for end in ends]
+    return F.coalesce(*tries)
 
 
 def final_response(text: Column) -> Column:
@@ -86,9 +102,11 @@ def int_list(text: Column) -> Column:
 
 def int_list_by_category(text: Column) -> Column:
     """Category to list of integers; lists with anything else become null."""
+    def integer(x: Column) -> Column:
+        return F.when(F.rlike(x, F.lit(r"^-?\d+$")), x.try_cast("int"))
+
     def whole(xs: Column) -> Column:
-        good = F.forall(xs, lambda x: F.coalesce(F.rlike(x, F.lit(r"^-?\d{1,9}$")), F.lit(False)))
-        return F.when(good, F.transform(xs, lambda x: x.try_cast("int")))
+        return F.when(F.forall(xs, lambda x: integer(x).isNotNull()), F.transform(xs, integer))
 
     return F.transform_values(parse(text, "map<string,array<string>>"), lambda _, xs: whole(xs))
 
@@ -98,9 +116,10 @@ def number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def whole_number(text: Column, width: int = 10) -> Column:
-    """The first characters of a text, read as a number and cut to an integer."""
-    return F.substr(text, F.lit(1), F.lit(width)).try_cast("double").try_cast("bigint")
+def whole_number(text: Column) -> Column:
+    """A text read as a number, decimals cut; null if it is none or beyond a bigint."""
+    whole = F.when(F.rlike(text, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(text).try_cast("bigint"))
+    return F.coalesce(whole, text.try_cast("double").try_cast("bigint"))
 
 
 def int_or_text(text: Column) -> Column:

@@ -127,18 +127,28 @@ def without_prompt(df: DataFrame, name: str = "judge_prompt") -> DataFrame:
     return df.where(F.col(name).isNull()).select(*[c for c in [*ITEM, "run_idx"] if c in df.columns], reason.alias("reason"))
 
 
-def solutions_per_item(df: DataFrame, keys: list[str] | None = None, per_row: int = 1000) -> DataFrame:
-    """All solutions of an item as lists ordered by run: (keys, part, solutions).
+SOLUTION_FIELDS = ("run_idx", "model_id", "reasoning", "response")
 
-    A list holds at most ``per_row`` solutions. An item with more of them goes on
-    in rows with the next ``part``, so no row grows with the data.
-    """
+
+def solutions(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """All solutions of an item in the order of their runs, one row each: (keys, place, ..)."""
     keys = keys or ["dataset_idx"]
-    fields = [c for c in ("run_idx", "model_id", "reasoning", "response") if c in df.columns]
+    fields = [c for c in SOLUTION_FIELDS if c in df.columns]
     order = [F.col("run_idx"), F.xxhash64(*fields)]
-    placed = ordering.running_total(df.select(*dict.fromkeys([*keys, *fields])), keys, order, name="__r")
-    part = F.floor(F.col("__r") / per_row).cast("int").alias("part")
-    listed = F.array_sort(F.collect_list(F.struct("__r", *fields)))
+    return ordering.running_total(df.select(*dict.fromkeys([*keys, *fields])), keys, order, name="place")
+
+
+def solutions_per_item(df: DataFrame, per_row: int, keys: list[str] | None = None) -> DataFrame:
+    """The solutions of an item as lists ordered by run: (keys, part, solutions).
+
+    A list holds ``per_row`` solutions, as many as the caller's requests can take. An
+    item with more of them goes on in rows with the next ``part``.
+    """
+    keys = keys or ["dataset_idx"]
+    fields = [c for c in SOLUTION_FIELDS if c in df.columns]
+    placed = solutions(df, keys)
+    part = F.floor(F.col("place") / per_row).cast("int").alias("part")
+    listed = F.array_sort(F.collect_list(F.struct("place", *fields)))
     return placed.groupBy(*keys, part).agg(
         F.transform(listed, lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("solutions")
     )
@@ -230,6 +240,7 @@ def judge_requests(
     done: DataFrame | None = None,
     fewshot: list[dict] | None = None,
     settings: dict | None = None,
+    per_request: int | None = None,
 ) -> DataFrame:
     """One request per answer that is to be graded; of all items or runs where None.
 
@@ -245,7 +256,9 @@ def judge_requests(
     if items is not None:
         rows = joins.join_items(rows, items)
     if kind == "ranking":
-        parts = solutions_per_item(rows, ITEM)
+        if per_request is None:
+            raise ValueError("say how many solutions a ranking request can take")
+        parts = solutions_per_item(rows, per_request, ITEM)
         rows = rows.select(*ITEM, "text").dropDuplicates(ITEM).join(parts, ITEM)
         keys = [*ITEM, "part"]
     else:

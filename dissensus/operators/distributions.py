@@ -22,19 +22,39 @@ def label_shares(
     index: Column,
     n: Column,
     name: str = "pred",
-    width: int = registry.MAX_CLASSES,
+    width: int | None = None,
 ) -> DataFrame:
     """Share of each class among the rows of a group; ``n`` depends on the keys only.
 
-    ``width`` is the largest number of classes that occurs.
+    Labels outside 0..n-1 count in no class and not in the whole. ``width`` is the
+    largest number of classes that occurs, if that is known: then a group is one row of
+    an aggregate, and more classes are an error. Without it classes are counted as rows.
     """
     rows = df.withColumns({"__i": index, "__classes": n})
-    counts = [F.expr(f"count_if(__i = {k})").alias(f"__c{k}") for k in range(width)]
+    inside = "(__i >= 0 AND __i < __classes)"
+    if width is None:
+        counted = rows.groupBy(*keys, "__i", "__classes").agg(F.count(F.lit(1)).alias("__c"))
+        # As many entries as classes.
+        entry = F.when(F.expr(inside), F.struct("__i", "__c"))
+        grouped = counted.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(entry)).alias("__m"),
+            F.sum(F.when(F.expr(inside), F.col("__c"))).alias("__n"),
+            F.max("__classes").alias("__k"),
+        )
+        share = "transform(sequence(0, CAST(__k AS INT) - 1), i -> coalesce(try_element_at(__m, i), 0) / __n)"
+        return grouped.select(*keys, F.expr(f"if(__k > 0, {share}, NULL)").alias(name))
+    counts = [F.expr(f"count_if({inside} AND __i = {k})").alias(f"__c{k}") for k in range(width)]
     grouped = rows.groupBy(*keys).agg(
-        *counts, F.count(F.lit(1)).alias("__n"), F.first("__classes").alias("__k")
+        *counts, F.expr(f"nullif(count_if({inside}), 0)").alias("__n"), F.first("__classes").alias("__k")
     )
     shares = ", ".join(f"__c{k} / __n" for k in range(width))
-    return grouped.select(*keys, F.expr(f"slice(array({shares}), 1, __k)").alias(name))
+    return grouped.select(*keys, fitting(F.expr(f"slice(array({shares}), 1, __k)"), width).alias(name))
+
+
+def fitting(vector: Column, width: int) -> Column:
+    """The vector; an error where ``__k``, its length, is above ``width``."""
+    told = F.raise_error(F.lit(f"more than {width} classes")).cast("array<double>")
+    return F.when(F.col("__k") > width, told).otherwise(vector)
 
 
 def soft_labels(df: DataFrame, keys: list[str] | None = None, col: str = "pred", name: str = "pred") -> DataFrame:
@@ -46,6 +66,7 @@ def soft_labels(df: DataFrame, keys: list[str] | None = None, col: str = "pred",
         registry.class_index(dataset, F.col(col).cast("int")),
         registry.n_classes(dataset),
         name,
+        registry.MAX_CLASSES,
     )
 
 
@@ -54,17 +75,31 @@ def mean_vectors(
     keys: list[str],
     col: str = "pred",
     weight: Column | None = None,
-    width: int = registry.MAX_CLASSES,
+    width: int | None = None,
     renormalise: bool = True,
 ) -> DataFrame:
-    """Weighted mean of the vectors of a group, scaled to sum to 1."""
+    """Weighted mean of the vectors of a group, scaled to sum to 1.
+
+    ``width`` is the largest length that occurs, if that is known: then a group is one
+    row of an aggregate, and longer vectors are an error. Without it the vectors are
+    added up as rows of (keys, class).
+    """
     w = F.lit(1.0) if weight is None else weight
+    if width is None:
+        rows = df.select(*keys, w.alias("__w"), F.posexplode_outer(col).alias("__i", "__x"))
+        sums = rows.groupBy(*keys, "__i").agg(F.expr("sum(__w * __x)").alias("__s"), F.sum("__w").alias("__w"))
+        # As many entries as classes; the first class has the weight of all vectors.
+        entry = F.when(F.col("__i").isNotNull(), F.struct("__i", "__s"))
+        whole = F.sum(F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__w")))
+        grouped = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__v"), whole.alias("__w"))
+        mean = F.transform("__v", lambda x: F.try_divide(x["__s"], F.col("__w")))
+        return grouped.select(*keys, (vectors.normalised(mean) if renormalise else mean).alias(col))
     sums = [F.expr(f"sum(__w * get(`{col}`, {k}))").alias(f"__s{k}") for k in range(width)]
     grouped = df.withColumn("__w", w).groupBy(*keys).agg(
         *sums, F.sum("__w").alias("__w"), F.max(F.size(col)).alias("__k")
     )
     means = ", ".join(f"try_divide(__s{k}, __w)" for k in range(width))
-    mean = F.expr(f"slice(array({means}), 1, __k)")
+    mean = fitting(F.expr(f"slice(array({means}), 1, __k)"), width)
     return grouped.select(*keys, (vectors.normalised(mean) if renormalise else mean).alias(col))
 
 
@@ -83,7 +118,7 @@ def example_keys(df: DataFrame) -> list[str]:
 
 def model_average(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """Mean distribution of the repeated answers to an item."""
-    return mean_vectors(df, example_keys(df), weight=weight)
+    return mean_vectors(df, example_keys(df), weight=weight, width=registry.MAX_CLASSES)
 
 
 def model_average_metrics(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -115,7 +150,7 @@ def dataset_mean(items: DataFrame) -> DataFrame:
     if "category" in items.columns:
         categories = sorted({c for s in registry.SCHEMES.values() for c in s.categories})
         known, keys = known.where(F.col("category").isin(categories)), ["dataset", "category"]
-    return mean_vectors(known.withColumn("pred", F.col("target")), keys, renormalise=False)
+    return mean_vectors(known.withColumn("pred", F.col("target")), keys, width=registry.MAX_CLASSES, renormalise=False)
 
 
 def dataset_mean_metrics(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.functions import vectors
-from dissensus.operators import ordering
+from dissensus.operators import nulls, ordering
 from dissensus.operators.ordering import DEFAULT_LIMIT, SizeLimit
 from dissensus.schemas import ITEM
 from dissensus.session import written
@@ -43,11 +43,11 @@ def pairwise_wasserstein(
 
 
 def quintile(value: Column, edges: list[Column]) -> Column:
-    """Q1..Q5 by the four inner edges; each bin includes its upper edge."""
+    """Q1..Q5 by the four inner edges; each bin includes its upper edge. Null without edges."""
     tag = F.when(value <= edges[0], "Q1")
     for i, edge in enumerate(edges[1:], start=2):
         tag = tag.when(value <= edge, f"Q{i}")
-    return F.when(value.isNotNull(), tag.otherwise("Q5"))
+    return F.when(value.isNotNull() & edges[-1].isNotNull(), tag.otherwise("Q5"))
 
 
 def with_quintile(
@@ -66,7 +66,7 @@ def with_quintile(
     names = [f"__q{i}" for i in range(len(QUINTILES))]
     tag = quintile(F.col(value), [F.col(n) for n in names])
     if by:
-        joined = df.join(edges, by, "left")
+        joined = nulls.join(df, edges, by, "left")
     else:
         one_row = edges.select(F.struct(*names).alias("__q"))
         joined = df.withColumn("__q", one_row.scalar()).select("*", "__q.*").drop("__q")

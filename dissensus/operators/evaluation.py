@@ -123,7 +123,7 @@ def graded(ratings: DataFrame, values: dict | None = None, reduction: str = "mea
 
 
 def score_from_json(ratings: DataFrame, reduction: str = "mean") -> DataFrame:
-    return graded(ratings, grades.grade_values(ok=0, bad=0), reduction)
+    return graded(ratings, grades.GRADE_MAPPINGS["ok=0"], reduction)
 
 
 def score_from_number(ratings: DataFrame) -> DataFrame:

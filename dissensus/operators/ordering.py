@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dissensus.operators import nulls
+
 
 @dataclass(frozen=True)
 class SizeLimit:
@@ -70,7 +72,7 @@ def range_bounds(df: DataFrame, keys: list[str], order: Column, large: DataFrame
     ``__step``-th bound, so that a row is placed in two short searches.
     """
     picked = (
-        df.join(F.broadcast(large.select(*keys)), keys)
+        nulls.join(df, F.broadcast(large.select(*keys)), keys)
         .select(*keys, order.alias("__o"))
         .where(F.pmod(F.xxhash64("__o"), F.lit(max(1, size // PICKS))) == 0)
         .groupBy(*keys)
@@ -96,7 +98,7 @@ def with_ranges(
     if found is None:
         return None
     bounds = range_bounds(df, keys, order, *found)
-    placed = df.withColumn("__o", order).join(F.broadcast(bounds), keys, "left")
+    placed = nulls.join(df.withColumn("__o", order), F.broadcast(bounds), keys, "left")
     passed = F.size(F.filter("__coarse", lambda b: b <= F.col("__o"))) * F.col("__step")
     placed = placed.withColumn("__passed", passed)
     rest = F.slice("__bounds", F.col("__passed") + 1, F.col("__step"))
@@ -152,9 +154,7 @@ def running_total(
         F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__offset"),
         F.sum("__w").over(group).alias("__group"),
     )
-    joined = with_window(ranged, [*keys, "__range"]).join(
-        F.broadcast(offsets), [*keys, "__range"], "left"
-    )
+    joined = nulls.join(with_window(ranged, [*keys, "__range"]), F.broadcast(offsets), [*keys, "__range"], "left")
     joined = joined.withColumn(name, F.col(name) + F.coalesce("__offset", F.lit(0)))
     if total:
         joined = joined.withColumn(total, F.coalesce("__group", total))

@@ -6,15 +6,11 @@ depend on partitioning and repeat on every engine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dissensus.functions import rng
-from dissensus.operators import ordering
+from dissensus.functions import normal, rng
+from dissensus.operators import nulls, ordering
 
 CONFIDENCE = 0.95
 N_RESAMPLES = 9999
@@ -29,14 +25,9 @@ def replicate_sums(
     replicates. The partial sums of a map task replace its rows before the shuffle.
     """
     blocks = (n_resamples + 3) // 4
-    spark = df.sparkSession
-    # Every row becomes many, so few partitions of rows are spread over the cluster first.
-    tasks = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
     rows = df.select(
         *keys, F.col(value).cast("double").alias("__x"), rng.key_text(F.lit(seed), *row_key).alias("__key")
-    ).repartition(tasks, "__key")
+    )
     words = rows.select(
         *keys, "__x", "__key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
     ).withColumn("__md5", rng.order_key(F.col("__key"), F.col("__block")))
@@ -94,7 +85,7 @@ def bootstrap_mean(
     if method == "BCa":
         sorted_means = F.array_sort(F.collect_list("m")).alias("__means")
         both = join_on(stats, means.groupBy(*keys).agg(sorted_means), keys)
-        out = both.mapInPandas(bca_rows(alpha), bca_schema(both, keys))
+        out = with_bca_ends(both, alpha)
     else:
         ends = F.percentile("m", F.array(F.lit(alpha), F.lit(1 - alpha)))
         both = join_on(stats, means.groupBy(*keys).agg(ends.alias("__q")), keys)
@@ -109,70 +100,42 @@ def bootstrap_mean(
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of two group tables; without keys both have one row."""
-    return left.join(right, keys, "inner") if keys else left.join(right, F.lit(True), "inner")
-
-
-def bca_schema(df: DataFrame, keys: list[str]) -> str:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys]
-    return ", ".join([*fields, "low double", "mean double", "high double", "n_samples bigint"])
+    return nulls.join(left, right, keys)
 
 
-def bca_rows(alpha: float):
-    """Bias-corrected and accelerated interval of each row's replicate means.
+def with_bca_ends(groups: DataFrame, alpha: float) -> DataFrame:
+    """Bias-corrected and accelerated interval ``low, high`` from a group's sorted
+    replicate means in ``__means``.
 
-    The jackknife of a mean needs no resampling: its acceleration is the skewness
-    of the values over ``6 sqrt(n)``.
+    The jackknife of a mean needs no resampling: its acceleration is the skewness of the
+    values over ``6 sqrt(n)``; that of a constant group, which has none, counts as 0.
+    Where all replicates are on one side of the mean, their extremes are the interval.
+    Each step is a column of its own, as the next one uses it many times.
     """
+    means, mean, n = F.col("__means"), F.col("mean"), F.size("__means")
+    below = F.size(F.filter(means, lambda m: m < mean)) + F.size(F.filter(means, lambda m: m <= mean))
+    skew = F.when(F.isnan("__skew"), 0.0).otherwise(F.coalesce("__skew", F.lit(0.0)))
+    out = groups.withColumns({"__share": below / (n * 2), "__a": skew / (F.sqrt("n_samples") * 6)})
+    out = out.withColumn("__bias", normal.quantile(F.col("__share")))
+    ends = {"low": alpha, "high": 1 - alpha}
+    out = out.withColumns({f"__{e}_z": F.col("__bias") + normal.quantile(F.lit(p)) for e, p in ends.items()})
+    out = out.withColumns({f"__{e}_x": F.col("__bias") + F.col(f"__{e}_z") / (1 - F.col("__a") * F.col(f"__{e}_z")) for e in ends})
+    out = out.withColumns({f"__{e}_place": normal.cdf(F.col(f"__{e}_x")) * (n - 1) for e in ends})
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from statistics import NormalDist
-
-        import numpy as np
-
-        normal = NormalDist()
-
-        def interval(row) -> tuple[float, float]:
-            means = np.asarray(row["__means"])
-            below = ((means < row["mean"]).mean() + (means <= row["mean"]).mean()) / 2
-            if not 0 < below < 1:
-                return float(means[0]), float(means[-1])
-            z0 = normal.inv_cdf(below)
-            # Undefined for a constant group.
-            skew = row["__skew"] if row["__skew"] == row["__skew"] and row["__skew"] is not None else 0.0
-            a = skew / (6 * row["n_samples"] ** 0.5)
-            ends = []
-            for p in (alpha, 1 - alpha):
-                z = z0 + normal.inv_cdf(p)
-                ends.append(float(np.quantile(means, normal.cdf(z0 + z / (1 - a * z)))))
-            return ends[0], ends[1]
-
-        for pdf in batches:
-            ends = [interval(row) for _, row in pdf.iterrows()]
-            pdf = pdf.drop(columns=["__means", "__skew"])
-            yield pdf.assign(low=[e[0] for e in ends], high=[e[1] for e in ends])
+    def at(end: str, extreme: Column) -> Column:
+        place = F.col(f"__{end}_place")
+        lower, upper = (F.get(means, side(place).cast("int")) for side in (F.floor, F.ceil))
+        inside = (F.col("__share") > 0) & (F.col("__share") < 1)
+        return F.when(inside, lower + (upper - lower) * (place - F.floor(place))).otherwise(extreme)
 
-    return rows
+    return out.withColumns({"low": at("low", F.array_min(means)), "high": at("high", F.array_max(means))})
 
 
 def cautious_mean(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    row_key: list[Column],
-    threshold: int = 5000,
-    **kwargs,
+    df: DataFrame, keys: list[str], value: str, row_key: list[Column], method: str = "basic", **kwargs
 ) -> DataFrame:
-    """Bootstrap interval for groups up to ``threshold`` rows, plain mean above.
-
-    Groups above it are not resampled at all; their interval is null.
-    """
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n_samples"))
-    small = stats.where(F.col("n_samples") <= threshold).select(*keys)
-    resampled = bootstrap_mean(df.join(small, keys, "left_semi"), keys, value, row_key, **kwargs)
-    plain = stats.where(F.col("n_samples") > threshold).withColumn(
-        "confidence_level", F.lit(kwargs.get("confidence", CONFIDENCE))
-    )
-    return resampled.unionByName(plain, allowMissingColumns=True)
+    """Mean with an interval that needs no correction terms, for groups of any size."""
+    return bootstrap_mean(df, keys, value, row_key, method=method, **kwargs)
 
 
 def simple_sampling(
@@ -293,12 +256,9 @@ def best_with_random_ties(
     Only the runs that share an item's best score go into the draws.
     """
     group = list(dict.fromkeys([*keys, *item]))
-    top = W.partitionBy(*group).orderBy(F.col(score).desc())
-    tied = (
-        df.select(*group, value, score, F.struct(*run).alias("__run"))
-        .withColumn("__rank", F.rank().over(top))
-        .where(F.col("__rank") == 1)
-    )
+    rows = df.select(*group, value, score, F.struct(*run).alias("__run"))
+    best = rows.groupBy(*group).agg(F.max(score).alias("__best"))
+    tied = nulls.join(rows, best, group).where(F.col(score).eqNullSafe(F.col("__best"))).drop("__best")
     draws = tied.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     tie = rng.order_key(F.lit(seed), F.col("draw"), *[F.col(c) for c in item], F.to_json("__run"))
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.functions import rng
-from dissensus.operators import ordering
+from dissensus.operators import nulls, ordering
 from dissensus.schemas import EXAMPLE
 
 
@@ -57,7 +57,7 @@ def extremes(df: DataFrame, keys: list[str], score: str, tie: list[Column]) -> D
         .when(F.col("__high") == F.col("__max"), "best")
         .otherwise("in-between")
     )
-    return rows.join(ends, keys, "left").withColumn("rating", tag).drop(
+    return nulls.join(rows, ends, keys, "left").withColumn("rating", tag).drop(
         "__low", "__high", "__min", "__max"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissensus import registry
 from dissensus.operators import cleaning, distributions, joins, reshape, selection, votes
 from dissensus.schemas import ANSWER, ITEM
 from dissensus.sources import submissions
@@ -27,7 +28,7 @@ def soft_label_table(raw: DataFrame, items: DataFrame, order: list[Column] | Non
     """Mean distribution of every item in item order, checked, as text."""
     preds = ready_answers(raw, cleaning.SOFT, order)
     keys = [*ITEM, "category"]
-    average = submissions.must_sum_to_one(distributions.mean_vectors(preds, keys))
+    average = submissions.must_sum_to_one(distributions.mean_vectors(preds, keys, width=registry.MAX_CLASSES))
     return in_order(submissions.as_text(average), items)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dissensus.session import scratch_folder
 from dissensus.sources import logs
@@ -89,7 +90,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[
 
     The sink is a Parquet folder below the shared scratch folder. In ``update``
     mode every batch writes the rows it changed, and the table keeps the latest row
-    of each key.
+    of each key. In ``complete`` mode every batch writes the whole result, and the
+    table is that of the last one; groups that are still open are in it.
     """
     spark = stream.sparkSession
     folder = scratch_folder(spark, name)
@@ -104,7 +106,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[
     schema = stream.schema
     if mode == "append":
         return spark.read.schema(schema).parquet(f"{folder}/rows")
-    rows = spark.read.schema(schema.add("__batch", "long")).parquet(f"{folder}/rows")
+    schema = StructType([*schema.fields, StructField("__batch", LongType())])
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows").select(*schema.names)
+    if mode == "complete":
+        last = rows.agg(F.max("__batch")).first()[0]
+        return rows.where(F.col("__batch") == F.lit(last)).drop("__batch")
     values = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(
         F.max_by(F.struct(*values), "__batch").alias("__v")

@@ -286,3 +286,37 @@ def test_vectors_sum_to_one_after_averaging(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     assert t.averaged.where(~vectors.sums_to_one(F.col("pred"), 1e-9)).isEmpty()
+
+
+def test_vectors_and_labels_of_any_length(spark):
+    rows = [("a", [0.0] * 11 + [1.0] + [0.0] * 4), ("a", [0.5] + [0.0] * 10 + [0.5] + [0.0] * 4), (None, [1.0] + [0.0] * 15), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, pred array<double>")
+    out = {r["k"]: r["pred"] for r in distributions.mean_vectors(df, ["k"]).collect()}
+    assert out["a"] == [0.25] + [0.0] * 10 + [0.75] + [0.0] * 4 and out[None][0] == 1.0 and not out["b"]
+    with pytest.raises(Exception, match="more than 11 classes"):
+        distributions.mean_vectors(df, ["k"], width=11).collect()
+    labels = spark.createDataFrame([("a", 0), ("a", 14), ("a", 14), ("a", 99), (None, 2)], "k string, x int")
+    for width in (None, 16):
+        got = {r["k"]: r["pred"] for r in distributions.label_shares(labels, ["k"], F.col("x"), F.lit(16), width=width).collect()}
+        assert got["a"] == [1 / 3] + [0.0] * 13 + [2 / 3, 0.0] and got[None][2] == 1.0
+
+
+def test_null_keys_have_quintiles_and_extremes(spark):
+    from dissensus.operators import diversity, selection
+
+    rows = [(k, i, float(i)) for k in ("a", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    tags = diversity.with_quintile(df, "v", by=["k"]).groupBy("k", "diversity").count().collect()
+    assert sorted((str(r["k"]), r["diversity"], r["count"]) for r in tags) == [(k, f"Q{q}", 2) for k in ("None", "a") for q in range(1, 6)]
+    rated = selection.extremes(df, ["k"], "v", [F.col("i")]).groupBy("k", "rating").count().collect()
+    assert sorted((str(r["k"]), r["rating"], r["count"]) for r in rated) == [(k, t, n) for k in ("None", "a") for t, n in (("best", 1), ("in-between", 8), ("worst", 1))]
+
+
+def test_ranks_of_a_large_group_with_a_null_key(spark):
+    from dissensus.operators import ordering
+
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', NULL) AS k", "id AS v")
+    limit = ordering.SizeLimit(rows=100, share=0.0)
+    found = ordering.ranked(df, ["k"], [F.col("v")], limit=limit)
+    assert found.where("rank <> v div 2 + 1").count() == 0
+    assert ordering.with_ranges(df, ["k"], F.struct("v"), limit).where("k IS NULL").agg(F.max("__range")).first()[0] > 5

@@ -247,9 +247,10 @@ def responses(t):
     "parsed",
     """
     SELECT * FROM (
-      SELECT *, CASE WHEN t <= 3 AND k2 <> k1 THEN [k1, k2] WHEN t <= 3 THEN [k1, k1] WHEN t = 4 THEN [k1] END AS ks,
+      SELECT *, CASE WHEN t <= 3 AND k2 <> k1 THEN [k1, k2] WHEN t <= 3 THEN [k1, k1] WHEN t IN (4, 6) THEN [k1] END AS ks,
              CASE WHEN t <= 3 AND k2 <> k1 THEN [p1 / 100.0::DOUBLE, p2 / 100.0::DOUBLE] WHEN t <= 3 THEN [0.0::DOUBLE, p2 / 100.0::DOUBLE]
-                  WHEN t = 4 THEN [m1 / 100.0::DOUBLE] END AS ps
+                  WHEN t = 4 THEN [m1 / 100.0::DOUBLE]
+                  WHEN t = 6 THEN [CAST('0.' || lpad(CAST(m1 AS VARCHAR), 2, '0') AS DOUBLE)] END AS ps
       FROM responses WHERE coalesce(success, true))
     WHERE ks IS NOT NULL
     """,
@@ -314,7 +315,7 @@ def _(t):
 
 @query(
     "numbers_from_text", "P21 P22 P23 F15",
-    """SELECT dataset, split, rid, CASE WHEN t > 4 THEN score END AS score, CAST(trunc(score) AS BIGINT) AS whole,
+    """SELECT dataset, split, rid, CASE WHEN t > 4 THEN score END AS score, CAST(trunc(score) AS BIGINT) AS whole, CAST('-123456789' || q || '01' AS BIGINT) AS long_whole,
               CASE WHEN t > 4 THEN CAST(q AS VARCHAR) ELSE 'n' || q END AS label FROM answers""",
 )
 def _(t):
@@ -323,7 +324,8 @@ def _(t):
     return t.answers.select(
         *KEY,
         text.number(raw).alias("score"),
-        text.whole_number(F.col("score").cast("string"), 10).alias("whole"),
+        text.whole_number(F.col("score").cast("string")).alias("whole"),
+        text.whole_number(F.concat(F.lit("-123456789"), F.col("q").cast("string"), F.lit("01"))).alias("long_whole"),
         text.int_or_text(label).alias("label"),
     )
 

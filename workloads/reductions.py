@@ -732,3 +732,40 @@ def _(t):
     out = reports.soft_baselines(preds, t.targets)
     # The oracle has ties, so its entropy depends on the tie rule; oracle_loss checks it.
     return rounded(out.where(F.col("method") != "BoN Oracle"))
+
+
+@query(
+    "mean_embedding_vectors", "A5 A6 A7",
+    """SELECT label, k.k::INTEGER AS class_idx, round(avg(embedding[k.k + 1]::DOUBLE), 6) AS prob
+       FROM embeddings, range(64) k(k) GROUP BY ALL""",
+)
+def _(t):
+    """Mean of vectors longer than any label scheme's."""
+    rows = t.embeddings.select("label", F.col("embedding").cast("array<double>").alias("pred"))
+    return rounded(long_vector(distributions.mean_vectors(rows, ["label"], renormalise=False), ["label"]), 6)
+
+
+@query(
+    "wide_label_shares", "A5 A17",
+    """SELECT l_returnflag, k.k::INTEGER AS class_idx, round(count(*) FILTER (CAST(l_quantity AS INTEGER) - 11 = k.k)
+         / count(*) FILTER (CAST(l_quantity AS INTEGER) - 11 BETWEEN 0 AND 29)::DOUBLE, 6) AS prob
+       FROM lineitem, range(30) k(k) GROUP BY ALL""",
+)
+def _(t):
+    """Shares of thirty classes; other labels count in none."""
+    index = F.col("l_quantity").cast("int") - 11
+    return long_vector(distributions.label_shares(t.lineitem, ["l_returnflag"], index, F.lit(30)), ["l_returnflag"])
+
+
+@query(
+    "diversity_of_unknown_groups", "A22 A23",
+    """WITH v AS (SELECT nullif(event_type, 'click') AS kind, event_id, value FROM events),
+     q AS (SELECT kind, quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) AS q FROM v GROUP BY kind)
+     SELECT event_id, CASE WHEN value <= q[1] THEN 'Q1' WHEN value <= q[2] THEN 'Q2' WHEN value <= q[3] THEN 'Q3'
+                           WHEN value <= q[4] THEN 'Q4' ELSE 'Q5' END AS diversity
+     FROM v JOIN q ON v.kind IS NOT DISTINCT FROM q.kind""",
+)
+def _(t):
+    """Quintiles within groups, one of which has a null key."""
+    rows = t.events.select("event_id", "value", F.expr("nullif(event_type, 'click')").alias("kind"))
+    return diversity.with_quintile(rows, "value", by=["kind"]).select("event_id", "diversity")

@@ -156,7 +156,7 @@ def _(t):
 )
 def _(t):
     df = t.dialogs.withColumns({"model_id": F.col("text"), "response": F.lit("x")})
-    lists = batches.solutions_per_item(df, per_row=3)
+    lists = batches.solutions_per_item(df, 3)
     shown = F.transform(
         "solutions", lambda s: F.concat(s["model_id"], F.lit(":"), F.char_length(s["reasoning"]))
     )
@@ -171,7 +171,9 @@ def _(t):
 def _(t):
     first = ordering.first_rows(t.dialogs, ITEM, [F.col("run_idx")]).select(*ITEM, F.col("text").alias("topic"))
     rows = t.dialogs.join(first, ITEM).withColumns({"text": F.col("topic"), "success": F.lit(True)}).drop("topic", "target")
-    out = batches.judge_requests(rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=None, n_runs=None)
+    out = batches.judge_requests(
+        rows, "ranking", "{llm_problem}@@{llm_solutions}", n_items=None, n_runs=None, per_request=1000
+    )
     pieces = F.split("judge_prompt", "@@")
     listed = F.from_json(pieces[1], "array<struct<run_idx:int>>")
     return out.select(
@@ -221,10 +223,8 @@ def _(t):
 @query(
     "diverse_judge_requests", "B7 A22 F19 F17",
     """WITH v AS (SELECT dataset, split, dataset_idx, round(pairwise, 9) AS v FROM spread), e AS (SELECT quantile_cont(v, 0.8) AS q FROM v),
-     a AS (SELECT s.* FROM answers s JOIN v USING (dataset, split, dataset_idx), e WHERE v.v > e.q AND model_id = 'Qwen/Qwen3-32B' AND run_idx < 5)
-     SELECT dataset, split, dataset_idx, run_idx, count(*) AS n, max('judge ' || d) AS prompt FROM a
-     WHERE dataset_idx IN (SELECT DISTINCT a.dataset_idx FROM answers a JOIN v USING (dataset, split, dataset_idx), e WHERE v.v > e.q AND model_id = 'Qwen/Qwen3-32B' ORDER BY 1 LIMIT 1000)
-     GROUP BY ALL""",
+     a AS (SELECT s.* FROM answers s JOIN v USING (dataset, split, dataset_idx), e WHERE v.v > e.q AND model_id = 'Qwen/Qwen3-32B')
+     SELECT dataset, split, dataset_idx, run_idx, count(*) AS n, max('judge ' || d) AS prompt FROM a GROUP BY ALL""",
 )
 def _(t):
     value = written(t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
@@ -233,7 +233,7 @@ def _(t):
         F.lit("x").alias("text"), F.lit("y").alias("response"),
     )
     out = batches.judge_requests(
-        rows, "reformat", "judge {response}", n_items=1000, n_runs=5, spec={"model_id": "Qwen/Qwen3-32B"},
+        rows, "reformat", "judge {response}", n_items=None, n_runs=None, spec={"model_id": "Qwen/Qwen3-32B"},
         diversity=diversity.with_quintile(value),
     )
     return out.groupBy(*ITEM, "run_idx").agg(F.count(F.lit(1)).alias("n"), F.max("judge_prompt").alias("prompt"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissensus.functions import rng
+from dissensus.functions import normal, rng
 from dissensus.operators import distributions, evaluation, ordering, resample, selection
 from workloads import columns, reductions  # noqa: F401  (their views are used)
 from workloads.base import query, r6, rounded
@@ -250,30 +250,82 @@ def _(t):
     )
 
 
-@query("bootstrap_bca", "M7 A46")
-def _(t):
-    return rounded(
-        resample.bootstrap_mean(t.events, ["event_type"], "value", [F.col("event_id")], n_resamples=400)
+def normal_quantile_sql(p: str) -> str:
+    """The inverse normal distribution as the Spark form has it."""
+    def poly(x: str, coefficients) -> str:
+        out = repr(coefficients[0]) + "::DOUBLE"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    r, s = f"(({p}) - 0.5) * (({p}) - 0.5)", lambda q: f"sqrt(ln({q}) * -2)"
+    end = lambda q: f"{poly(s(q), normal.ENDS_UP)} / {poly(s(q), normal.ENDS_DOWN)}"
+    return (
+        f"CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < {normal.ENDS} THEN {end(p)} "
+        f"WHEN ({p}) > 1 - {normal.ENDS} THEN -({end(f'1 - ({p})')}) "
+        f"ELSE {poly(r, normal.MIDDLE_UP)} * (({p}) - 0.5) / {poly(r, normal.MIDDLE_DOWN)} END"
     )
 
 
+def normal_cdf_sql(x: str) -> str:
+    t = f"(1 / (abs({x}) * {normal.TAIL_SCALE} + 1))"
+    poly = "0.0::DOUBLE"
+    for c in reversed(normal.TAIL):
+        poly = f"({poly} * {t} + {c!r}::DOUBLE)"
+    tail = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {poly} * {t}"
+    return f"CASE WHEN ({x}) >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def bca_sql(source: str, group: str, value: str, key: str, blocks: int, digits: int) -> str:
+    """Accelerated intervals of the means of a table's groups."""
+    low, high = (normal_quantile_sql(f"{q}::DOUBLE") for q in (0.025, 0.975))
+    moved = lambda z: f"bias + (bias + {z}) / (1 - a * (bias + {z}))"
+    at = lambda i: f"ms[floor(p{i})::INT + 1] + (ms[ceil(p{i})::INT + 1] - ms[floor(p{i})::INT + 1]) * (p{i} - floor(p{i}))"
+    return f"""WITH v AS (SELECT {group} AS p, {value} AS x, '0|' || {key} AS key FROM {source} WHERE {value} IS NOT NULL),
+     d AS (SELECT p, x, b.b * 4 + w.w AS replicate, {uniform_sql("md5(key || '|' || b.b)", "w.w")} AS u FROM v, range({blocks}) b(b), range(4) w(w)),
+     s AS (SELECT p, replicate, sum(x * ({poisson_sql('u')})) / sum({poisson_sql('u')}) AS m FROM d GROUP BY ALL),
+     l AS (SELECT p, list_sort(list(m)) AS ms FROM s WHERE m IS NOT NULL GROUP BY p),
+     m AS (SELECT p, avg(x) AS mean, count(*) AS n FROM v GROUP BY p),
+     k AS (SELECT p, mean, n, CASE WHEN avg((x - mean) ** 2) > 0 THEN avg((x - mean) ** 3) / avg((x - mean) ** 2) ** 1.5 ELSE 0 END / (6 * sqrt(n)) AS a
+           FROM v JOIN m USING (p) GROUP BY p, mean, n),
+     q AS (SELECT *, (len(list_filter(ms, lambda e: e < mean)) + len(list_filter(ms, lambda e: e <= mean))) / (2.0::DOUBLE * len(ms)) AS share FROM k JOIN l USING (p)),
+     z AS (SELECT *, {normal_quantile_sql("share")} AS bias FROM q),
+     e AS (SELECT *, {moved(f"({low})")} AS z0, {moved(f"({high})")} AS z1 FROM z),
+     f AS (SELECT *, ({normal_cdf_sql("z0")}) * (len(ms) - 1) AS p0, ({normal_cdf_sql("z1")}) * (len(ms) - 1) AS p1 FROM e)
+     SELECT p AS {group}, round({at(0)}, {digits}) AS low, round(mean, {digits}) AS mean, round({at(1)}, {digits}) AS high,
+            0.95::DOUBLE AS confidence_level, n AS n_samples FROM f"""
+
+
+@query("bootstrap_bca", "M7 A46", bca_sql("events", "event_type", "value", "event_id", 100, 5))
+def _(t):
+    return rounded(resample.bootstrap_mean(t.events, ["event_type"], "value", [F.col("event_id")], n_resamples=400), 5)
+
+
+@query("loss_intervals", "M6 M7", bca_sql("scored", "dataset", "ws_loss", "rid", 25, 4))
+def _(t):
+    scored = t.scored.select("dataset", "rid", "ws_loss")
+    return rounded(resample.bootstrap_mean(scored, ["dataset"], "ws_loss", [F.col("rid")], n_resamples=100), 4)
+
+
+@query("rater_score_intervals", "A31 M15", bca_sql("lineitem", "l_returnflag", "l_discount", "(l_orderkey || '|' || l_linenumber)", 25, 6))
+def _(t):
+    row = [F.col("l_orderkey"), F.col("l_linenumber")]
+    return rounded(resample.bootstrap_mean(t.lineitem, ["l_returnflag"], "l_discount", row, n_resamples=100), 6)
+
+
 @query(
     "cautious_means", "A46",
     f"""WITH v AS (SELECT c_mktsegment AS p, c_acctbal AS x, '0|' || c_custkey AS key FROM customer),
      g AS (SELECT p, avg(x) AS mean, count(*) AS n FROM v GROUP BY ALL),
-     d AS (SELECT p, x, b.b * 4 + w.w AS replicate, {uniform_sql("md5(key || '|' || b.b)", "w.w")} AS u
-           FROM v JOIN g USING (p), range(50) b(b), range(4) w(w) WHERE g.n <= 300),
+     d AS (SELECT p, x, b.b * 4 + w.w AS replicate, {uniform_sql("md5(key || '|' || b.b)", "w.w")} AS u FROM v, range(50) b(b), range(4) w(w)),
      s AS (SELECT p, replicate, sum(x * ({poisson_sql('u')})) / sum({poisson_sql('u')}) AS m FROM d GROUP BY ALL),
      q AS (SELECT p, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM s GROUP BY ALL)
      SELECT p AS c_mktsegment, round(2 * mean - hi, 4) AS low, round(mean, 4) AS mean, round(2 * mean - lo, 4) AS high, 0.95::DOUBLE AS confidence_level, n AS n_samples
-     FROM g LEFT JOIN q USING (p)""",
+     FROM g JOIN q USING (p)""",
 )
 def _(t):
     return rounded(
-        resample.cautious_mean(
-            t.customer, ["c_mktsegment"], "c_acctbal", [F.col("c_custkey")], threshold=300, n_resamples=200, method="basic"
-        ),
-        4,
+        resample.cautious_mean(t.customer, ["c_mktsegment"], "c_acctbal", [F.col("c_custkey")], n_resamples=200), 4
     )
 
 
