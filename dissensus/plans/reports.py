@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.operators import (
@@ -12,6 +12,7 @@ from dissensus.operators import (
     evaluation,
     joins,
     metrics,
+    ordering,
     reshape,
     selection,
     votes,
@@ -36,17 +37,20 @@ def progress(raw: DataFrame, items: DataFrame, with_steps: bool = True) -> DataF
     return evaluation.validity_and_losses(valid, evaluation.losses(scored, keys), keys)
 
 
-def soft_baselines(preds: DataFrame, items: DataFrame, by: list[str] | None = None) -> DataFrame:
+def soft_baselines(
+    preds: DataFrame, items: DataFrame, by: list[str] | None = None, tie: list[Column] | None = None
+) -> DataFrame:
     """Mean distance and entropy of every way to reduce the answers of an item.
 
     ``preds`` are cleaned predictions, ``items`` have targets in rows of categories.
+    ``tie`` orders answers of one run that are equally good.
     """
     joined = metrics.with_soft_metrics(joins.join_items(preds, items))
     methods = {
         "Simple Sampling": joined,
         "Model Averaging": distributions.model_average_metrics(preds, items),
         "Smoothing": distributions.smoothed_metrics(preds, items),
-        "BoN Oracle": best_answers(joined, "ws_loss"),
+        "BoN Oracle": best_answers(joined, "ws_loss", tie),
         "Most Frequent": distributions.dataset_mean_metrics(items),
         "Uniform": metrics.uniform_baseline(items),
     }
@@ -59,13 +63,18 @@ def soft_baselines(preds: DataFrame, items: DataFrame, by: list[str] | None = No
     )
 
 
-def best_answers(joined: DataFrame, metric: str) -> DataFrame:
-    """Best answer of each item, judged by the mean over its categories."""
+def best_answers(joined: DataFrame, metric: str, tie: list[Column] | None = None) -> DataFrame:
+    """Best answer of each item, judged by the mean over its categories.
+
+    Metrics that agree in nine decimals are equal; ties go to the first run, and
+    then by the order ``tie``.
+    """
     keys = [c for c in EXAMPLE if c in joined.columns]
     if "category" in joined.columns:
         cols = [c for c in ("ws_loss", "pred_entropy", "avg_abs_dist") if c in joined.columns]
         joined = metrics.per_answer(joined, [*keys, "run_idx"], cols)
-    return selection.oracle(joined, metric, keys)
+    known = joined.where(F.col(metric).isNotNull())
+    return ordering.first_rows(known, keys, [F.round(metric, 9), *selection.tie_keys(joined), *(tie or [])])
 
 
 def label_baselines(preds: DataFrame, items: DataFrame) -> DataFrame:

@@ -724,14 +724,14 @@ def _(t):
            SELECT *, sum(target - 1.0 / n_classes) OVER (PARTITION BY dataset, split, dataset_idx ORDER BY class_idx) AS gap FROM targets) GROUP BY ALL),
      u AS (SELECT 'Simple Sampling' AS method, dataset, ws_loss, pred_entropy FROM scored
            UNION ALL SELECT 'Model Averaging', dataset, ws_loss, pred_entropy FROM averaged_scored
+           UNION ALL SELECT 'BoN Oracle', dataset, ws_loss, pred_entropy FROM (
+             SELECT *, row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY round(ws_loss, 9), run_idx, rid) AS rn FROM scored) WHERE rn = 1
            UNION ALL SELECT 'Smoothing', dataset, ws, h FROM sm UNION ALL SELECT 'Most Frequent', dataset, ws, h FROM mf UNION ALL SELECT 'Uniform', dataset, ws, h FROM un)
      SELECT method, dataset, round(avg(ws_loss), 6) AS ws_loss, round(avg(pred_entropy), 6) AS pred_entropy FROM u GROUP BY ALL""",
 )
 def _(t):
     preds = t.soft.select(*ITEM, "n_classes", "rid", "run_idx", "pred")
-    out = reports.soft_baselines(preds, t.targets)
-    # The oracle has ties, so its entropy depends on the tie rule; oracle_loss checks it.
-    return rounded(out.where(F.col("method") != "BoN Oracle"))
+    return rounded(reports.soft_baselines(preds, t.targets, tie=[F.col("rid")]))
 
 
 @query(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.operators import batches, evaluation, joins, metrics, ordering, reshape, selection
 from dissensus.plans import reports, submit
-from dissensus.session import scratch_folder
+from dissensus.session import scratch_folder, written
 from dissensus.sources import answers as answer_source
 from dissensus.sources import items as item_source
 from dissensus.sources import rated_steps, submissions
@@ -241,15 +245,21 @@ def round_trip(df, name: str, kind: str):
 
 @query(
     "soft_label_file", "S10 S11 J6 F23",
-    """SELECT dataset_idx, class_idx, round(avg(p), 6) AS prob FROM soft WHERE dataset = 'MP' AND split = 'dev' GROUP BY ALL""",
+    """SELECT dataset, split, dataset_idx, class_idx, round(avg(p), 6) AS prob FROM soft GROUP BY ALL""",
 )
 def _(t):
-    preds = t.averaged.where("dataset = 'MP' AND split = 'dev'").select(*ITEM, "pred")
-    ordered = reshape.item_order(preds.select(*ITEM))
-    table = joins.in_item_order(submissions.as_text(submissions.require_sum_to_one(preds)), ordered)
-    back = round_trip(table, "soft-file", "array<double>")
-    return back.select("dataset_idx", F.posexplode_outer("pred").alias("class_idx", "prob")).select(
-        "dataset_idx", "class_idx", r6("prob").alias("prob")
+    """A file of every dataset and split, written and read back."""
+    averaged = written(t.averaged.select(*ITEM, "pred"), "averaged")
+    files = []
+    for dataset, split in itertools.product(("CSC", "MP", "Paraphrase"), ("train", "dev")):
+        preds = averaged.where((F.col("dataset") == dataset) & (F.col("split") == split))
+        ordered = reshape.item_order(preds.select(*ITEM))
+        table = joins.in_item_order(submissions.as_text(submissions.must_sum_to_one(preds)), ordered)
+        back = round_trip(table, "soft-file", "array<double>")
+        files.append(back.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "dataset_idx", "pred"))
+    every = functools.reduce(DataFrame.unionByName, files)
+    return every.select(*ITEM, F.posexplode_outer("pred").alias("class_idx", "prob")).select(
+        *ITEM, "class_idx", r6("prob").alias("prob")
     )
 
 
