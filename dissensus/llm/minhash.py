@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from dissensus.llm import words as W
 from dissensus.llm.components import components
+from dissensus.llm.urlfilter import Blocks, possible
 from dissensus.session import configure, written
 
 SIMILARITY = 0.8
@@ -28,8 +29,9 @@ REGISTERS = BANDS * BAND_REGISTERS
 # Candidates with fewer equal registers are not looked at: five standard deviations
 # below what a pair of similarity 0.8 has.
 LEAST_EQUAL = int(REGISTERS * SIMILARITY - 5 * (REGISTERS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-# A member of a bucket is compared with its first member and the NEIGHBOURS before it.
-NEIGHBOURS = 4
+# A member of a bucket is compared with this many central ones and one at random, if
+# they are not in one class yet.
+CENTRES = 5
 # Members of a bucket that are put in order together.
 BUCKET_SLICE = 512
 
@@ -118,27 +120,56 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` from rows ``bucket, node``: each member of a bucket with
-    the first one and its NEIGHBOURS in an order that differs from bucket to bucket.
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """Rows ``bucket, node`` of buckets with several members, with their number ``n``."""
+    return buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket")
 
-    That is all pairs of up to NEIGHBOURS + 2 members. Larger buckets give a number of
-    pairs in proportion to their members; they are put in order in slices.
-    """
-    order = F.xxhash64("node", "bucket")
-    heads = buckets.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), F.col("node").alias("node")))["node"].alias("first")
-    )
-    shared = buckets.join(heads.filter("n > 1"), "bucket").withColumn(
-        "slice", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET_SLICE))
-    )
-    near = Window.partitionBy("bucket", "slice").orderBy(order, "node")
-    others = F.array("first", *[F.lag("node", k).over(near) for k in range(1, NEIGHBOURS + 1)])
-    ordered = shared.select("node", others.alias("others"))
-    pairs = ordered.select("node", F.explode(F.array_distinct(F.array_compact("others"))).alias("other")).filter("node <> other")
+
+def centres(shared: DataFrame) -> DataFrame:
+    """Rows ``bucket, place, node`` of the CENTRES members of each bucket that are in the
+    largest buckets. The original of a group of edited copies shares more buckets with
+    them than they do with each other, and is the most similar to each."""
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    order = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node")
+    placed = shared.select("bucket", "node").join(weight, "node").withColumn("place", F.row_number().over(order))
+    # Spark keeps the first rows of a bucket before it moves them.
+    return placed.filter(F.col("place") <= CENTRES).select("bucket", "place", "node")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` from rows ``node, other``."""
+    pairs = rows.filter("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def first_pairs(shared: DataFrame, middle: DataFrame) -> DataFrame:
+    """Each node with the first centre of the largest bucket it is in: one pair a node,
+    which brings most of a large group of copies together."""
+    largest = shared.groupBy("node").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("bucket"))
+    return pairs_of(largest.join(middle.filter("place = 1").select("bucket", F.col("node").alias("other")), "bucket"))
+
+
+def other_pairs(shared: DataFrame, middle: DataFrame, roots: DataFrame) -> DataFrame:
+    """In each bucket, a node with the CENTRES and with the node before it in an order
+    that differs from bucket to bucket, where they are not in one class yet.
+
+    That is all such pairs of up to CENTRES + 1 members. Larger buckets give pairs in
+    proportion to their members; they are put in order in slices.
+    """
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    middle = rooted(middle).groupBy("bucket").agg(F.collect_list(F.struct(F.col("node").alias("id"), "root")).alias("middle"))
+    rows = rooted(shared).select(
+        "bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET_SLICE)).alias("slice"),
+        F.xxhash64("node", "bucket").alias("order"), F.struct(F.col("node").alias("id"), "root").alias("member"),
+    )
+    before = F.lag("member").over(Window.partitionBy("bucket", "slice").orderBy("order", "member"))
+    rows = rows.withColumn("before", before).join(middle, "bucket")
+    others = F.array_append("middle", F.col("before"))
+    apart = F.filter(others, lambda o: o.isNotNull() & (o["root"] != F.col("member")["root"]))
+    found = rows.select(F.col("member")["id"].alias("id"), F.explode(F.transform(apart, lambda o: o["id"])).alias("other"))
+    return pairs_of(found.withColumnRenamed("id", "node"))
+
+
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with at least LEAST_EQUAL equal registers."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"of_{name}"))
@@ -155,14 +186,18 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, pairs.schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text`` of the documents in ``nodes`` (column ``key``). A blocked Bloom filter
+    of bounded size keeps most other texts out of the shuffle; the join is exact."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")
+    return written(possible(rows, Blocks.of(nodes)).join(nodes.hint("merge"), "key", "left_semi"), "texts-of-pairs")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, similarity`` of pairs whose texts have a similarity of SIMILARITY or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(wanted, "key", "left_semi")
-    texts = written(texts, "texts-of-pairs")
     side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"of_{name}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    schema = pairs.schema.add("similarity", "double") if "similarity" not in pairs.columns else pairs.schema
+    schema = pairs.select("a", "b").schema.add("similarity", "double")
 
     def run(batches):
         kept: dict[object, tuple[np.ndarray, np.ndarray]] = {}
@@ -197,7 +232,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Documents with the same words are one ``node``, the smallest key among them; nodes of
     a similarity of SIMILARITY or more are linked, and linked nodes make up a class, whose
-    id is its smallest key. ``n_links`` counts a node's links that were verified.
+    id is its smallest key. ``n_links`` counts a node's links that were verified: first
+    with the centre of its largest bucket, then with members of all its buckets that are
+    in other classes. Pairs that are in one class already are not compared.
     Documents without words are alike to none: each is its own class. Rows that repeat a
     key are in one class. A null key is not compared; its class is null, its size 1.
     """
@@ -209,11 +246,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.min("key").alias("node"), F.first("bands").alias("bands"), F.first("registers").alias("registers")
     )
     nodes = written(nodes, "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    candidates = written(likely(bucket_pairs(buckets), nodes.select("node", "registers")), "pairs")
-    links = written(verified(candidates, docs, key, text), "verified-links")
+    shared = written(shared_buckets(nodes.select("node", F.explode("bands").alias("bucket"))), "buckets")
+    registers = nodes.select("node", "registers")
+    texts = texts_of(docs, shared.select(F.col("node").alias("key")).distinct(), key, text)
+    middle = written(centres(shared), "centres")
+    tried = written(first_pairs(shared, middle), "pairs")
+    links = written(verified(likely(tried, registers), texts), "links-to-first")
+    more = other_pairs(shared, middle, components(links)).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(written(verified(likely(more, registers), texts), "links-to-others"))
     roots = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    ends = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = (
         full.select("key", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
         .join(roots, "node", "left").join(ends, "node", "left")
