@@ -12,8 +12,8 @@ from dissensus.session import configure, written
 # A text that has more than this share of all rows is sorted in several places.
 HOT_SHARE = 1e-3
 PIECES = 64
-# A column this module adds for a while.
-ROW = "__row_number"
+# Characters of a text that splitters go by.
+FRONT = 32
 
 
 def normalised(text: Column) -> Column:
@@ -24,47 +24,57 @@ def normalised(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def common_marks(rows: DataFrame) -> DataFrame:
+def common_marks(marks: DataFrame) -> DataFrame:
     """Hashes ``mark`` of more than HOT_SHARE of the rows, at most 1 / HOT_SHARE of them."""
-    counts = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    limit = F.greatest(F.col("total") * F.lit(HOT_SHARE), F.lit(PIECES))
-    # One row against one row per mark.
-    return counts.join(F.broadcast(total), F.col("n") > limit).select("mark")
+    limit = max(marks.count() * HOT_SHARE, PIECES)
+    return marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("mark")
 
 
-def sorted_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Equal texts, per place they are sorted in: ``key, piece, text_sha256, keep_id,
-    group_size, place``, and on a common text's first row there the text as ``head``."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+def sorted_rows(docs: DataFrame, key: str, text: str, carried: dict[str, Column]) -> DataFrame:
+    """Rows in the order of their texts, with ``carried`` columns and ``key, norm, piece,
+    keep_id, group_size, place``: the last three are of the rows with an equal text that
+    were sorted in the same place."""
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Texts that are equal have one mark. A clash of marks splits a text in vain, no more.
-    marked = rows.withColumn("mark", F.xxhash64(F.lower(F.coalesce("text", F.lit("")))))
-    common = common_marks(marked.select("mark")).withColumn("common", F.lit(True))
-    split = marked.join(F.broadcast(common), "mark", "left").select(
-        "key",
-        normalised(F.col("text")).alias("norm"),
-        F.when(F.col("common"), F.pmod(F.xxhash64("key"), F.lit(PIECES))).otherwise(-1).cast("int").alias("piece"),
+    mark = F.xxhash64(F.lower(content))
+    common = common_marks(docs.select(mark.alias("mark"))).withColumn("common", F.lit(True))
+    marked = docs.select(
+        F.struct(*[c.alias(n) for n, c in carried.items()]).alias("row") if carried else F.lit(None).alias("row"),
+        F.col(key).alias("key"),
+        content.alias("content"),
+        mark.alias("mark"),
+        normalised(F.substring(content, 1, FRONT)).alias("front"),
     )
-    ranged = split.repartitionByRange("norm", "piece")
-    same = Window.partitionBy("norm", "piece")
+    piece = F.when(F.col("common"), F.pmod(F.xxhash64("key"), F.lit(PIECES))).otherwise(-1)
+    split = marked.join(F.broadcast(common), "mark", "left").withColumn("piece", piece.cast("int")).drop("common")
+    # Splitters go through the driver, so they are short: the text's front, then its
+    # mark. Equal texts share both; the window compares the whole texts.
+    ranged = split.repartitionByRange("front", "mark", "piece").withColumn("norm", normalised(F.col("content")))
+    same = Window.partitionBy("front", "mark", "norm", "piece")
     newest = same.orderBy(F.col("key").desc_nulls_last())
-    first = F.row_number().over(newest)
-    placed = ranged.select(
+    return ranged.select(
+        "row",
         "key",
         "norm",
         "piece",
         F.first("key").over(newest).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
-        first.alias("place"),
+        F.row_number().over(newest).alias("place"),
     )
-    return placed.select(
-        "key",
+
+
+def best_pieces(rows: DataFrame) -> DataFrame:
+    """For texts sorted in several places: ``text_sha256, piece, best, best_piece, size``,
+    from rows with the text in ``head``. They are sorted once more, again in full; there
+    are at most PIECES / HOT_SHARE of them."""
+    same = Window.partitionBy("head")
+    newest = same.orderBy(F.col("keep_id").desc_nulls_last(), "piece")
+    return rows.filter(F.col("head").isNotNull()).select(
+        "text_sha256",
         "piece",
-        F.sha2("norm", 256).alias("text_sha256"),
-        "keep_id",
-        "group_size",
-        "place",
-        F.when((F.col("piece") >= 0) & (F.col("place") == 1), F.col("norm")).alias("head"),
+        F.first("keep_id").over(newest).alias("best"),
+        F.first("piece").over(newest).alias("best_piece"),
+        F.sum("group_size").over(same).alias("size"),
     )
 
 
@@ -82,38 +92,37 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     of those places are sorted and compared once more, again in full.
     """
     configure(docs.sparkSession)
-    local = written(sorted_groups(docs, key, text), "sorted-texts")
-    same = Window.partitionBy("head")
-    newest = same.orderBy(F.col("keep_id").desc_nulls_last(), "piece")
-    heads = local.filter(F.col("head").isNotNull()).select(
-        "text_sha256",
-        "piece",
-        F.first("keep_id").over(newest).alias("best"),
-        F.first("piece").over(newest).alias("best_piece"),
-        F.sum("group_size").over(same).alias("size"),
+    local = sorted_rows(docs, key, text, {}).select(
+        "key", "piece", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size", "place", head().alias("head")
     )
+    local = written(local, "sorted-texts")
     # At most PIECES / HOT_SHARE rows of about 100 bytes.
-    joined = local.drop("head").join(F.broadcast(heads), ["text_sha256", "piece"], "left")
-    here = F.col("best_piece").isNull() | (F.col("best_piece") == F.col("piece"))
+    joined = local.drop("head").join(F.broadcast(best_pieces(local)), ["text_sha256", "piece"], "left")
     split = F.col("best_piece").isNotNull()
     return joined.select(
         F.col("key").alias(key),
         F.when(split, F.col("best")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("size", "group_size").alias("group_size"),
-        ((F.col("place") == 1) & here).alias("kept"),
+        ((F.col("place") == 1) & (~split | (F.col("best_piece") == F.col("piece")))).alias("kept"),
         "text_sha256",
     )
 
 
-def keep_newest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def head() -> Column:
+    """The text, on the first row of a text that is sorted in several places."""
+    return F.when((F.col("piece") >= 0) & (F.col("place") == 1), F.col("norm"))
 
-    Rows that repeat key and text too are told apart by a number each row gets, which
-    the written copy of the table fixes.
-    """
-    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
-    # The key decides, then the number.
-    order = F.struct(F.col(key).alias("k"), F.col(ROW).alias("r"))
-    found = groups(numbered.select(order.alias(ROW), F.col(text)), ROW, text)
-    stay = found.filter("kept").select(F.col(ROW)["r"].alias(ROW))
-    return numbered.join(stay, ROW, "left_semi").drop(ROW)
+
+def keep_newest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, by the rules of ``groups``, with all their columns."""
+    configure(docs.sparkSession)
+    others = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    first = sorted_rows(docs, key, text, others).filter("place = 1").select(
+        "row", "piece", "keep_id", "group_size",
+        F.when(F.col("piece") >= 0, F.sha2("norm", 256)).alias("text_sha256"), head().alias("head"),
+    )
+    first = written(first, "first-rows")
+    lost = best_pieces(first).filter("piece <> best_piece").select("text_sha256", "piece")
+    # At most PIECES / HOT_SHARE rows of about 100 bytes.
+    kept = first.join(F.broadcast(lost), ["text_sha256", "piece"], "left_anti")
+    return kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
