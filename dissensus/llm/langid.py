@@ -182,7 +182,9 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     joined = said.withColumns({f"all_{p}": F.lit(every[p]) for p in ps})
     for level in ("declared", "suffix", "host", "domain"):
         sums = said.filter(F.col(level).isNotNull()).groupBy(level).agg(*[F.sum(share(p)).alias(f"{level}_{p}") for p in ps])
-        joined = joined.join(sums, level, "left")
+        # Rows without a value match nothing; numbers spread them over the tasks.
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("key", *logs), F.lit(1 << 16)).cast("string"))
+        joined = joined.withColumn("at", F.coalesce(level, spread)).join(sums.withColumnRenamed(level, "at"), "at", "left").drop("at")
     total = lambda prefix: sum((F.col(f"{prefix}_{p}") for p in ps[1:]), F.col(f"{prefix}_{ps[0]}"))
     # Without the row itself. Sums of doubles may end just below zero.
     others = lambda prefix, p: F.greatest(F.col(f"{prefix}_{p}") - share(p), F.lit(0.0))
