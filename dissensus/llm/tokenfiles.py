@@ -193,12 +193,14 @@ def write(
 
     Returns the list of files in their order: ``file, part, place, n_docs, n_ids``. Each
     document is followed by ``end_id``; null and empty texts have that id only. Null keys
-    come first, equal keys in the order of their texts. An empty table gives no files.
-    The texts are range-partitioned by key and text, so that a key that many rows share
+    come first, equal keys in an order their texts set. An empty table gives no files.
+    The texts are range-partitioned by key and a hash of the text, so that a key that many rows share
     is split too; a file holds whole documents of one partition.
     """
     source = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = source.repartitionByRange("key", "text").sortWithinPartitions("key", "text")
+    # Splitters go through the driver: a hash stands for the text there.
+    ranged = source.withColumn("mark", F.xxhash64("text")).repartitionByRange("key", "mark")
+    ordered = ranged.sortWithinPartitions("key", "mark", "text").drop("mark")
     schema = "file string, part int, place int, n_docs long, n_ids long"
 
     def run(batches):
