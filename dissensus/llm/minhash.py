@@ -34,6 +34,11 @@ LEAST_EQUAL = int(REGISTERS * SIMILARITY - 5 * (REGISTERS * SIMILARITY * (1 - SI
 CENTRES = 5
 # Members of a bucket that are put in order together.
 BUCKET_SLICE = 512
+# Counters of shingles, which share them by hash; any counts give an order that all
+# documents have in common, which is all that exactness needs.
+COUNTERS = 1 << 20
+# Holders of a shingle that are compared in one place.
+SHINGLE_BLOCK = 1024
 
 
 def signatures(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -170,6 +175,150 @@ def other_pairs(shared: DataFrame, middle: DataFrame, roots: DataFrame) -> DataF
     return pairs_of(found.withColumnRenamed("id", "node"))
 
 
+def crowded(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, root`` of members of buckets that ``other_pairs`` does not compare in full
+    and that still hold several classes."""
+    rows = shared.filter(F.col("n") > CENTRES + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return rows.join(several.select("bucket"), "bucket", "left_semi").groupBy("node").agg(F.min("root").alias("root"))
+
+
+def counters_of(values: np.ndarray) -> np.ndarray:
+    return (W.mix(values ^ W.GOLDEN) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts hold the shingles of each counter."""
+
+    def run(batches):
+        held = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            data, offsets = W.utf8(batch.column("text"))
+            for lo, hi in W.chunks(offsets, 1 << 19):
+                _, values, _ = weighted_shingles(W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                held += np.bincount(counters_of(values), minlength=COUNTERS)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], names=["counter", "n"])
+
+    # At most COUNTERS rows of two numbers.
+    made = texts.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[made.column("counter").to_numpy()] = made.column("n").to_numpy()
+    return out
+
+
+def may_reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether texts can have a similarity of SIMILARITY if shares of x and y of their
+    weights are in shingles that the other does not hold: the similarity is not above
+    1 / (1 / (1 - x) + 1 / (1 - y) - 1)."""
+    return 1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / SIMILARITY + 1e-9
+
+
+def rare_shingles(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``shingle, node, root, before`` for texts (``node, root, text``): ``before`` is the
+    share of a text's weight in rarer shingles. Of the shingles two texts share, the
+    rarest has only such before it as the other text does not hold, so shingles that
+    ``may_reach`` rules out, and those that one text holds, are left out."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    source = texts.select("node", "root", "text")
+    schema = T.StructType().add("shingle", "long")
+    for name in ("node", "root"):
+        schema = schema.add(name, source.schema[name].dataType)
+    schema = schema.add("before", "double")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = W.utf8(batch.column("text"))
+            for lo, hi in W.chunks(offsets, 1 << 19):
+                at, values, weights = weighted_shingles(W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                often = shared.value[counters_of(values)]
+                order = np.lexsort((values, often, at))
+                at, values, weights, often = at[order], values[order], weights[order].astype(np.float64), often[order]
+                total = np.bincount(at, weights, minlength=hi - lo)
+                before = (np.cumsum(weights) - weights - (np.cumsum(total) - total)[at]) / total[at]
+                kept = (often > 1) & may_reach(before, np.zeros(1))
+                rows = pa.array(at[kept] + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[kept].view(np.int64)), batch.column("node").take(rows), batch.column("root").take(rows), pa.array(before[kept])],
+                    names=["shingle", "node", "root", "before"],
+                )
+
+    return source.mapInArrow(run, schema)
+
+
+def crowded_pairs(texts: DataFrame, registers: DataFrame) -> DataFrame:
+    """All pairs of texts (``node, root, text``) of different roots that have LEAST_EQUAL
+    equal registers and can have a similarity of SIMILARITY.
+
+    Such a pair meets at the rarest shingle that both hold. The holders of a shingle are
+    dealt to blocks, each pair of blocks is one place.
+    """
+    rows = written(rare_shingles(texts, shingle_counts(texts)), "rare-shingles")
+    held = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("before").alias("least")
+    )
+    least = F.col("least")
+    held = held.filter((F.col("low") != F.col("high")) & (2 / (1 - least) <= 1 + 1 / SIMILARITY + 1e-9)).select("shingle", "n")
+    blocks = F.ceil(F.col("n") / SHINGLE_BLOCK).cast("int")
+    rows = rows.join(held, "shingle").withColumn("blocks", blocks)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "shingle"), F.col("blocks")).cast("int")).join(registers, "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "shingle", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+        "block", "node", "root", "before", "registers",
+    )
+    place = ["shingle", "first", "second"]
+    dealt = rows.repartition(*place).sortWithinPartitions(*place)
+    kind = rows.schema["node"].dataType
+
+    def found_in(part: pa.Table) -> pa.RecordBatch:
+        """Pairs within the places of a table, which holds them whole."""
+        shingle, first, second, block, before = (part.column(c).to_numpy() for c in (*place, "block", "before"))
+        node, root = (part.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("node", "root"))
+        held = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        n = len(shingle)
+        edge = np.flatnonzero((shingle[1:] != shingle[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+        edge = np.concatenate([[0], edge, [n]])
+        end = np.repeat(edge[1:], np.diff(edge))
+        one, two = [], []
+        live, step = np.arange(n), 1
+        while len(live := live[live + step < end[live]]):
+            a, b = live, live + step
+            # Two members of one block meet in the place of that block alone.
+            apart = (root[a] != root[b]) & (node[a] != node[b]) & ((first[a] == second[a]) | (block[a] != block[b]))
+            a, b = a[apart], b[apart]
+            able = may_reach(before[a], before[b])
+            a, b = a[able], b[able]
+            alike = (held[a] == held[b]).sum(axis=1) >= LEAST_EQUAL
+            one.append(a[alike])
+            two.append(b[alike])
+            step += 1
+        nodes = part.column("node").combine_chunks()
+        pick = lambda at: nodes.take(pa.array(np.concatenate([np.zeros(0, np.int64), *at])))
+        return pa.RecordBatch.from_arrays([pick(one), pick(two)], names=["node", "other"])
+
+    def run(batches):
+        # A place may go on in the next batch; it has about 2 * SHINGLE_BLOCK rows.
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            same = np.ones(now.num_rows, dtype=bool)
+            for c in place:
+                values = now.column(c).to_numpy()
+                same &= values == values[-1]
+            cut = int(np.argmax(same))
+            if cut:
+                yield found_in(now.slice(0, cut))
+            rest = now.slice(cut)
+        if rest is not None:
+            yield found_in(rest)
+
+    return pairs_of(dealt.mapInArrow(run, T.StructType().add("node", kind).add("other", kind)))
+
+
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with at least LEAST_EQUAL equal registers."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"of_{name}"))
@@ -253,8 +402,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     tried = written(first_pairs(shared, middle), "pairs")
     links = written(verified(likely(tried, registers), texts), "links-to-first")
     more = other_pairs(shared, middle, components(links)).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(likely(more, registers), texts), "links-to-others"))
+    more = written(likely(more, registers), "pairs")
+    links = links.unionByName(written(verified(more, texts), "links-to-others"))
     roots = components(links)
+    left = written(crowded(shared, roots), "crowded")
+    if not left.isEmpty():
+        rows = texts.withColumnRenamed("key", "node").join(left, "node")
+        rest = crowded_pairs(rows, registers).join(tried, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
+        rest = written(verified(rest, texts), "links-in-crowds")
+        if not rest.isEmpty():
+            links = links.unionByName(rest)
+            roots = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     ends = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = (

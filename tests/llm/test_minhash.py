@@ -110,6 +110,73 @@ def test_classes_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == heads
 
 
+def linked(texts):
+    """Classes of texts without repeated shingles, by all pairs."""
+    found = [set(b) for b in bags(texts)]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(found[i] & found[j]) >= 0.8 * len(found[i] | found[j]):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def own(rng, n):
+    return [f"u{rng.randrange(10**12)}" for _ in range(n)]
+
+
+def template_pages(rng, shared, pages=60):
+    """Pages of 400 words, of which ``shared`` come from a template; two and two have a
+    few of the other words in common as well."""
+    template, texts = own(rng, shared), []
+    for _ in range(pages):
+        # Shingles of both: 0.82 of those that either holds.
+        both = own(rng, round(400 * 2 * 0.82 / 1.82) + 4 - shared)
+        texts += [" ".join(template + both + own(rng, 400 - shared - len(both))) for _ in range(2)]
+    return texts
+
+
+def two_groups(rng):
+    """Two groups of copies around a template, and a text of either that bridge them."""
+    template, x, y, z = own(rng, 352), own(rng, 48), own(rng, 48), own(rng, 14)
+    texts = []
+    for side in (x, y):
+        texts += [" ".join(template + side[:-2] + own(rng, 2)) for _ in range(20)]
+        texts.append(" ".join(template + z + side[14:]))
+    return texts
+
+
+def test_crowded_buckets_leave_no_pair_out(spark):
+    rng = random.Random(12)
+    texts = template_pages(rng, 352) + template_pages(rng, 340)
+    for _ in range(8):
+        texts += two_groups(rng)
+    expected = linked(texts)
+    # Unlike pages of a template, pairs that are alike, and groups that only a bridge joins.
+    assert 100 < len(set(expected)) < 140
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
+def test_crowds_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 7)
+    texts = template_pages(random.Random(5), 352, 30)
+    nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, text string")
+    held = minhash.sketches(nodes, "node", "text").selectExpr("key AS node", "registers")
+    found = {tuple(r) for r in minhash.crowded_pairs(nodes, held).collect()}
+    assert found >= {(i, i + 1) for i in range(0, len(texts), 2)}
+    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 1024)
+    assert found == {tuple(r) for r in minhash.crowded_pairs(nodes, held).collect()}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(docs).count() == 0 and minhash.one_of_each(docs).count() == 0
