@@ -156,6 +156,23 @@ def test_too_few_labels_give_their_share(spark, labels):
     assert scores == {1.0 if labels == "toxic = 1" else 0.0}
 
 
+def test_thresholds_come_from_all_rows_of_the_fold(spark, monkeypatch):
+    rows, marks = labelled(900)
+    rows = [(i, t + " e1" * (5000 if i % 9 == 0 else 0), lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    # The sample has few of the rows, as many of either label, and no long text.
+    fitted = toxicity.train(docs, labels, settings=toxicity.Settings(epochs=3, rows_per_label=60))
+    of = dict(marks)
+    fold = [r for r in toxicity.score(docs, fitted, keep_lang=True).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == toxicity.CALIBRATION]
+    for lang in (None, "en", "de"):
+        mine = [r for r in fold if lang in (None, r["lang"])]
+        scores, hits = np.array([r["score"] for r in mine]), np.array([of[r["doc_id"]] for r in mine])
+        f1 = lambda cut: 2 * hits[scores >= cut].sum() / ((scores >= cut).sum() + hits.sum())
+        best = f1(toxicity.best_threshold(scores, hits))
+        assert f1(fitted.thresholds[lang]) >= best - 0.02
+
+
 def test_threshold():
     scores, labels = np.array([0.1, 0.2, 0.6, 0.9]), np.array([0, 0, 1, 1])
     assert abs(toxicity.best_threshold(scores, labels) - 0.4) < 1e-9
