@@ -147,7 +147,7 @@ def op6(spark, folder):
 def op7(spark, folder):
     from dissensus.llm import tokenfiles
 
-    return tokenfiles.corpus(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    return tokenfiles.corpus(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), added=True)
 
 
 @query("op8_bpe_round_trip")

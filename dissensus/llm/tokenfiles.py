@@ -171,6 +171,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+@functools.cache
+def marked(path: str):
+    """A function that gives, for each of some texts, the library's own ids if the text
+    holds an added token of the vocabulary file (such as ``<|endoftext|>``), else None."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    contents = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def ids(texts: list[str]) -> list[list[int] | None]:
+        return [tokenizer.encode(t, add_special_tokens=False).ids if any(c in t for c in contents) else None for t in texts]
+
+    return ids
+
+
+def spliced(coded: pretokens.Coded, own: list[list[int] | None]) -> pretokens.Coded:
+    """``coded`` with other ids for the texts that have some in ``own``."""
+    if not any(o is not None for o in own):
+        return coded
+    parts = [coded.ids[a:b] if o is None else np.array(o, coded.ids.dtype) for o, a, b in zip(own, coded.bounds[:-1], coded.bounds[1:])]
+    return pretokens.Coded(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+
+
 @functools.cache
 def coder(path: str) -> tuple[pretokens.Memo, int]:
     """The tokenizers library's merges of a byte-level vocabulary file, and its size."""
@@ -187,7 +210,7 @@ def coder(path: str) -> tuple[pretokens.Memo, int]:
 
 def write(
     docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text",
-    end_id: int = END_ID, file_ids: int = FILE_IDS,
+    end_id: int = END_ID, file_ids: int = FILE_IDS, added: bool = False,
 ) -> DataFrame:
     """Write the ids of all texts, in ascending order of ``key``, to files in ``folder``.
 
@@ -196,6 +219,9 @@ def write(
     come first, equal keys in an order their texts set. An empty table gives no files.
     The texts are range-partitioned by key and a hash of the text, so that a key that many rows share
     is split too; a file holds whole documents of one partition.
+
+    ``added``: the vocabulary's added tokens in a text become their ids, as the library
+    does by default; else they are text like any other (its ``encode_special_tokens``).
     """
     source = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # Splitters go through the driver: a hash stands for the text there.
@@ -224,6 +250,8 @@ def write(
         for batch in batches:
             for lo, hi, texts in pretokens.blocks(batch, "text"):
                 coded = memo.texts(texts)
+                if added:
+                    coded = spliced(coded, marked(path)(texts))
                 keys.append(batch.column("key").slice(lo, hi - lo))
                 # The end id goes in after each document.
                 ids.append(np.insert(coded.ids.astype(np.uint32), coded.bounds[1:], end_id))
@@ -267,14 +295,14 @@ def read(listed: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     return stored.mapInArrow(run, schema)
 
 
-def corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Write token files of a corpus to the shared folder and describe its documents.
 
     Returns ``key, start, n_tokens, ids_crc32, file``; ``start`` is the number of ids of
-    all documents before this one.
+    all documents before this one. ``added`` is that of ``write``.
     """
     folder = scratch_folder(docs.sparkSession, "token-files")
-    listed = write(docs, path, folder, key, text)
+    listed = write(docs, path, folder, key, text, added=added)
     # One row per file, not per document: the running sum stays small.
     order = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     begins = listed.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("begin"))

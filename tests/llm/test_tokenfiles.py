@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from dissensus.llm import tokenfiles
+from dissensus.llm import queries, tokenfiles
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,3 +67,14 @@ def test_nulls_repeats_and_many_files(spark, tmp_path):
         ((k is not None, k or 0), *rest) for k, *rest in expected(rows)
     ]
     assert tokenfiles.corpus(docs.limit(0), PATH).count() == 0
+
+
+def test_query_gives_the_librarys_ids_of_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|> !", "plain it's", "", None, "<|endoftext|>" * 3, "<|endoftext", "x" * 3000 + "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op7_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    tokenizer, start = Tokenizer.from_file(PATH), 0
+    for text, r in zip(texts, found):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
