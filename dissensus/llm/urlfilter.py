@@ -109,7 +109,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, key: str = "pag
     lengths = F.length("key") - F.instr("key", "/") + 1
     sizes = [r[0] for r in rules.filter(F.instr("key", "/") > 0).select(lengths).distinct().orderBy(F.lit(1)).collect()]
     blocks = Blocks.of(entries.select(F.concat("kind", F.lit(" "), "key").alias("key")))
-    urls = pages.filter("host <> ''").select("host", "path").distinct()
+    # The list holds addresses without a host too, such as file:///x.
+    urls = pages.filter("host <> '' OR path <> ''").select("host", "path").distinct()
     names = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
     fits = F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("path"))

@@ -93,6 +93,14 @@ def test_licences_against_sql(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_listed_addresses_without_a_host(spark):
+    urls = ["file:///x", "file:///x/", "file:///y", "http://a.org/", "http://a.org", "mailto:me", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = urlfilter.judge(pages, urlfilter.rule_table(spark, [("allow", "b.org/")]), urlfilter.repeated(pages)).collect()
+    assert sorted(r["page_id"] for r in found if r["verdict"] == "block") == [0, 1, 3, 4]
+    assert [r["listed"] for r in sorted(found, key=lambda r: r["page_id"])] == [True, True, False, True, True, False, False]
+
+
 SMALL = toxicity.Settings(epochs=8, rows_per_label=1000)
 BAD = {"en": ["scum", "moron"], "de": ["bloed", "depp"]}
 
