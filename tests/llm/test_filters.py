@@ -171,10 +171,10 @@ def test_thresholds_come_from_all_rows_of_the_fold(spark, monkeypatch):
     labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     # The sample has few of the rows, as many of either label, and no long text.
     fitted = toxicity.train(docs, labels, settings=toxicity.Settings(epochs=3, rows_per_label=60))
-    of = dict(marks)
-    fold = [r for r in toxicity.score(docs, fitted, keep_lang=True).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == toxicity.CALIBRATION]
+    of, langs = dict(marks), {i: lang for i, _, lang in rows}
+    fold = [r for r in toxicity.score(docs, fitted).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == toxicity.CALIBRATION]
     for lang in (None, "en", "de"):
-        mine = [r for r in fold if lang in (None, r["lang"])]
+        mine = [r for r in fold if lang in (None, langs[r["doc_id"]])]
         scores, hits = np.array([r["score"] for r in mine]), np.array([of[r["doc_id"]] for r in mine])
         f1 = lambda cut: 2 * hits[scores >= cut].sum() / ((scores >= cut).sum() + hits.sum())
         best = f1(toxicity.best_threshold(scores, hits))
