@@ -100,37 +100,47 @@ class Coded:
 
 
 class Memo:
-    """Ids of pieces seen so far, found by a 64-bit hash of the piece and its length.
+    """Ids of pieces seen so far.
 
-    ``encode`` maps a list of pieces to a list of id sequences. Two different pieces of
-    one length and one hash would be confused: with the number kept here the chance is
-    below one in ten million over all pieces of a worker.
+    ``encode`` maps a list of pieces to a list of id sequences, ``starts`` finds where the
+    pieces of some texts begin. A piece is looked up by a 64-bit hash and then compared
+    with the piece that is kept there, character by character; one that only has the same
+    hash is encoded by itself.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT_PIECES):
-        self.encode, self.kept = encode, kept
+    def __init__(self, encode: Callable[[list[str]], list], kept: int = KEPT_PIECES, starts: Callable = starts):
+        self.encode, self.kept, self.starts = encode, kept, starts
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # sorted
         self.place = np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(1, dtype=np.int64)
+        self.first = np.zeros(1, dtype=np.int64)  # bounds of the ids of each piece kept
         self.ids = np.zeros(0, dtype=np.uint32)
+        self.begins = np.zeros(1, dtype=np.int64)  # bounds of its characters
+        self.characters = np.zeros(0, dtype=np.uint32)
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some pieces and how many each has."""
         coded = self.encode(pieces)
         lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        flat = np.concatenate([np.asarray(c, dtype=np.uint32) for c in coded])
+        return np.concatenate([np.asarray(c, dtype=np.uint32) for c in coded]), lengths
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        flat, lengths = self._coded(pieces)
         place = np.arange(len(self.first) - 1, len(self.first) - 1 + len(keys))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, flat])
+        characters, bounds = codepoints(pieces)
+        self.begins = np.concatenate([self.begins, self.begins[-1] + bounds[1:]])
+        self.characters = np.concatenate([self.characters, characters])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
         self.keys, self.place = every[order], np.concatenate([self.place, place])[order]
 
     def texts(self, texts: list[str]) -> Coded:
         cp, bounds = codepoints(texts)
-        begin = starts(cp, bounds)
+        begin = self.starts(cp, bounds)
         if not len(begin):
             return Coded(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
         lengths = np.diff(np.append(begin, len(cp)))
@@ -141,22 +151,31 @@ class Memo:
         at = np.searchsorted(self.keys, distinct)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == distinct[known]
+        whole = "".join(texts)
+        piece = lambda at: [whole[s : s + k] for s, k in zip(begin[at].tolist(), lengths[at].tolist())]
         if not known.all():
             if len(self.keys) + int((~known).sum()) > self.kept:
                 self.clear()  # this block's pieces are all added again
                 known[:] = False
             fresh = np.flatnonzero(~known)
-            whole = "".join(texts)
-            where = begin[one[fresh]]
-            size = lengths[one[fresh]]
-            self._add(distinct[fresh], [whole[s : s + k] for s, k in zip(where.tolist(), size.tolist())])
+            self._add(distinct[fresh], piece(one[fresh]))
             at = np.searchsorted(self.keys, distinct)
         slot = self.place[at][which]
-        count = self.first[slot + 1] - self.first[slot]
+        start, count = self.first[slot], self.first[slot + 1] - self.first[slot]
+        ids = self.ids
+        # Two different pieces may have one hash.
+        other = np.diff(self.begins)[slot] != lengths
+        kept = np.repeat(np.where(other, 0, self.begins[slot]), lengths) + np.where(np.repeat(other, lengths), 0, place)
+        other |= np.logical_or.reduceat(self.characters[kept] != cp, begin)
+        if other.any():
+            flat, own = self._coded(piece(other))
+            start[other] = len(ids) + np.cumsum(own) - own
+            count[other] = own
+            ids = np.concatenate([ids, flat])
         ends = np.zeros(len(count) + 1, dtype=np.int64)
         np.cumsum(count, out=ends[1:])
-        take = np.arange(ends[-1]) + np.repeat(self.first[slot] - ends[:-1], count)
-        return Coded(self.ids[take], ends[np.searchsorted(begin, bounds)])
+        take = np.arange(ends[-1]) + np.repeat(start - ends[:-1], count)
+        return Coded(ids[take], ends[np.searchsorted(begin, bounds)])
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:

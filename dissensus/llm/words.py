@@ -34,6 +34,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def scattered(terms: np.ndarray) -> np.ndarray:
+    """Terms of a polynomial made independent of each other, in place: sums of plain ones
+    are equal for some pairs of sequences, whatever the base (Thue-Morse words)."""
+    terms ^= terms >> np.uint64(32)
+    terms *= np.uint64(0xBF58476D1CE4E5B9)
+    terms ^= terms >> np.uint64(29)
+    return terms
+
+
 LOWER = _lower_table()
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
@@ -100,7 +109,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
         first = np.zeros(len(starts), dtype=np.int64)
         np.cumsum(lengths[:-1], out=first[1:])
         place = np.arange(len(at)) - np.repeat(first, lengths)
-        terms = SYMBOLS[low[at]] * powers(int(lengths.max()))[place]
+        terms = scattered(SYMBOLS[low[at]] * powers(int(lengths.max()))[place])
         hashes = mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * GOLDEN)
     else:
         hashes = np.zeros(0, dtype=np.uint64)

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 
 from dissensus.llm import bpe
+from tests.llm.test_text import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -56,7 +57,7 @@ def test_edit_works_near_the_change_only():
 
 
 def test_digests(spark, library, sf_dir):
-    texts = [None, "", "a", "It's 1 of 2\n\n  rows ", "naïve 中文 😀", "long " * 60_000, "a"]
+    texts = [None, "", "a", "It's 1 of 2\n\n  rows ", "naïve 中文 😀", "long " * 60_000, "a", *thue_morse(1024), *thue_morse(2048)]
     rows = [(i, t, "x", 5) for i, t in enumerate(texts)] + [(None, "no key", "x", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n_tokens int")
     found = {r["doc_id"]: r for r in bpe.digests(docs, PATH).collect()}

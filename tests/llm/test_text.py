@@ -78,3 +78,28 @@ def test_memo_survives_clearing():
     for _ in range(3):
         coded = memo.texts(texts)
         assert [coded.ids[a:b].tolist() for a, b in zip(coded.bounds, coded.bounds[1:])] == [[ord(c) for c in t] for t in texts]
+
+
+def thue_morse(n):
+    """A word over a and b and its complement: polynomial hashes take them for one."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_words_with_constructed_collisions():
+    for n in (1024, 2048, 8192):
+        w = words.word_hashes(list(thue_morse(n)))
+        assert len(set(w.hashes.tolist())) == 2
+
+
+def test_a_memo_tells_pieces_of_one_hash_apart():
+    encode = lambda pieces: [[len(p), *map(ord, p[:3])] for p in pieces]
+    kept = pretokens.Memo(encode)
+    for n in (1024, 2048):
+        word, other = thue_morse(n)
+        for texts in ([word, other], [word + " x " + other, other, "", word], [other], ["a b", word]):
+            for memo in (pretokens.Memo(encode), kept):
+                coded = memo.texts(texts)
+                for i, t in enumerate(texts):
+                    expected = [x for p in SPLIT.findall(t) for x in encode([p])[0]]
+                    assert coded.ids[coded.bounds[i] : coded.bounds[i + 1]].tolist() == expected

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from dissensus.llm import queries, tokenfiles
+from tests.llm.test_text import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,8 +57,8 @@ def test_corpus_is_that_of_the_library(spark, sf_dir):
 
 
 def test_nulls_repeats_and_many_files(spark, tmp_path):
-    texts = [None, "", "<|endoftext|> !", "x " * 40_000, "b", "b"]
-    rows = [(9 - i, t) for i, t in enumerate(texts)] + [(None, "no key"), (4, "b")] + [(100 + i, "w") for i in range(9000)]
+    texts = [None, "", "<|endoftext|> !", "x " * 40_000, "b", "b", *thue_morse(1024), *thue_morse(2048)]
+    rows = [(19 - i, t) for i, t in enumerate(texts)] + [(None, "no key"), (4, "b")] + [(100 + i, "w") for i in range(9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     docs = docs.selectExpr("doc_id", "text", "1 AS part", "'x' AS file", "2 AS start")
     listed = tokenfiles.write(docs, PATH, str(tmp_path / "files"), file_ids=20)
