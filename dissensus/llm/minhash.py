@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +34,9 @@ LEAST_EQUAL = int(REGISTERS * SIMILARITY - 5 * (REGISTERS * SIMILARITY * (1 - SI
 CENTRES = 5
 # Members of a bucket that are put in order together.
 BUCKET_SLICE = 512
-# Counters of shingles, which share them by hash; any counts give an order that all
-# documents have in common, which is all that exactness needs.
-COUNTERS = 1 << 20
-# Holders of a shingle that are compared in one place.
-SHINGLE_BLOCK = 1024
+# Texts of a crowd that are in one block, and their distinct shingles.
+CROWD_BLOCK = 4096
+CROWD_SHINGLES = 1 << 21
 
 
 def signatures(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -109,7 +107,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for base in (W.BASE, W.GOLDEN):
                     sums = np.zeros(n, dtype=np.uint64)
                     if len(place):
-                        terms = W.mix(w.hashes ^ base) * W.powers(int(count.max()), base | np.uint64(1))[place]
+                        terms = W.scattered(W.mix(w.hashes ^ base) * W.powers(int(count.max()), base | np.uint64(1))[place])
                         sums[~none] = np.add.reduceat(terms, w.bounds[:-1][~none])
                     digests.append(pa.array(W.mix(sums + count.astype(np.uint64)).view(np.int64), mask=none))
                 short = np.ascontiguousarray((held & np.uint64(0xFFFF)).astype("<u2"))
@@ -176,147 +174,149 @@ def other_pairs(shared: DataFrame, middle: DataFrame, roots: DataFrame) -> DataF
 
 
 def crowded(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, root`` of members of buckets that ``other_pairs`` does not compare in full
+    """``bucket, node, root`` of the buckets that ``other_pairs`` does not compare in full
     and that still hold several classes."""
     rows = shared.filter(F.col("n") > CENTRES + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return rows.join(several.select("bucket"), "bucket", "left_semi").groupBy("node").agg(F.min("root").alias("root"))
-
-
-def counters_of(values: np.ndarray) -> np.ndarray:
-    return (W.mix(values ^ W.GOLDEN) % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """How many texts hold the shingles of each counter."""
-
-    def run(batches):
-        held = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            data, offsets = W.utf8(batch.column("text"))
-            for lo, hi in W.chunks(offsets, 1 << 19):
-                _, values, _ = weighted_shingles(W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-                held += np.bincount(counters_of(values), minlength=COUNTERS)
-        used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], names=["counter", "n"])
-
-    # At most COUNTERS rows of two numbers.
-    made = texts.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    out[made.column("counter").to_numpy()] = made.column("n").to_numpy()
-    return out
+    return rows.select("bucket", "node", "root").join(several.select("bucket"), "bucket", "left_semi")
 
 
 def may_reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether texts can have a similarity of SIMILARITY if shares of x and y of their
     weights are in shingles that the other does not hold: the similarity is not above
     1 / (1 / (1 - x) + 1 / (1 - y) - 1)."""
-    return 1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / SIMILARITY + 1e-9
+    with np.errstate(divide="ignore"):
+        return 1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / SIMILARITY + 1e-9
 
 
-def rare_shingles(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``shingle, node, root, before`` for texts (``node, root, text``): ``before`` is the
-    share of a text's weight in rarer shingles. Of the shingles two texts share, the
-    rarest has only such before it as the other text does not hold, so shingles that
-    ``may_reach`` rules out, and those that one text holds, are left out."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    source = texts.select("node", "root", "text")
-    schema = T.StructType().add("shingle", "long")
-    for name in ("node", "root"):
-        schema = schema.add(name, source.schema[name].dataType)
-    schema = schema.add("before", "double")
+def bags(texts: DataFrame) -> DataFrame:
+    """``texts`` (``node, text``) as ``node, size, shingles, weights``: the sorted distinct
+    shingles of each text and how often they occur, in binary."""
+    schema = texts.select("node").schema.add("size", "long").add("shingles", "binary").add("weights", "binary")
 
     def run(batches):
         for batch in batches:
             data, offsets = W.utf8(batch.column("text"))
             for lo, hi in W.chunks(offsets, 1 << 19):
                 at, values, weights = weighted_shingles(W.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-                often = shared.value[counters_of(values)]
-                order = np.lexsort((values, often, at))
-                at, values, weights, often = at[order], values[order], weights[order].astype(np.float64), often[order]
-                total = np.bincount(at, weights, minlength=hi - lo)
-                before = (np.cumsum(weights) - weights - (np.cumsum(total) - total)[at]) / total[at]
-                kept = (often > 1) & may_reach(before, np.zeros(1))
-                rows = pa.array(at[kept] + lo)
+                ends = np.searchsorted(at, np.arange(1, hi - lo + 1))
+                cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[kept].view(np.int64)), batch.column("node").take(rows), batch.column("root").take(rows), pa.array(before[kept])],
-                    names=["shingle", "node", "root", "before"],
+                    [batch.column("node").slice(lo, hi - lo), pa.array(np.diff(ends, prepend=0)), cut(values), cut(weights.astype("<u4"))],
+                    names=["node", "size", "shingles", "weights"],
                 )
 
-    return source.mapInArrow(run, schema)
+    return texts.select("node", "text").mapInArrow(run, schema)
+
+
+def crowds(rows: DataFrame) -> DataFrame:
+    """``node, root, crowd, main`` from crowded rows ``bucket, node, root``: classes that
+    share a bucket are in one crowd; ``main`` marks the members of its largest class, if
+    that has more than one."""
+    hub = rows.groupBy("bucket").agg(F.min("root").alias("hub"))
+    ties = rows.select("bucket", "root").distinct().join(hub, "bucket").select("root", "hub").distinct()
+    of = components(ties, "root", "hub").select(F.col("node").alias("root"), F.col("root").alias("crowd"))
+    members = rows.select("node", "root").distinct().join(of, "root")
+    sizes = members.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("largest"))
+    main = (F.col("root") == F.col("largest")["root"]) & (F.col("largest")["n"] > 1)
+    return members.join(largest, "crowd").select("node", "root", "crowd", main.alias("main"))
 
 
-def crowded_pairs(texts: DataFrame, registers: DataFrame) -> DataFrame:
-    """All pairs of texts (``node, root, text``) of different roots that have LEAST_EQUAL
-    equal registers and can have a similarity of SIMILARITY.
+def crowd_links(members: DataFrame, texts: DataFrame, registers: DataFrame) -> DataFrame:
+    """Links ``a, b, similarity`` that join the classes of each crowd (``crowds``): any two
+    texts of a crowd with a similarity of SIMILARITY end up in one class.
 
-    Such a pair meets at the rarest shingle that both hold. The holders of a shingle are
-    dealt to blocks, each pair of blocks is one place.
+    A crowd's largest class and its other texts are dealt to blocks of bounded numbers and
+    sizes. Each block of other texts meets each block of the crowd in one place, where
+    texts of different classes are compared and classes are united as links are found.
+    A place gives out at most one link less than it has texts. Members of the largest
+    class go to as many places as there are blocks of other texts, usually one.
     """
-    rows = written(rare_shingles(texts, shingle_counts(texts)), "rare-shingles")
-    held = rows.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("before").alias("least")
+    kind = members.schema["node"].dataType
+    held = written(members.join(bags(texts), "node").join(registers, "node"), "crowd-texts")
+    need = lambda n, size: F.greatest(F.ceil(n / CROWD_BLOCK), F.ceil(size / CROWD_SHINGLES)).cast("int")
+    count = lambda main: [F.count_if(F.col("main") == main), F.coalesce(F.sum(F.when(F.col("main") == main, F.col("size"))), F.lit(0))]
+    blocks = held.groupBy("crowd").agg(need(*count(True)).alias("mains"), need(*count(False)).alias("others"))
+    # Thin rows find their places; texts follow by their node.
+    rows = held.select("node", "crowd", "main").join(blocks, "crowd")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = lambda first, second: F.struct(first.alias("first"), second.alias("second"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.col("block")
+    of_main = F.transform(all_of("others"), lambda o: place(o, -1 - block))
+    of_other = F.concat(
+        F.transform(all_of("others"), lambda o: place(F.least(block, o), F.greatest(block, o))),
+        F.transform(all_of("mains"), lambda m: place(block, -1 - m)),
     )
-    least = F.col("least")
-    held = held.filter((F.col("low") != F.col("high")) & (2 / (1 - least) <= 1 + 1 / SIMILARITY + 1e-9)).select("shingle", "n")
-    blocks = F.ceil(F.col("n") / SHINGLE_BLOCK).cast("int")
-    rows = rows.join(held, "shingle").withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "shingle"), F.col("blocks")).cast("int")).join(registers, "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "shingle", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-        "block", "node", "root", "before", "registers",
-    )
-    place = ["shingle", "first", "second"]
-    dealt = rows.repartition(*place).sortWithinPartitions(*place)
-    kind = rows.schema["node"].dataType
-
-    def found_in(part: pa.Table) -> pa.RecordBatch:
-        """Pairs within the places of a table, which holds them whole."""
-        shingle, first, second, block, before = (part.column(c).to_numpy() for c in (*place, "block", "before"))
-        node, root = (part.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("node", "root"))
-        held = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        n = len(shingle)
-        edge = np.flatnonzero((shingle[1:] != shingle[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
-        edge = np.concatenate([[0], edge, [n]])
-        end = np.repeat(edge[1:], np.diff(edge))
-        one, two = [], []
-        live, step = np.arange(n), 1
-        while len(live := live[live + step < end[live]]):
-            a, b = live, live + step
-            # Two members of one block meet in the place of that block alone.
-            apart = (root[a] != root[b]) & (node[a] != node[b]) & ((first[a] == second[a]) | (block[a] != block[b]))
-            a, b = a[apart], b[apart]
-            able = may_reach(before[a], before[b])
-            a, b = a[able], b[able]
-            alike = (held[a] == held[b]).sum(axis=1) >= LEAST_EQUAL
-            one.append(a[alike])
-            two.append(b[alike])
-            step += 1
+    placed = rows.select("node", "crowd", "block", F.explode(F.when(F.col("main"), of_main).otherwise(of_other)).alias("place"))
+    placed = placed.select("node", "crowd", "block", "place.*").join(held.drop("crowd"), "node")
+    keys = ["crowd", "first", "second"]
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def links_in(part: pa.Table) -> pa.RecordBatch:
+        """Links within one place, of which a table holds all rows."""
+        second = part.column("second")[0].as_py()
+        main, block = (part.column(c).to_numpy(zero_copy_only=False) for c in ("main", "block"))
+        label = part.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        marks = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        size = part.column("size").to_numpy()
+        ends = np.cumsum(size)
+        shingles = np.frombuffer(b"".join(part.column("shingles").to_pylist()), "<u8")
+        weights = np.frombuffer(b"".join(part.column("weights").to_pylist()), "<u4").astype(np.float64)
+        total = np.add.reduceat(weights, ends - size)
+        bag = lambda i: (shingles[ends[i] - size[i] : ends[i]], weights[ends[i] - size[i] : ends[i]])
+        one, two, alike = [], [], []
+        first = part.column("first")[0].as_py()
+        left = np.flatnonzero(~main & (block == first))
+        right = np.flatnonzero(main if second < 0 else block == second)
+        for i in left:
+            near = right if first != second else right[right > i]
+            near = near[label[near] != label[i]]
+            near = near[(marks[near] == marks[i]).sum(axis=1) >= LEAST_EQUAL]
+            if not len(near):
+                continue
+            # Weights in common shingles, of both sides.
+            own, own_weights = bag(i)
+            flat = np.arange(size[near].sum()) + np.repeat(ends[near] - np.cumsum(size[near]), size[near])
+            at = np.minimum(np.searchsorted(own, shingles[flat]), len(own) - 1)
+            both = own[at] == shingles[flat]
+            begins = np.cumsum(size[near]) - size[near]
+            theirs = np.add.reduceat(np.where(both, weights[flat], 0), begins)
+            mine = np.add.reduceat(np.where(both, own_weights[at], 0), begins)
+            able = may_reach(1 - mine / total[i], 1 - theirs / total[near])
+            for j in near[able]:
+                if label[j] == label[i]:
+                    continue
+                found = probability_jaccard(bag(i), bag(j))
+                if found >= SIMILARITY:
+                    one.append(i)
+                    two.append(j)
+                    alike.append(found)
+                    label[label == label[j]] = label[i]
         nodes = part.column("node").combine_chunks()
-        pick = lambda at: nodes.take(pa.array(np.concatenate([np.zeros(0, np.int64), *at])))
-        return pa.RecordBatch.from_arrays([pick(one), pick(two)], names=["node", "other"])
+        x, y = (nodes.take(pa.array(np.array(at, dtype=np.int64))) for at in (one, two))
+        return pa.RecordBatch.from_arrays([x, y, pa.array(alike, pa.float64())], names=["x", "y", "similarity"])
 
     def run(batches):
-        # A place may go on in the next batch; it has about 2 * SHINGLE_BLOCK rows.
+        # A place may go on in the next batch; the sizes of blocks bound it.
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([batch])
             now = now if rest is None else pa.concat_tables([rest, now])
-            same = np.ones(now.num_rows, dtype=bool)
-            for c in place:
-                values = now.column(c).to_numpy()
-                same &= values == values[-1]
-            cut = int(np.argmax(same))
-            if cut:
-                yield found_in(now.slice(0, cut))
-            rest = now.slice(cut)
+            key = [now.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in keys]
+            edge = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            edge = [0, *edge.tolist()]
+            for lo, hi in zip(edge, edge[1:]):
+                yield links_in(now.slice(lo, hi - lo))
+            rest = now.slice(edge[-1])
         if rest is not None:
-            yield found_in(rest)
+            yield links_in(rest)
 
-    return pairs_of(dealt.mapInArrow(run, T.StructType().add("node", kind).add("other", kind)))
+    found = dealt.mapInArrow(run, T.StructType().add("x", kind).add("y", kind).add("similarity", "double"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -407,9 +407,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     roots = components(links)
     left = written(crowded(shared, roots), "crowded")
     if not left.isEmpty():
-        rows = texts.withColumnRenamed("key", "node").join(left, "node")
-        rest = crowded_pairs(rows, registers).join(tried, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti")
-        rest = written(verified(rest, texts), "links-in-crowds")
+        members = written(crowds(left), "crowds")
+        rest = written(crowd_links(members, texts.withColumnRenamed("key", "node"), registers), "links-in-crowds")
         if not rest.isEmpty():
             links = links.unionByName(rest)
             roots = components(links)
@@ -432,18 +431,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def marked_key(docs: DataFrame, key: str, text: str) -> Column:
+    """A key for each key and text, in the order of the keys: texts that repeat a key are
+    told apart by 62 bits of a hash. A null key stays null."""
+    mark = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return F.col(key).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + mark.cast("decimal(19,0)")
+    return F.concat(F.col(key).cast("string"), F.lit("\0"), F.lpad(mark.cast("string"), 19, "0"))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the id of a class, and those with null keys.
+    """One row of each class of near duplicates, and the rows with null keys.
 
-    Of rows that repeat such a key the one with the lowest text stays.
+    Of a class, the row with the smallest key stays, of rows that repeat this key the one
+    with the lowest text (null: empty), of equal rows one. Here a class is made up of
+    texts: rows that share a key but not a class do not drop each other. The columns
+    of ``docs`` may have any names.
     """
-    found = classes(docs, key, text).select(F.col(key).alias("__key"), "class_id").filter("__key IS NOT NULL")
-    found = written(found, "classes-of-keys")
-    repeated = found.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("class_id")).filter("n > 1")
-    dropped = found.filter("__key <> class_id").select("__key").unionByName(repeated.select("__key")).distinct()
-    same = F.col(key) == F.col("__key")
-    once = docs.join(dropped, same, "left_anti")
-    heads = docs.join(repeated.filter("__key = class_id").select("__key"), same, "left_semi")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    heads = heads.withColumn("__place", place).filter("__place = 1").drop("__place")
-    return once.unionByName(heads)
+    which = marked_key(docs, key, text)
+    rows = docs.select(which.alias("key"), F.col(text).alias("text"))
+    found = classes(rows, "key", "text").filter("key IS NOT NULL")
+    heads = written(found.filter("key = class_id").select("key").distinct(), "heads")
+    # Columns of docs are put away in one struct, where no name can clash.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), which.alias("key"))
+    # A head is one key and text: only its own copies share it.
+    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(heads, "key", "left_semi").select("key")
+    repeated = written(repeated, "repeated-heads")
+    single = held.join(heads.join(repeated, "key", "left_anti"), "key", "left_semi").select("row.*")
+    many = held.join(repeated, "key", "left_semi")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.to_json("row")))
+    many = many.withColumn("place", place).filter("place = 1").select("row.*")
+    return single.unionByName(many).unionByName(docs.filter(F.col(key).isNull()))

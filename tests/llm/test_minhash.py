@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from dissensus.llm import components, minhash, words
 
@@ -166,15 +167,51 @@ def test_crowded_buckets_leave_no_pair_out(spark):
     assert [found[i] for i in range(len(texts))] == expected
 
 
-def test_crowds_of_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 7)
-    texts = template_pages(random.Random(5), 352, 30)
-    nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, text string")
+def crowd_of(spark, texts, roots=None):
+    rows = [(i, (roots or {}).get(i, i), t) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, root long, text string")
     held = minhash.sketches(nodes, "node", "text").selectExpr("key AS node", "registers")
-    found = {tuple(r) for r in minhash.crowded_pairs(nodes, held).collect()}
-    assert found >= {(i, i + 1) for i in range(0, len(texts), 2)}
-    monkeypatch.setattr(minhash, "SHINGLE_BLOCK", 1024)
-    assert found == {tuple(r) for r in minhash.crowded_pairs(nodes, held).collect()}
+    return minhash.crowds(nodes.selectExpr("7L AS bucket", "node", "root")), nodes, held
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_crowds_of_many_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "CROWD_BLOCK", block)
+    texts = template_pages(random.Random(5), 352, 30)
+    # A class of thirty texts, which only one of the others is alike to.
+    rng = random.Random(6)
+    base = texts[0].split()
+    texts += [" ".join(base[:-2] + own(rng, 2)) for _ in range(30)]
+    roots = {i: 60 for i in range(60, 90)}
+    found = minhash.crowd_links(*crowd_of(spark, texts, roots)).collect()
+    assert {(r["a"], r["b"]) for r in found} >= {(i, i + 1) for i in range(2, 60, 2)}
+    assert any(r["a"] in (0, 1) and r["b"] >= 60 for r in found)
+    seen = bags(texts)
+    for r in found:
+        assert r["similarity"] >= 0.8 and abs(r["similarity"] - similarity(seen[r["a"]], seen[r["b"]])) < 1e-9
+    assert block == 7 or len(found) < len(texts)
+
+
+def test_a_crowd_gives_out_links_not_pairs(spark):
+    """Some thousand near copies of one text, all in different classes so far."""
+    rng = random.Random(7)
+    base = own(rng, 60)
+    texts = [" ".join(base[:-1] + own(rng, 1)) for _ in range(2500)]
+    found = minhash.crowd_links(*crowd_of(spark, texts)).collect()
+    assert len(found) == len(texts) - 1
+
+
+def test_one_of_each_keeps_unlike_texts_of_a_repeated_key(spark):
+    rng = random.Random(3)
+    x, y, z = (" ".join(own(rng, 30)) for _ in range(3))
+    rows = [(1, x, 1), (3, x, 2), (3, y, 3), (3, y, 3), (4, z, 4), (2, z, 5), (None, x, 6), (5, None, 7), (5, "", 8)]
+    docs = spark.createDataFrame(rows, "key long, text string, __key int").selectExpr("*", "'a' AS __place", "'b' AS row", "1 AS `a.b`")
+    kept = minhash.one_of_each(docs, "key")
+    assert kept.columns == docs.columns
+    found = [tuple(r)[:3] for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(1, x, 1), (3, y, 3), (2, z, 5), (None, x, 6), (5, None, 7)], key=str)
+    names = docs.selectExpr("'k' || key AS key", "text")
+    assert sorted(r["key"] for r in minhash.one_of_each(names, "key").collect() if r["key"]) == ["k1", "k2", "k3", "k5"]
 
 
 def test_empty(spark):
