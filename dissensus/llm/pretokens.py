@@ -20,8 +20,9 @@ from dissensus.llm import words as W
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 # Letters that may follow an apostrophe; fixed values of the pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-# Pieces a worker keeps; at most about 250 bytes each.
+# Pieces a worker keeps, and the characters they may have together.
 KEPT_PIECES = 600_000
+KEPT_CHARACTERS = 1 << 24
 
 
 @functools.cache
@@ -91,6 +92,27 @@ def starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def blank_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a run of ASCII white space, a run of other characters or a text begins."""
+    if not len(cp):
+        return np.zeros(0, dtype=np.int64)
+    blank = (cp == 32) | (cp == 10) | (cp == 13) | (cp == 9)
+    new = np.ones(len(cp) + 1, dtype=bool)
+    new[1:-1] = blank[1:] != blank[:-1]
+    new[bounds] = True
+    return np.flatnonzero(new[:-1])
+
+
+def space_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a text or a run of blanks begins; a run goes with the characters after it."""
+    if not len(cp):
+        return np.zeros(0, dtype=np.int64)
+    new = np.ones(len(cp) + 1, dtype=bool)
+    new[1:-1] = (cp[1:] == 32) & (cp[:-1] != 32)
+    new[bounds] = True
+    return np.flatnonzero(new[:-1])
+
+
 @dataclass
 class Coded:
     """Ids of all texts: those of text i are ``ids[bounds[i]:bounds[i+1]]``."""
@@ -154,7 +176,7 @@ class Memo:
         whole = "".join(texts)
         piece = lambda at: [whole[s : s + k] for s, k in zip(begin[at].tolist(), lengths[at].tolist())]
         if not known.all():
-            if len(self.keys) + int((~known).sum()) > self.kept:
+            if len(self.keys) + int((~known).sum()) > self.kept or len(self.characters) > KEPT_CHARACTERS:
                 self.clear()  # this block's pieces are all added again
                 known[:] = False
             fresh = np.flatnonzero(~known)

@@ -179,3 +179,43 @@ def op10(spark, folder):
     return warc.archive(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "place", "capture"
     )
+
+
+@query("op11_token_alignment")
+def op11(spark, folder):
+    from dissensus.llm import align
+
+    return align.align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op12_packed_sequences")
+def op12(spark, folder):
+    from dissensus.llm import packing
+
+    return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+    d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM d),
+    f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY term, docs),
+    q AS (SELECT item_id, term, count(*) AS qf FROM (
+              SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+          GROUP BY item_id, term),
+    m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // words AS m FROM d, s),
+    g AS (SELECT item_id, doc_id, sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM g WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op13(spark, folder):
+    from dissensus.llm import lexical
+
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
