@@ -40,8 +40,8 @@ Pattern = tuple[int, ...]  # lengths, the longest first
 
 @functools.cache
 def coder(path: str) -> pretokens.Memo:
-    """The tokenizers library over the parts of a text between ASCII white space. The
-    vocabulary's own rules drop white space and match nothing across it."""
+    """The tokenizers library over the parts of a text that begin with ASCII white space.
+    The vocabulary's own rules drop white space and match nothing across it."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core

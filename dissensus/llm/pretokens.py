@@ -93,12 +93,13 @@ def starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def blank_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where a run of ASCII white space, a run of other characters or a text begins."""
+    """Where a text or a run of ASCII white space begins; a run goes with the characters
+    after it."""
     if not len(cp):
         return np.zeros(0, dtype=np.int64)
     blank = (cp == 32) | (cp == 10) | (cp == 13) | (cp == 9)
     new = np.ones(len(cp) + 1, dtype=bool)
-    new[1:-1] = blank[1:] != blank[:-1]
+    new[1:-1] = blank[1:] & ~blank[:-1]
     new[bounds] = True
     return np.flatnonzero(new[:-1])
 
@@ -187,7 +188,9 @@ class Memo:
         ids = self.ids
         # Two different pieces may have one hash.
         other = np.diff(self.begins)[slot] != lengths
-        kept = np.repeat(np.where(other, 0, self.begins[slot]), lengths) + np.where(np.repeat(other, lengths), 0, place)
+        kept = np.repeat(self.begins[slot], lengths) + place
+        if other.any():
+            kept[np.repeat(other, lengths)] = 0
         other |= np.logical_or.reduceat(self.characters[kept] != cp, begin)
         if other.any():
             flat, own = self._coded(piece(other))
