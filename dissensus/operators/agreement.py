@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissensus.operators import resample
+
 
 def correlation(x: Column, y: Column) -> Column:
     """Correlation of a group; null where one side is constant."""
@@ -20,6 +22,12 @@ def group_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFra
     )
 
 
+def group_correlation_interval(df: DataFrame, keys: list[str], x: str, y: str, **bootstrap) -> DataFrame:
+    """Mean of the groups' correlations with a bootstrap interval over the groups."""
+    found = group_correlation(df, keys, x, y)
+    return resample.bootstrap_mean(found, [], "corr", [F.col(k) for k in keys], **bootstrap)
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlations of all columns, as rows of (a, b, corr)."""
     pairs = [(a, b) for a in cols for b in cols]

@@ -171,6 +171,16 @@ def rating_matrix(
     return resample.bootstrap_mean(means, keys, value, [*map(F.col, keys), F.col("draw")], **bootstrap)
 
 
+def accuracy_intervals(df: DataFrame, attribute: str, **bootstrap) -> DataFrame:
+    """Accuracy by an attribute of the annotator's metadata, with a bootstrap interval.
+
+    Right and wrong answers of an attribute are counted before anything is drawn.
+    """
+    value = F.try_element_at("metadata", F.lit(attribute))
+    rows = df.select(value.alias(attribute), (F.col("pred") == F.col("target")).cast("int").alias("correct"))
+    return resample.counted_bootstrap(rows, [attribute], "correct", **bootstrap)
+
+
 def accuracy_by_attribute(df: DataFrame, attribute: str) -> DataFrame:
     """Accuracy by an attribute of the annotator's metadata."""
     value = F.try_element_at("metadata", F.lit(attribute))

@@ -297,3 +297,165 @@ def growing_subsets(
     placed = ordering.running_total(means, [], order, name="__r")
     fits = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: F.col("__r") < n)
     return placed.select(F.explode(fits).alias("size"), item, value)
+
+
+def better_share(rank: Column, runs: Column, n: Column) -> Column:
+    """Probability that all of n runs drawn without replacement are among those that
+    ``rank`` runs are better than: ``C(runs - rank, n) / C(runs, n)``."""
+    return F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), n - 1),
+        F.lit(1.0),
+        lambda acc, j: acc * F.greatest(F.lit(0).cast("bigint"), runs - rank - j).cast("double") / (runs - j).cast("double"),
+    )
+
+
+def best_of_n_by_rank(
+    df: DataFrame,
+    keys: list[str],
+    item: list[str],
+    tie: list[Column],
+    value: str,
+    n_samples: int,
+    k: int,
+    score: str = "score",
+    seed: str = "0",
+    bound: DataFrame | None = None,
+) -> DataFrame:
+    """The draws of ``best_of_n`` by the rank of the best run: (keys, draw, value, n_samples).
+
+    One uniform number per item and draw is turned into the rank of the best of
+    ``n_samples`` runs drawn without replacement, by the inverse of that rank's
+    distribution. A run finds from its own rank in which draws it is the best, so no row
+    is multiplied before it is averaged. Ties of the score have the order of ``tie``.
+    Items with fewer runs give their best one. ``bound`` is explained at
+    ``ordering.large_groups``.
+    """
+    rows = df.select(*dict.fromkeys([*keys, *item]), value, score, *tie)
+    placed = ordering.running_total(rows, item, [-F.col(score), *tie], name="__r", total="__n", bound=bound)
+    n = F.least(F.lit(n_samples).cast("bigint"), F.col("__n"))
+    # Ranks beyond this are never the best of n.
+    possible = placed.where(F.col("__r") <= F.col("__n") - n)
+    ends = possible.withColumns(
+        {
+            "__high": better_share(F.col("__r"), F.col("__n"), n),
+            "__low": better_share(F.col("__r") + 1, F.col("__n"), n),
+            "__key": rng.key_text(F.lit(seed), *[F.col(c) for c in item]),
+        }
+    )
+
+    def best_in(draw: Column) -> Column:
+        u = rng.uniform(F.col("__key"), draw)
+        return (u >= F.col("__low")) & (u < F.col("__high"))
+
+    draws = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), best_in)
+    best = ends.select(*keys, value, F.explode(draws).alias("draw"))
+    return best.groupBy(*keys, "draw").agg(F.avg(value).alias(value)).withColumn("n_samples", F.lit(n_samples))
+
+
+def draw_intervals(draws: DataFrame, keys: list[str], value: str, confidence: float = CONFIDENCE) -> DataFrame:
+    """Mean of each group's draws with the interval that holds ``confidence`` of them."""
+    alpha = (1 - confidence) / 2
+    ends = F.percentile(value, F.array(F.lit(alpha), F.lit(1 - alpha)))
+    found = draws.groupBy(*keys).agg(ends.alias("__q"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_draws"))
+    return found.select(*keys, F.col("__q")[0].alias("low"), "mean", F.col("__q")[1].alias("high"), "n_draws")
+
+
+# Means from which a Poisson count follows from the normal quantile; below, the
+# probabilities are added up, of which those beyond SMALL_TERMS are below 1e-16.
+SMALL_MEAN = 10
+SMALL_TERMS = 50
+
+
+def poisson_of(mean: Column, u: Column) -> Column:
+    """Poisson count of a uniform number for any mean.
+
+    Small means are inverted exactly; for others the quantile is expanded around the
+    normal one, which is off by 1 at most where it is off.
+    """
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("upto"), F.lit(0.0).alias("w"))
+
+    def step(acc: Column, j: Column) -> Column:
+        p = acc["p"] * mean / (j + 1)
+        return F.struct(p.alias("p"), (acc["upto"] + p).alias("upto"), (acc["w"] + F.when(u >= acc["upto"], 1.0).otherwise(0.0)).alias("w"))
+
+    exact = F.aggregate(F.sequence(F.lit(0), F.lit(SMALL_TERMS)), start, step)["w"]
+    z = normal.quantile(F.greatest(F.least(u, F.lit(1 - 2.0**-33)), F.lit(2.0**-33)))
+    expanded = F.greatest(F.lit(0.0), F.round(mean + z * F.sqrt(mean) + (z * z - 1) / 6))
+    return F.when(mean < SMALL_MEAN, exact).otherwise(expanded)
+
+
+def counted_bootstrap(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    n_resamples: int = N_RESAMPLES,
+    method: str = "percentile",
+    confidence: float = CONFIDENCE,
+    seed: str = "0",
+) -> DataFrame:
+    """``bootstrap_mean`` for whole numbers that repeat: (keys, low, mean, high,
+    confidence_level, n_samples).
+
+    Equal values of a group become one row, which takes part in a replicate as often as a
+    Poisson count with their number as mean. So draws are made for distinct values, not
+    rows. ``method`` is ``percentile`` or ``basic``. Null values are left out.
+    """
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("bigint").alias("__x"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    drawn = counts.withColumn("__replicate", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    u = rng.uniform(F.lit(seed), *[F.col(c) for c in keys], F.col("__x"), F.col("__replicate"))
+    weighted = drawn.withColumn("__w", poisson_of(F.col("__n").cast("double"), u))
+    means = (
+        weighted.groupBy(*keys, "__replicate")
+        .agg((F.sum(F.col("__w") * F.col("__x")) / F.nullif(F.sum("__w"), F.lit(0.0))).alias("m"))
+        .where(F.col("m").isNotNull())
+    )
+    alpha = (1 - confidence) / 2
+    ends = F.percentile("m", F.array(F.lit(alpha), F.lit(1 - alpha)))
+    stats = counts.groupBy(*keys).agg(
+        (F.sum(F.col("__n") * F.col("__x")) / F.sum("__n")).alias("mean"), F.sum("__n").alias("n_samples")
+    )
+    both = join_on(stats, means.groupBy(*keys).agg(ends.alias("__q")), keys)
+    low, high = F.col("__q")[0], F.col("__q")[1]
+    if method == "basic":
+        low, high = 2 * F.col("mean") - high, 2 * F.col("mean") - low
+    return both.select(*keys, low.alias("low"), "mean", high.alias("high"), F.lit(confidence).alias("confidence_level"), "n_samples")
+
+
+def growing_means(
+    df: DataFrame,
+    item: str,
+    value: str,
+    sizes: list[int],
+    n_resamples: int = N_RESAMPLES,
+    confidence: float = CONFIDENCE,
+    seed: str = "0",
+) -> DataFrame:
+    """Mean over the first n items of one random order with a bootstrap interval, for each
+    n: (size, low, mean, high, n_samples).
+
+    An item is counted once, in the range of ranks between two sizes that it is in. The
+    replicate sums of these ranges, added up from the first one on, are those of all
+    sizes. Sizes beyond the number of items take all of them.
+    """
+    ordered = sorted(set(sizes))
+    means = df.groupBy(item).agg(F.avg(value).alias(value)).where(F.col(value).isNotNull())
+    order = [rng.order_key(F.lit(seed), F.col(item)), F.col(item)]
+    placed = ordering.running_total(means, [], order, name="__r").where(F.col("__r") < ordered[-1])
+    part = F.size(F.filter(F.array(*[F.lit(n) for n in ordered]), lambda n: F.col("__r") >= n))
+    ranged = placed.withColumn("__part", part)
+    later = F.explode(F.slice(F.array(*[F.lit(n) for n in ordered]), F.col("__part") + 1, len(ordered)))
+    # A row per range and replicate from here on.
+    sums = replicate_sums(ranged, ["__part"], value, [F.col(item)], n_resamples, seed)
+    grown = sums.select("replicate", "w", "wx", later.alias("size")).groupBy("replicate", "size").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+    replicates = grown.where(F.col("w") > 0).withColumn("m", F.col("wx") / F.col("w"))
+    totals = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("x"))
+    stats = totals.select("n", "x", later.alias("size")).groupBy("size").agg((F.sum("x") / F.sum("n")).alias("mean"), F.sum("n").alias("n_samples"))
+    alpha = (1 - confidence) / 2
+    ends = F.percentile("m", F.array(F.lit(alpha), F.lit(1 - alpha)))
+    return stats.join(replicates.groupBy("size").agg(ends.alias("__q")), "size").select(
+        "size", F.col("__q")[0].alias("low"), "mean", F.col("__q")[1].alias("high"), "n_samples"
+    )

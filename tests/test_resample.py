@@ -107,3 +107,73 @@ def test_growing_subsets_contain_each_other(runs):
     out = resample.growing_subsets(df, "dataset_idx", "loss", [5, 10, 1000]).toPandas()
     groups = {n: set(g["dataset_idx"]) for n, g in out.groupby("size")}
     assert len(groups[5]) == 5 and groups[5] < groups[10] < groups[1000] and len(groups[1000]) == 30
+
+
+def test_better_share_counts_subsets(spark):
+    rows = [(r, n, m) for n in range(1, 7) for m in range(1, n + 1) for r in range(n + 1)]
+    df = spark.createDataFrame(rows, "r long, n long, m long").select("*", resample.better_share(F.col("r"), F.col("n"), F.col("m")).alias("p"))
+    for r in df.collect():
+        subsets = list(itertools.combinations(range(r["n"]), r["m"]))
+        assert r["p"] == pytest.approx(sum(min(c) >= r["r"] for c in subsets) / len(subsets))
+
+
+def test_best_of_n_by_rank_approaches_the_exact_mean(runs):
+    data, df = runs
+    for n in (1, 2, 3, 50):
+        draws = resample.best_of_n_by_rank(df, ["dataset"], ITEM, [F.col("run_idx")], "loss", n, k=300).toPandas()
+        exact = resample.expected_best_of_n(df, ["dataset_idx"], [F.col("run_idx")], "loss", [n]).first()["loss"]
+        assert len(draws) == 300 and draws["loss"].mean() == pytest.approx(exact, abs=0.02)
+    best = data.loc[data.groupby("dataset_idx")["score"].idxmax(), "loss"].mean()
+    assert draws["loss"].tolist() == pytest.approx([best] * 300)
+
+
+def test_best_of_n_by_rank_multiplies_no_row_before_an_exchange(runs):
+    _, df = runs
+    out = resample.best_of_n_by_rank(df, ["dataset"], ITEM, [F.col("run_idx")], "loss", 2, k=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = min(i for i, line in enumerate(lines) if "Generate" in line)
+    assert sum("Exchange" in line for line in lines[:at]) == 1  # the one of the averages, after partial sums
+    assert not any("Generate" in line for line in lines[at + 1 :])
+
+
+def test_every_item_has_one_best_run_in_every_draw(runs):
+    _, df = runs
+    marked = df.withColumn("one", F.lit(1.0)).withColumn("item", F.col("dataset_idx"))
+    out = resample.best_of_n_by_rank(marked, ["item"], ITEM, [F.col("run_idx")], "one", 3, k=20)
+    assert out.count() == 30 * 20 and out.agg(F.min("one"), F.max("one")).first()[:] == (1.0, 1.0)
+
+
+def test_poisson_counts_of_any_mean(spark):
+    u = spark.range(20_000).select(((F.col("id") + 0.5) / 20_000).alias("u"))
+    for mean in (1, 2, 7, 12, 1000):
+        w = u.select(resample.poisson_of(F.lit(float(mean)), F.col("u")).alias("w"))
+        found = w.agg(F.avg("w"), F.var_pop("w"), F.min("w")).first()
+        assert found[0] == pytest.approx(mean, rel=0.005) and found[1] == pytest.approx(mean, rel=0.03) and found[2] >= 0
+
+
+def test_counted_bootstrap_agrees_with_that_of_rows(spark):
+    rows = [("a", int(i % 5 == 0)) for i in range(900)] + [("b", 1)] * 7 + [("c", None), (None, 1), (None, 0)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    for method in ("percentile", "basic"):
+        found = {r["g"]: r for r in resample.counted_bootstrap(df, ["g"], "x", 1500, method).collect()}
+        assert set(found) == {"a", "b", None} and found["a"]["n_samples"] == 900
+        error = np.sqrt(0.2 * 0.8 / 900)
+        assert found["a"]["low"] == pytest.approx(0.2 - 1.96 * error, abs=0.3 * error)
+        assert found["a"]["high"] == pytest.approx(0.2 + 1.96 * error, abs=0.3 * error)
+        assert (found["b"]["low"], found["b"]["mean"], found["b"]["high"]) == (1, 1, 1)
+
+
+def test_growing_means_have_the_interval_of_each_subset(runs):
+    data, df = runs
+    found = {r["size"]: r for r in resample.growing_means(df, "dataset_idx", "loss", [5, 12, 1000], n_resamples=200).collect()}
+    sized = resample.growing_subsets(df, "dataset_idx", "loss", [5, 12, 1000])
+    for size in (5, 12, 1000):
+        one = resample.bootstrap_mean(sized.where(F.col("size") == size), [], "loss", [F.col("dataset_idx")], 200, "percentile").first()
+        assert found[size]["n_samples"] == one["n_samples"]
+        assert [found[size][c] for c in ("low", "mean", "high")] == pytest.approx([one[c] for c in ("low", "mean", "high")])
+
+
+def test_draw_intervals(spark):
+    draws = spark.createDataFrame([("a", i, float(i)) for i in range(41)], "g string, draw int, v double")
+    assert resample.draw_intervals(draws, ["g"], "v").first()[1:] == pytest.approx((1.0, 20.0, 39.0, 41))

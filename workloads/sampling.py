@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dissensus.functions import normal, rng
-from dissensus.operators import distributions, evaluation, ordering, resample, selection
+from dissensus.operators import agreement, distributions, evaluation, ordering, resample, selection
 from workloads import columns, reductions  # noqa: F401  (their views are used)
 from workloads.base import query, r6, rounded
 
@@ -193,6 +193,34 @@ def _(t):
     return rounded(draws)
 
 
+@query(
+    "best_of_n_by_rank", "M8",
+    f"""WITH r AS (SELECT dataset, split, dataset_idx, ws_loss, row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY score DESC, rid) - 1 AS r,
+                         count(*) OVER (PARTITION BY dataset, split, dataset_idx) AS n FROM scored),
+     s AS (SELECT *, CASE WHEN n = 1 THEN (n - r)::DOUBLE / n ELSE (n - r)::DOUBLE / n * greatest(0, n - r - 1)::DOUBLE / (n - 1) END AS high,
+                  CASE WHEN n = 1 THEN (n - r - 1)::DOUBLE / n ELSE (n - r - 1)::DOUBLE / n * greatest(0, n - r - 2)::DOUBLE / (n - 1) END AS low FROM r),
+     d AS (SELECT dataset, ws_loss, k.k AS draw, high, low, {uniform_sql("md5('0|' || dataset || '|' || split || '|' || dataset_idx || '|' || k.k)")} AS u FROM s, range(20) k(k))
+     SELECT dataset, draw::INTEGER AS draw, 2 AS n_samples, round(avg(ws_loss), 6) AS ws_loss FROM d WHERE u >= low AND u < high GROUP BY ALL""",
+)
+def _(t):
+    draws = resample.best_of_n_by_rank(t.scored, ["dataset"], ITEM, [F.col("rid")], "ws_loss", n_samples=2, k=20, bound=t.answers)
+    return rounded(draws)
+
+
+@query(
+    "simple_sampling_intervals", "M6",
+    f"""WITH r AS (SELECT dataset, split, dataset_idx, ws_loss,
+           row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY md5('0|' || dataset || '|' || split || '|' || dataset_idx || '|' || rid), rid) - 1 AS r,
+           count(*) OVER (PARTITION BY dataset, split, dataset_idx) AS n FROM scored),
+     d AS (SELECT dataset, ws_loss, k.k AS draw, r, n, md5('0|' || dataset || '|' || split || '|' || dataset_idx || '|' || k.k) AS h FROM r, range(20) k(k)),
+     m AS (SELECT dataset, draw, avg(ws_loss) AS m FROM d WHERE floor({uniform_sql('h')} * n) = r GROUP BY ALL)
+     SELECT dataset, round(quantile_cont(m, 0.025), 5) AS low, round(avg(m), 5) AS mean, round(quantile_cont(m, 0.975), 5) AS high, count(*) AS n_draws FROM m GROUP BY ALL""",
+)
+def _(t):
+    draws = resample.simple_sampling(t.scored, ["dataset"], ITEM, [F.col("rid")], "ws_loss", k=20, bound=t.answers)
+    return rounded(resample.draw_intervals(draws, ["dataset"], "ws_loss"), 5)
+
+
 @query(
     "expected_best_of_n", "M9",
     """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY CAST(props ->> 'k' AS INT) DESC, event_id) AS r,
@@ -301,13 +329,13 @@ def _(t):
     return rounded(resample.bootstrap_mean(t.events, ["event_type"], "value", [F.col("event_id")], n_resamples=400), 5)
 
 
-@query("loss_intervals", "M6 M7", bca_sql("scored", "dataset", "ws_loss", "rid", 25, 4))
+@query("loss_intervals", "M7", bca_sql("scored", "dataset", "ws_loss", "rid", 25, 4))
 def _(t):
     scored = t.scored.select("dataset", "rid", "ws_loss")
     return rounded(resample.bootstrap_mean(scored, ["dataset"], "ws_loss", [F.col("rid")], n_resamples=100), 4)
 
 
-@query("rater_score_intervals", "A31 M15", bca_sql("lineitem", "l_returnflag", "l_discount", "(l_orderkey || '|' || l_linenumber)", 25, 6))
+@query("rater_score_intervals", "M7", bca_sql("lineitem", "l_returnflag", "l_discount", "(l_orderkey || '|' || l_linenumber)", 25, 6))
 def _(t):
     row = [F.col("l_orderkey"), F.col("l_linenumber")]
     return rounded(resample.bootstrap_mean(t.lineitem, ["l_returnflag"], "l_discount", row, n_resamples=100), 6)
@@ -389,6 +417,66 @@ def _(t):
     return rounded(sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.avg("ws_loss").alias("ws_loss")))
 
 
+@query(
+    "intervals_of_growing_subsets", "M15",
+    f"""WITH m AS (SELECT dataset_idx, avg(ws_loss) AS x FROM scored GROUP BY ALL),
+     o AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || dataset_idx), dataset_idx) AS r FROM m),
+     z AS (SELECT s.s AS size, dataset_idx, x FROM o, (SELECT unnest([100, 300, 1000]) AS s) s WHERE r <= s.s),
+     u AS (SELECT size, x, b.b * 4 + w.w AS replicate, {uniform_sql("md5('0|' || dataset_idx || '|' || b.b)", "w.w")} AS u FROM z, range(25) b(b), range(4) w(w)),
+     p AS (SELECT size, replicate, sum(x * ({poisson_sql('u')})) / sum({poisson_sql('u')}) AS m FROM u GROUP BY ALL),
+     q AS (SELECT size, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM p GROUP BY ALL),
+     g AS (SELECT size, avg(x) AS mean, count(*) AS n FROM z GROUP BY ALL)
+     SELECT size, round(low, 5) AS low, round(mean, 5) AS mean, round(high, 5) AS high, n AS n_samples FROM g JOIN q USING (size)""",
+)
+def _(t):
+    return rounded(resample.growing_means(t.scored, "dataset_idx", "ws_loss", [100, 300, 1000], n_resamples=100), 5)
+
+
+@query(
+    "loss_by_entropy_rank", "A47 W2",
+    """WITH r AS (SELECT ws_loss, pred_entropy, row_number() OVER (PARTITION BY dataset, split, dataset_idx ORDER BY round(pred_entropy, 6), run_idx, rid) AS entropy_rank FROM scored)
+       SELECT entropy_rank, round(avg(pred_entropy), 4) AS pred_entropy, round(avg(ws_loss), 5) AS ws_loss FROM r GROUP BY ALL""",
+)
+def _(t):
+    # Rounded, so that entropies of equal shares in another order are ties.
+    rows = t.scored.withColumn("entropy", r6("pred_entropy"))
+    ranked = selection.group_ranks(rows, ITEM, "entropy", [F.col("run_idx"), F.col("rid")], bound=t.answers)
+    out = selection.mean_by_rank(ranked, "entropy_rank", ["pred_entropy", "ws_loss"])
+    return out.select("entropy_rank", r6("pred_entropy", 4).alias("pred_entropy"), r6("ws_loss", 5).alias("ws_loss"))
+
+
+@query(
+    "accuracy_intervals_by_nation", "A41 M7",
+    f"""WITH v AS (SELECT nation, (pred = target)::INT AS x FROM labelled l JOIN annotators a ON l.annotator = a.suppkey),
+     c AS (SELECT nation, x, count(*) AS n FROM v GROUP BY ALL),
+     d AS (SELECT nation, x, n, k.k AS replicate, greatest(least({uniform_sql("md5(concat_ws('|', '0', nation, x, k.k))")}, 1 - 2.0::DOUBLE ** -33), 2.0::DOUBLE ** -33) AS u FROM c, range(200) k(k)),
+     z AS (SELECT *, {normal_quantile_sql("u")} AS z FROM d),
+     w AS (SELECT *, greatest(0, round(n + z * sqrt(n) + (z * z - 1) / 6)) AS w FROM z),
+     m AS (SELECT nation, replicate, sum(w * x) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
+     q AS (SELECT nation, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL),
+     g AS (SELECT nation, avg(x) AS mean, count(*) AS n FROM v GROUP BY ALL)
+     SELECT g.nation, round(low, 6) AS low, round(mean, 6) AS mean, round(high, 6) AS high, 0.95::DOUBLE AS confidence_level, n AS n_samples FROM g JOIN q ON g.nation IS NOT DISTINCT FROM q.nation""",
+)
+def _(t):
+    from dissensus.operators import joins
+
+    rows = t.labelled.select(F.lit("all").alias("dataset"), F.col("annotator").cast("string").alias("annotator_id"), "pred", "target")
+    return rounded(evaluation.accuracy_intervals(joins.with_metadata(rows, t.annotators), "nation", n_resamples=200))
+
+
+@query(
+    "correlation_interval", "A31 M7",
+    f"""WITH c AS (SELECT part, coalesce(CASE WHEN stddev_pop(score) = 0 OR stddev_pop(d) = 0 THEN 0 ELSE corr(score, d) END, 0) AS x FROM answers GROUP BY ALL),
+     d AS (SELECT x, b.b * 4 + w.w AS replicate, {uniform_sql("md5('0|' || part || '|' || b.b)", "w.w")} AS u FROM c, range(50) b(b), range(4) w(w)),
+     s AS (SELECT replicate, sum(x * ({poisson_sql('u')})) / sum({poisson_sql('u')}) AS m FROM d GROUP BY ALL),
+     q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM s),
+     g AS (SELECT avg(x) AS mean, count(*) AS n FROM c)
+     SELECT round(2 * mean - hi, 5) AS low, round(mean, 5) AS mean, round(2 * mean - lo, 5) AS high, 0.95::DOUBLE AS confidence_level, n AS n_samples FROM g, q""",
+)
+def _(t):
+    return rounded(agreement.group_correlation_interval(t.answers, ["part"], "score", "d", n_resamples=200, method="basic"), 5)
+
+
 @query(
     "rating_configurations", "A43 P18 P19",
     """WITH c AS (SELECT rid, 'ok=0' AS mapping, ok0 AS g FROM judgements UNION ALL SELECT rid, 'ok=1', ok1 FROM judgements)
