@@ -73,7 +73,9 @@ def judge_prompt(kind: str, template: Column, df: DataFrame, problem: Column) ->
     reasoning, response = F.col("reasoning"), F.col("response")
     final = text.final_response(response)
     if kind == "sentences":
-        values = {"PROBLEM": problem, "STEPS": prompts.as_json(text.sentences(reasoning))}
+        # Sentences that ``sentences.split`` found are taken as they are.
+        steps = F.transform("sentences", lambda s: F.struct(s.alias("text"))) if "sentences" in df.columns else text.sentences(reasoning)
+        values = {"PROBLEM": problem, "STEPS": prompts.as_json(steps)}
     elif kind == "paragraphs":
         values = {
             "PROBLEM": problem,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dissensus import registry
 from dissensus.functions import prompts, ratings, text, vectors
-from dissensus.operators import agreement, metrics
+from dissensus.operators import agreement, metrics, sentences
 from dissensus.sources import answers as answer_source
 from dissensus.sources import items as item_source
 from dissensus.sources import logs
@@ -356,6 +356,71 @@ def _(t):
     )
 
 
+def learned_sentences_sql(source: str, keys: str) -> str:
+    """Tables of a sentence model over the texts of ``source``: ``words``, ``scored_words``,
+    ``abbreviations``, ``starters``, and ``ends`` with each token that ends a sentence."""
+    blank, closing = r" \t\n\x0B\f\r", "[\"''”’»)\\]]*"
+    chance = lambda k, n, q: f"(CASE WHEN {k} > 0 THEN {k} * ln({q}) ELSE 0 END + CASE WHEN {n} - ({k}) > 0 THEN ({n} - ({k})) * ln(1 - {q}) ELSE 0 END)"
+    period, number = rf"(^|[^.])\.{closing}$", r"^[\p{N}.,:/-]+$"
+    return rf"""tok AS (SELECT {keys}, regexp_extract_all(text, '[^{blank}]+[{blank}]*') AS raws FROM {source}),
+     raw AS (SELECT {keys}, unnest(raws) AS raw, generate_subscripts(raws, 1) AS i, len(raws) AS size FROM tok),
+     bare AS (SELECT *, regexp_replace(raw, '[{blank}]+$', '') AS t FROM raw),
+     stems AS (SELECT *, lower(regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS word, regexp_matches(t, '{period}') AS period FROM bare),
+     seen AS (SELECT *, lead(t) OVER w AS nt, lead(word) OVER w AS next FROM stems WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
+     words AS (SELECT word, count(*) AS n, count(*) FILTER (period) AS k FROM seen WHERE word <> '' GROUP BY word),
+     rates AS (SELECT sum(k)::DOUBLE / sum(n) AS p, sum(n)::DOUBLE AS total FROM words),
+     lettered AS (SELECT words.*, p, length(replace(word, '.', '')) AS letters FROM words, rates WHERE k > 0),
+     scored_words AS (SELECT word, n, k, -2 * ({chance('k', 'n', 'p')} - {chance('k', 'n', '0.99::DOUBLE')}) * exp(-letters) * (length(word) - letters + 1)
+                        * pow(letters::DOUBLE, -(n - k)::DOUBLE) AS score FROM lettered WHERE letters > 0 AND NOT regexp_matches(word, '{number}')),
+     abbreviations AS (SELECT word FROM scored_words WHERE score >= 0.3),
+     follows AS (SELECT next, count(*) AS k FROM seen WHERE word <> '' AND period AND regexp_matches(nt, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AND next <> ''
+                   AND NOT regexp_matches(word, '^\p{{L}}$') AND NOT regexp_matches(word, '{number}') AND word NOT IN (SELECT word FROM abbreviations) GROUP BY next),
+     both_counts AS (SELECT next AS word, f.k, w.n, total, (SELECT sum(k)::DOUBLE FROM follows) AS breaks FROM follows f JOIN words w ON f.next = w.word, rates WHERE w.n >= f.k),
+     starters AS (SELECT word FROM both_counts WHERE k / breaks > n / total AND
+                    -2 * ({chance('k', 'breaks', '(n / total)')} + {chance('(n - k)', '(total - breaks)', '(n / total)')}
+                    - {chance('k', 'breaks', '(k / breaks)')} - {chance('(n - k)', '(total - breaks)', '((n - k) / (total - breaks))')}) >= 30),
+     judged AS (SELECT *, regexp_matches(t, '[.!?…]{closing}$') AS marked, regexp_matches(nt, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') AS lower_next,
+                  word IN (SELECT word FROM abbreviations) OR regexp_matches(word, '^\p{{L}}$') AS short, next IN (SELECT word FROM starters) AS starts FROM seen),
+     flagged AS (SELECT *, i = size OR (marked AND NOT (period AND ((short AND NOT (starts AND NOT lower_next)) OR (regexp_matches(word, '{number}') AND lower_next)))
+                  AND NOT (regexp_matches(t, '(\.\.|…){closing}$') AND lower_next)) AS ends FROM judged),
+     numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM flagged),
+     cut AS (SELECT {keys}, s, sum(length(raw)) - max(length(raw) - length(t)) FILTER (ends) AS size FROM numbered GROUP BY {keys}, s)"""
+
+
+@query(
+    "sentences_with_learned_abbreviations", "P40",
+    f"WITH {learned_sentences_sql('documents', 'doc_id')} SELECT doc_id, count(*) AS n_sentences, max(size)::INTEGER AS longest FROM cut GROUP BY doc_id",
+)
+def _(t):
+    docs = t.documents.select("doc_id", "text")
+    found = sentences.split(docs, sentences.train(docs), ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("sentences").cast("bigint").alias("n_sentences"),
+        F.array_max(F.transform("sentences", F.char_length)).alias("longest"),
+    )
+
+
+@query(
+    "abbreviation_scores", "P40",
+    f"WITH {learned_sentences_sql('conversations', 'conv_id, turn')} SELECT word, n, k, round(score, 6) AS score FROM scored_words",
+)
+def _(t):
+    words = sentences.occurrences(t.conversations, "text").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("k"))
+    return rounded(sentences.abbreviation_scores(words))
+
+
+@query(
+    "conversation_sentences", "P40",
+    f"WITH {learned_sentences_sql('conversations', 'conv_id, turn')} SELECT conv_id, turn, count(*) AS n_sentences, sum(size)::BIGINT AS chars FROM cut GROUP BY ALL",
+)
+def _(t):
+    rows = t.conversations.select("conv_id", "turn", "text")
+    found = sentences.split(rows, sentences.train(rows), ["conv_id", "turn"])
+    size = F.aggregate("sentences", F.lit(0).cast("bigint"), lambda acc, x: acc + F.char_length(x))
+    return found.select("conv_id", "turn", F.size("sentences").cast("bigint").alias("n_sentences"), size.alias("chars"))
+
+
 @query(
     "sentence_steps", "P40",
     """WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
