@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dissensus.llm import pretokens
+from dissensus.llm import pretokens, tokenfiles
 from dissensus.session import written
 
 SEQUENCE = 2048
@@ -35,22 +36,32 @@ PATTERN_DOCS = 3
 # that bins and rounding leave.
 FILLERS = 8
 
+# What the vocabulary's rules match as a whole, lower-cased, and write as it is: its merges
+# alone give the ids.
+PLAIN = re.compile(r"[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+
 Pattern = tuple[int, ...]  # lengths, the longest first
 
 
 @functools.cache
 def coder(path: str) -> pretokens.Memo:
-    """The tokenizers library over the parts of a text that begin with ASCII white space.
-    The vocabulary's own rules drop white space and match nothing across it."""
+    """The tokenizers library over the parts of a text of ``pretokens.part_starts``, across
+    which the vocabulary's own rules match nothing. Texts that hold an added token of the
+    vocabulary are encoded whole (``tokenfiles.marked``)."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     tokenizer = Tokenizer.from_file(path)
 
+    model = tokenizer.model
+
     def encode(parts: list[str]) -> list[list[int]]:
-        return [found.ids for found in tokenizer.encode_batch(parts, add_special_tokens=False)]
+        low = [part.strip(" \t\r\n").lower() for part in parts]
+        plain = [PLAIN.fullmatch(part) is not None for part in low]
+        rest = iter(tokenizer.encode_batch([part for part, one in zip(parts, plain) if not one], add_special_tokens=False))
+        return [[token.id for token in model.tokenize(part)] if one else next(rest).ids for part, one in zip(low, plain)]
 
-    return pretokens.Memo(encode, starts=pretokens.blank_starts)
+    return pretokens.Memo(encode, starts=pretokens.part_starts)
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -70,7 +81,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         seen = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for lo, hi, texts in pretokens.blocks(batch, "text"):
-                coded = memo.texts(texts)
+                coded = tokenfiles.spliced(memo.texts(texts), tokenfiles.marked(path)(texts))
                 ids = np.insert(coded.ids.astype("<u4"), coded.bounds[1:], end_id)
                 tokens = np.diff(coded.bounds) + 1
                 count = -(-tokens // size)

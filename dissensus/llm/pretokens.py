@@ -8,6 +8,7 @@ A piece is then encoded once per worker and looked up afterwards.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -92,14 +93,25 @@ def starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def blank_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where a text or a run of ASCII white space begins; a run goes with the characters
-    after it."""
+def part_starts(cp: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a text, a run of ASCII white space, an ASCII digit or a run of ASCII letters
+    or of other ASCII signs begins; white space goes with what follows. An apostrophe
+    and the letters after it, and all that touches other characters, stay together.
+
+    Patterns that match runs of letters, single digits, runs of signs and contractions,
+    but no white space, match nothing across these borders.
+    """
     if not len(cp):
         return np.zeros(0, dtype=np.int64)
     blank = (cp == 32) | (cp == 10) | (cp == 13) | (cp == 9)
+    lower = cp | np.uint32(32)
+    letter, digit = (lower >= 97) & (lower <= 122), (cp >= 48) & (cp <= 57)
+    kind = np.where(letter, 1, np.where(digit, 2, np.where(cp < 128, 3, 4))).astype(np.uint8)
+    kind[blank] = 0
+    before, after = kind[:-1], kind[1:]
+    cut = (before != after) & (before != 0) & (before != 4) & (after != 4) & ~((cp[:-1] == 39) & (after == 1))
     new = np.ones(len(cp) + 1, dtype=bool)
-    new[1:-1] = blank[1:] & ~blank[:-1]
+    new[1:-1] = cut | ((before == 2) & (after == 2)) | ((after == 0) & (before != 0))
     new[bounds] = True
     return np.flatnonzero(new[:-1])
 
@@ -147,7 +159,7 @@ class Memo:
         """All ids of some pieces and how many each has."""
         coded = self.encode(pieces)
         lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        return np.concatenate([np.asarray(c, dtype=np.uint32) for c in coded]), lengths
+        return np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32, count=int(lengths.sum())), lengths
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         flat, lengths = self._coded(pieces)
