@@ -55,6 +55,8 @@ class Index:
     weights: np.ndarray  # theirs; a word that is in no item weighs most
     top: int
     classes: list[LengthClass]
+    words: list[np.ndarray]  # word hashes of each item
+    kind: type  # of sums of weights, which hold those of the longest window
 
     def word_weights(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -67,17 +69,19 @@ def prints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, window:
     """SimHashes of the windows at ``starts``: a bit is set if words with more than half
     of the window's weight have it set."""
     ones, total = sums or running(hashes, weights)
-    # Sums run on modulo 256; a window weighs less than that.
+    # Sums run on modulo the size of their kind; a window weighs less than that.
     inside = ones[starts + window] - ones[starts]
-    half = ((total[starts + window] - total[starts]).astype(np.uint8) // 2)[:, None]
+    half = ((total[starts + window] - total[starts]) // 2).astype(ones.dtype)[:, None]
     return np.packbits(inside > half, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def running(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def running(hashes: np.ndarray, weights: np.ndarray, kind: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the weights of the words before each place: of those that have each bit
+    set, and of all."""
     bits = np.unpackbits(W.mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     bits *= weights[:, None]
-    ones = np.zeros((len(hashes) + 1, BITS), dtype=np.uint8)
-    np.cumsum(bits, axis=0, dtype=np.uint8, out=ones[1:])
+    ones = np.zeros((len(hashes) + 1, BITS), dtype=kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=ones[1:])
     total = np.zeros(len(hashes) + 1, dtype=np.int64)
     np.cumsum(weights, out=total[1:])
     return ones, total
@@ -100,17 +104,20 @@ def build(keys: list, texts: list[str | None]) -> Index:
     # Words of few items weigh 3, those of many 1.
     few, many = max(1, 0.02 * len(keys)), max(1, 0.2 * len(keys))
     weights = np.where(held_by <= few, 3, np.where(held_by <= many, 2, 1)).astype(np.uint8)
-    index = Index(list(keys), sizes, [], known, weights, 3, [])
+    # Bytes are enough for windows of up to 85 words.
+    heaviest = 3 * COVER * int(sizes.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if heaviest <= np.iinfo(k).max)
+    parts = [w.hashes[lo:hi] for lo, hi in zip(w.bounds, w.bounds[1:])]
+    index = Index(list(keys), sizes, [], known, weights, 3, [], parts, kind)
     every = index.word_weights(w.hashes)
     for lo, hi in zip(w.bounds, w.bounds[1:]):
         index.shingles.append(weighted(w.hashes[lo:hi], every[lo:hi]))
-    sums = running(w.hashes, every)
+    sums = running(w.hashes, every, kind)
     lengths = np.unique(sizes[sizes > 0])
     while len(lengths):
         members = lengths[lengths < max(lengths[0] * GROWTH, lengths[0] + 1)]
         lengths = lengths[len(members) :]
-        # Weights of a window add up to less than 256.
-        window = int(min(max(1, COVER * members[0] - STRIDE + 1), 255 // index.top))
+        window = int(max(1, COVER * members[0] - STRIDE + 1))
         found, items, offsets = [], [], []
         for i in np.flatnonzero(np.isin(sizes, members)):
             at = np.arange(sizes[i] - window + 1)
@@ -169,7 +176,7 @@ def matches(index: Index, w: W.Words) -> list[tuple[int, int, float, int, int]]:
     of places alike, the first that the windows of the shortest class meet."""
     n = len(w.hashes)
     every = index.word_weights(w.hashes)
-    sums = running(w.hashes, every)
+    sums = running(w.hashes, every, index.kind)
     counts = np.diff(w.bounds)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
@@ -198,6 +205,18 @@ def matches(index: Index, w: W.Words) -> list[tuple[int, int, float, int, int]]:
                     best[row, item] = (alike, lo, hi - lo)
                 if alike == 1.0:
                     break
+            else:
+                # A passage may have lost words at an end: from the first to the last
+                # word that agrees.
+                first = max(0, -begin)
+                there = w.hashes[w.bounds[row] + begin + first : min(w.bounds[row] + begin + size, w.bounds[row + 1])]
+                agree = np.flatnonzero(there == index.words[item][first : first + len(there)])
+                if len(agree):
+                    lo, hi = begin + first + int(agree[0]), begin + first + int(agree[-1]) + 1
+                    s = slice(int(w.bounds[row]) + lo, int(w.bounds[row]) + hi)
+                    alike = similarity(weighted(w.hashes[s], every[s]), index.shingles[item])
+                    if alike >= SIMILARITY and alike > best.get((row, item), (0.0,))[0]:
+                        best[row, item] = (alike, lo, hi - lo)
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 

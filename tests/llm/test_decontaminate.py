@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 
@@ -87,6 +88,54 @@ def test_edited_passages(spark):
     assert found[0, 0]["first_word"] == 0 and found[1, 1]["first_word"] == 1 and found[1, 1]["n_words"] == 25
 
 
+def plain_similarity(a, b, weight):
+    """Weighted Jaccard of the five-word shingles of two runs of words."""
+    x, y = collections.Counter(), collections.Counter()
+    for out, run in ((x, a), (y, b)):
+        for i in range(max(1, len(run) - 4)):
+            out[tuple(run[i : i + 5])] += sum(weight[w] for w in run[i : i + 5])
+    both = sum(min(x[k], y[k]) for k in x)
+    return both / (sum(x.values()) + sum(y.values()) - both)
+
+
+def test_recall_of_edited_passages():
+    """Of passages that are 0.8 like their item, cut at an end or changed inside, with words
+    of all weights, nine in ten are found at the least; those found have the best span's
+    similarity or more than that of the part that was put in."""
+    rng = random.Random(9)
+    common, usual = [f"c{i}" for i in range(12)], [f"u{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.2 else rng.choice(usual) if rng.random() < 0.3 else f"r{rng.randrange(10**9)}"
+    items = [[word() for _ in range(n)] for n in (40, 49, 55, 80, 120, 300)]
+    index = decontaminate.build(list(range(len(items))), [" ".join(x) for x in items])
+    weights = dict(zip(index.known.tolist(), index.weights.tolist()))
+    weight = collections.defaultdict(lambda: 3)
+    for w in {w for x in items for w in x}:
+        weight[w] = weights[int(words.word_hashes([w]).hashes[0])]
+    asked = collections.Counter()
+    hit = collections.Counter()
+    for i, item in enumerate(items):
+        for kind in ("front", "back", "middle", "both"):
+            for _ in range(6):
+                part = list(item)
+                if kind in ("front", "both"):
+                    part = part[rng.randint(0, len(item) // 9) :]
+                if kind in ("back", "both"):
+                    part = part[: len(part) - rng.randint(0, len(item) // 9)]
+                if kind == "middle":
+                    part[rng.randrange(8, len(item) - 8)] = "changed"
+                own = plain_similarity(part, item, weight)
+                if own < 0.8:
+                    continue
+                asked[kind] += 1
+                before, after = ([f"f{rng.randrange(10**9)}" for _ in range(rng.randint(0, 30))] for _ in range(2))
+                found = decontaminate.matches(index, words.word_hashes([" ".join([*before, *part, *after])]))
+                alike = {m[1]: m[2] for m in found}
+                hit[kind] += i in alike
+                assert i not in alike or alike[i] >= min(own, 0.8) - 1e-9
+    assert all(asked[k] > 20 and hit[k] >= 0.9 * asked[k] for k in ("front", "back", "middle", "both")), (asked, hit)
+    assert max(c.window for c in index.classes) > 200
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "One two THREE"), (None, "one two three"), (3, "One two THREE"), (4, "x " * 100_000 + "one, two three"), (5, "one two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS similarity", "3 AS item")
