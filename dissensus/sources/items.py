@@ -8,18 +8,16 @@ from pyspark.sql import types as T
 
 from dissensus import registry, schemas
 from dissensus.operators import cleaning, joins, metrics
+from dissensus.sources import keyed_json
 
 
-def read_keyed_json(spark: SparkSession, path: str, schema: str = schemas.RAW_ITEM) -> DataFrame:
-    """A file that is one JSON object from item id to item, as one row per item.
+def read_keyed_json(spark: SparkSession, path: str | list[str], schema: str = schemas.RAW_ITEM) -> DataFrame:
+    """Files that are one JSON object from item id to item, as one row per item.
 
-    The format keeps a whole file in one object, so one task parses a file; use it
-    to convert to Parquet once (``convert_keyed_json``).
+    A large file is read by several tasks (``keyed_json``).
     """
-    texts = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", f"map<string,struct<{as_fields(schema)}>>")
-    rows = texts.select(F.explode(parsed).alias("key", "item"))
-    return rows.select(F.col("key").cast("bigint").alias("dataset_idx"), "item.*")
+    rows = keyed_json.entries(spark, path, f"struct<{as_fields(schema)}>")
+    return rows.select(F.col("key").cast("bigint").alias("dataset_idx"), "value.*")
 
 
 def as_fields(schema: str) -> str:
@@ -125,12 +123,10 @@ def load_items(
     return df.select(*[c for c in ITEM_COLUMNS if c in df.columns])
 
 
-def read_annotators(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def read_annotators(spark: SparkSession, path: str | list[str], dataset: str) -> DataFrame:
     """A JSON object from annotator id to attributes, as one row per annotator."""
-    texts = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "map<string,map<string,string>>")
-    rows = texts.select(F.explode(parsed).alias("annotator_id", "attrs"))
-    return rows.select(F.lit(dataset).alias("dataset"), "annotator_id", "attrs")
+    rows = keyed_json.entries(spark, path, "map<string,string>")
+    return rows.select(F.lit(dataset).alias("dataset"), F.col("key").alias("annotator_id"), F.col("value").alias("attrs"))
 
 
 def math_items(df: DataFrame, dataset: str = "aime", split: str = "train") -> DataFrame:
