@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from dissensus.operators import ordering
+from dissensus.session import written
+
 RANGE = ["path", "block"]
 
 def in_range(end: int) -> WindowSpec:
@@ -111,3 +114,22 @@ def entry_texts(pieces: DataFrame) -> DataFrame:
     return whole.select(text.alias("text"), closing.alias("closing")).where(F.startswith("text", F.lit('"'))).select(
         F.concat(F.lit("{"), "text", "closing").alias("text")
     )
+
+
+def write(df: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """``key, value`` as files of one JSON object each, of at most ``per_file`` entries.
+
+    Entries are in the order of their keys, a line each; no file is held in memory.
+    Null keys have no place in an object and are left out. No rows make no files.
+    """
+    placed = ordering.running_total(df.where(F.col("key").isNotNull()), [], [F.col("key")], name="pos")
+    name = F.to_json(F.array(F.col("key").cast("string")))
+    line = F.concat(
+        F.when(F.col("pos") % per_file == 0, "{").otherwise(","), F.substring(name, F.lit(2), F.length(name) - 2),
+        F.lit(":"), F.coalesce(F.to_json("value"), F.lit("null")),
+    )
+    file = F.floor(F.col("pos") / per_file).alias("file")
+    lines = written(placed.select(file, "pos", line.alias("line")), "keyed-lines")
+    ends = lines.groupBy("file").agg((F.max("pos") + 1).alias("pos"), F.lit("}").alias("line"))
+    every = lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "pos")
+    every.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)

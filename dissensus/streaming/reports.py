@@ -25,14 +25,18 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return reader.parquet(path)
 
 
-def answer_stream(spark: SparkSession, folder: str, schema, name: str = "*.json*") -> DataFrame:
+def answer_stream(
+    spark: SparkSession, folder: str, schema, name: str = "*.json*", max_files: int | None = None
+) -> DataFrame:
     """Answers that are appended below a folder as JSON lines."""
-    return (
+    reader = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", name)
         .option("recursiveFileLookup", True)
-        .json(folder)
     )
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(folder)
 
 
 def progress(stream: DataFrame, keys: list[str], valid: str = "is_valid_pred", loss: str = "ws_loss") -> DataFrame:
@@ -85,16 +89,20 @@ def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return logs.throughput(spark.readStream.text(folder))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, folder: str | None = None
+) -> DataFrame:
     """Process all that has arrived and return the result table.
 
-    The sink is a Parquet folder below the shared scratch folder. In ``update``
+    With a ``folder`` of an earlier run the stream goes on from that run's state, and
+    only what arrived since is read; the table is that of all runs. Without one it
+    starts anew. The sink is a Parquet folder below the shared scratch folder. In ``update``
     mode every batch writes the rows it changed, and the table keeps the latest row
     of each key. In ``complete`` mode every batch writes the whole result, and the
     table is that of the last one; groups that are still open are in it.
     """
     spark = stream.sparkSession
-    folder = scratch_folder(spark, name)
+    folder = folder or scratch_folder(spark, name)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", f"{folder}/state"
     )

@@ -66,3 +66,15 @@ def test_annotators(spark, tmp_path):
 def test_no_rows_of_a_missing_object(spark, tmp_path):
     (tmp_path / "a.json").write_text("not json")
     assert keyed_json.entries(spark, str(tmp_path), "struct<x:string>").count() == 0
+
+
+def test_written_files_read_back(spark, tmp_path):
+    rows = [(i, "}{\"\\" * (i % 4) if i % 6 else None) for i in range(25)] + [(None, "no place")]
+    df = spark.createDataFrame(rows, "key int, v string").selectExpr("key", "named_struct('v', v) AS value")
+    path = str(tmp_path / "out")
+    keyed_json.write(df, path, per_file=10)
+    objects = [json.loads(p.read_text()) for p in sorted((tmp_path / "out").glob("file=*/part-*")) if p.stat().st_size]
+    assert [len(o) for o in objects] == [10, 10, 5]
+    back = keyed_json.entries(spark, f"{path}/file=*", "struct<v:string>").collect()
+    assert {int(r["key"]): r["value"]["v"] for r in back} == {k: v for k, v in rows if k is not None}
+    keyed_json.write(df.where("key < 0"), str(tmp_path / "none"))

@@ -13,7 +13,7 @@ from dissensus.plans import reports, submit
 from dissensus.session import scratch_folder, written
 from dissensus.sources import answers as answer_source
 from dissensus.sources import items as item_source
-from dissensus.sources import rated_steps, submissions
+from dissensus.sources import keyed_json, rated_steps, submissions
 from workloads import columns, joining, reductions  # noqa: F401  (their views are used)
 from workloads.base import query, r6, rounded, view
 
@@ -67,22 +67,18 @@ def _(t):
 
 @query(
     "keyed_json_items", "S1",
-    "SELECT o_orderkey AS dataset_idx, o_orderpriority AS post, o_orderstatus AS label, 1::INTEGER AS n FROM orders",
+    """SELECT o_orderkey AS dataset_idx, '{"' || o_orderpriority || '\\}, {' AS post, o_orderstatus AS label, 1::INTEGER AS n FROM orders""",
 )
 def _(t):
-    # Files of 1000 items, each one JSON object from item id to item.
+    # Texts with braces, quotes and backslashes, over which the files are cut.
     path = scratch_folder(t.spark, "keyed")
+    post = F.concat(F.lit('{"'), "o_orderpriority", F.lit("\\}, {"))
     item = F.struct(
-        F.create_map(F.lit("post"), "o_orderpriority").alias("text"),
+        F.create_map(F.lit("post"), post).alias("text"),
         F.create_map(F.lit("Ann1"), "o_orderstatus").alias("annotations"),
         F.lit(1).alias("number of annotators"),
     )
-    entry = F.struct(F.col("o_orderkey").cast("string").alias("key"), item.alias("value"))
-    placed = ordering.running_total(t.orders, [], [F.col("o_orderkey")], name="pos")
-    files = placed.groupBy(F.floor(F.col("pos") / 1000).alias("file")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
-    )
-    files.repartition("file").write.partitionBy("file").text(path)
+    keyed_json.write(t.orders.select(F.col("o_orderkey").alias("key"), item.alias("value")), path)
     df = item_source.read_keyed_json(t.spark, f"{path}/file=*")
     return df.select(
         "dataset_idx", F.col("text")["post"].alias("post"), F.col("annotations")["Ann1"].alias("label"),
@@ -90,6 +86,41 @@ def _(t):
     )
 
 
+@query(
+    "converted_items", "S1 S2 J3 P9 P10 P12",
+    """WITH o AS (SELECT o_orderkey, o_custkey % 50 + 1 AS who, (o_orderkey % 5) / 4.0::DOUBLE AS p FROM orders)
+       SELECT o_orderkey AS dataset_idx, 'train' AS split, p > 0 AND p < 1 AS tgt_has_holes,
+              round(CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END, 6) AS target_entropy,
+              11::INTEGER AS n_classes, 'Ann' || who AS annotator, coalesce(nation, '-') AS nation
+       FROM o LEFT JOIN annotators a ON a.suppkey = o.who""",
+)
+def _(t):
+    """Keyed items and annotators from files, converted once, with targets and metadata."""
+    path = scratch_folder(t.spark, "items")
+    p = (F.col("o_orderkey") % 5) / 4
+    who = F.concat(F.lit("Ann"), (F.col("o_custkey") % 50 + 1).cast("string"))
+    item = F.struct(
+        F.create_map(F.lit("post"), "o_orderpriority").alias("text"),
+        F.create_map(F.lit("-5"), p, F.lit("5"), 1 - p).alias("soft_label"),
+        F.create_map(who, F.lit("1")).alias("annotations"),
+        F.lit(1).alias("number of annotators"),
+        F.lit(1).alias("number of annotations"),
+    )
+    keyed_json.write(t.orders.select(F.col("o_orderkey").alias("key"), item.alias("value")), f"{path}/raw")
+    people = t.annotators.select(F.col("annotator_id").alias("key"), F.col("attrs").alias("value"))
+    keyed_json.write(people, f"{path}/people")
+    item_source.convert_keyed_json(t.spark, f"{path}/raw/file=*", f"{path}/table", "Paraphrase", "train")
+    annotators = item_source.read_annotators(t.spark, f"{path}/people/file=*", "Paraphrase")
+    items = item_source.read_items(t.spark, f"{path}/table", ["Paraphrase"], ["train"])
+    df = item_source.load_items(items, annotators)
+    nation = F.try_element_at(F.col("annotator_metadata")[0], F.lit("nation"))
+    return df.select(
+        F.col("dataset_idx").cast("bigint").alias("dataset_idx"), "split", "tgt_has_holes",
+        r6("target_entropy").alias("target_entropy"), "n_classes",
+        F.col("annotator_ids")[0].alias("annotator"), F.coalesce(nation, F.lit("-")).alias("nation"),
+    )
+
+
 @query(
     "answers_with_file", "S13",
     "SELECT event_type, count(*) AS n, true AS in_events_file FROM events GROUP BY ALL",
