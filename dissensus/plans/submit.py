@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissensus import registry
@@ -66,10 +66,27 @@ def in_order(preds: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def write_all(tables: dict[tuple[str, str], DataFrame], folder: str) -> list[str]:
-    """Write each (dataset, task) table to its file; returns the paths."""
-    paths = []
-    for (dataset, task), df in tables.items():
-        path = f"{folder}/{submissions.file_name(dataset, task)}"
-        submissions.write(df.where(F.col("dataset") == dataset), path)
-        paths.append(path)
-    return paths
+    """Write each (dataset, task) table to its file; returns the paths.
+
+    The checks run while the rows are written. All files go to a draft folder first and
+    are moved when the last one is whole; a marker is written after that, and
+    ``read_one`` asks for it. If a check fails, nothing stays behind. A folder that is
+    committed already is an error.
+    """
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    if submissions.is_committed(spark, folder):
+        raise FileExistsError(f"{folder} holds a submission")
+    names = {key: submissions.file_name(*key) for key in tables}
+    with submissions.drafts(spark, folder, list(names.values())) as draft:
+        for (dataset, task), df in tables.items():
+            submissions.write(df.where(F.col("dataset") == dataset), f"{draft}/{names[dataset, task]}")
+    return [f"{folder}/{name}" for name in names.values()]
+
+
+def read_one(spark: SparkSession, folder: str, dataset: str, task: str, kind: str) -> DataFrame:
+    """A result file of a committed folder."""
+    if not submissions.is_committed(spark, folder):
+        raise submissions.InvalidSubmission(f"{folder} is not committed")
+    return submissions.read(spark, f"{folder}/{submissions.file_name(dataset, task)}", kind)

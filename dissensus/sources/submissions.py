@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +100,42 @@ def write(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+COMMITTED = "_COMMITTED"
+
+
+def file_system(spark: SparkSession, folder: str):
+    """Hadoop's path class, and the file system of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_committed(spark: SparkSession, folder: str) -> bool:
+    path, fs = file_system(spark, folder)
+    return fs.exists(path(f"{folder}/{COMMITTED}"))
+
+
+@contextlib.contextmanager
+def drafts(spark: SparkSession, folder: str, names: list[str]) -> Iterator[str]:
+    """A draft folder whose named files are moved up to the folder at the end.
+
+    The marker comes last. A file that a run without marker left under a name is
+    replaced; an error leaves no draft.
+    """
+    path, fs = file_system(spark, folder)
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+    try:
+        yield draft
+        for name in names:
+            target = path(f"{folder}/{name}")
+            if fs.exists(target):
+                fs.delete(target, True)
+            if not fs.rename(path(f"{draft}/{name}"), target):
+                raise InvalidSubmission(f"{name} could not be moved")
+        fs.create(path(f"{folder}/{COMMITTED}")).close()
+    finally:
+        fs.delete(path(draft), True)
+
+
 def read(spark: SparkSession, path: str, kind: str = "array<double>") -> DataFrame:
     """A result file, with the prediction parsed as the given type."""
     lines = spark.read.schema(schemas.SUBMISSION).options(sep="\t", quote="").csv(path)

@@ -294,6 +294,49 @@ def _(t):
     )
 
 
+@query(
+    "all_result_files", "S25 S26 S27 S10 S11 F23",
+    """WITH i AS (SELECT DISTINCT dataset, dataset_idx FROM answers WHERE split = 'train' AND dataset IN ('CSC', 'MP', 'Paraphrase')),
+     v AS (SELECT *, row_number() OVER (PARTITION BY dataset, dataset_idx, run_idx ORDER BY rid) AS rn
+           FROM parsed WHERE split = 'train' AND abs(list_sum(ps) - 1) < 0.01),
+     x AS (SELECT dataset, dataset_idx, k.k AS pos, sum(coalesce(ps[list_position(ks, k.k)], 0)) AS s FROM v, range(11) k(k) WHERE rn = 1 AND k.k < n_classes GROUP BY ALL),
+     y AS (SELECT *, s / sum(s) OVER (PARTITION BY dataset, dataset_idx) AS p FROM x),
+     f AS (SELECT *, row_number() OVER (PARTITION BY dataset, dataset_idx, run_idx ORDER BY rid) AS rn FROM label_lists WHERE split = 'train'),
+     g AS (SELECT *, row_number() OVER (PARTITION BY dataset, dataset_idx ORDER BY run_idx) AS first FROM f WHERE rn = 1 AND len(preds) = 3),
+     h AS (SELECT dataset, dataset_idx, k.k AS pos, preds[k.k + 1] AS label FROM g, range(3) k(k) WHERE first = 1)
+     SELECT i.dataset, 'soft-label' AS task, i.dataset_idx, pos::INTEGER AS pos, round(p, 6) AS value FROM i LEFT JOIN y USING (dataset, dataset_idx)
+     UNION ALL SELECT i.dataset, 'perspectivist', i.dataset_idx, pos::INTEGER, label::DOUBLE FROM i LEFT JOIN h USING (dataset, dataset_idx)""",
+)
+def _(t):
+    """The files of all datasets and tasks, checked, written, committed and read back."""
+    of_split = F.col("split") == "train"
+    items = t.answers.where(of_split & F.col("dataset").isin("CSC", "MP", "Paraphrase")).select(*ITEM).distinct()
+    soft = submit.soft_label_table(t.responses.where(of_split), items, [F.col("rid")])
+    three = F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("annotator_ids")
+    raw = label_list_answers(t).where(of_split)
+    lists = submit.perspectivist_table(raw, items.select(*ITEM, three), [F.col("rid")])
+    tables = {"soft-label": written(soft, "soft"), "perspectivist": written(lists, "lists")}
+    kinds = {"soft-label": "array<double>", "perspectivist": "array<int>"}
+    folder = scratch_folder(t.spark, "results")
+    wanted = list(itertools.product(("CSC", "MP", "Paraphrase"), kinds))
+    submit.write_all({(dataset, task): tables[task] for dataset, task in wanted}, folder)
+    back = [
+        submit.read_one(t.spark, folder, dataset, task, kinds[task]).select(
+            F.lit(dataset).alias("dataset"), F.lit(task).alias("task"), "dataset_idx", F.posexplode_outer("pred").alias("pos", "value")
+        ).withColumn("value", r6(F.col("value").cast("double")))
+        for dataset, task in wanted
+    ]
+    return functools.reduce(DataFrame.unionByName, back)
+
+
+def label_list_answers(t):
+    """Label lists as answers of one model."""
+    return t.label_lists.select(
+        *ITEM, "run_idx", "rid", F.to_json("pred").alias("response"), F.lit(True).alias("success"),
+        F.lit("Qwen/Qwen3-32B").alias("model_id"), F.lit(33).alias("template_id"), F.lit("set2").alias("gen_kwargs"),
+    )
+
+
 @query(
     "soft_label_submission", "S20 S25 A7 F23 J6 P43",
     """WITH v AS (SELECT *, row_number() OVER (PARTITION BY dataset, split, dataset_idx, run_idx ORDER BY rid) AS rn
@@ -342,10 +385,7 @@ def _(t):
      LEFT JOIN x ON i.dataset = x.dataset AND i.split = x.split AND i.dataset_idx = x.dataset_idx AND x.first = 1""",
 )
 def _(t):
-    raw = t.label_lists.select(
-        *ITEM, "run_idx", "rid", F.to_json("pred").alias("response"), F.lit(True).alias("success"),
-        F.lit("Qwen/Qwen3-32B").alias("model_id"), F.lit(33).alias("template_id"), F.lit("set2").alias("gen_kwargs"),
-    )
+    raw = label_list_answers(t)
     three = F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("annotator_ids")
     items = t.answers.select(*ITEM).distinct().select(*ITEM, three)
     return submit.perspectivist_table(raw, items, [F.col("rid")]).select(*ITEM, "pred")
