@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from dissensus.llm import words as W
 from dissensus.llm.urlfilter import parts
 from dissensus.session import configure, written
 
 BUCKETS = 1 << 15  # hashed runs of three bytes
-MAX_LANGUAGES = 200  # of a model: one column each
+MAX_COLUMNS = 200  # languages with one column each; more of them are numbers in one array
+MAX_LANGUAGES = 8192  # of a model, which is sent to all tasks: 128 kB each
+NUMBERS = 1 << 24  # of an array over rows and languages at a time
 SMOOTHING = 0.5
 # Rows that a level of the hierarchy counts for in the level below.
 PRIOR_ROWS = 5.0
@@ -42,12 +45,14 @@ class Model:
         n = len(offsets) - 1
         out = np.zeros((n, len(self.languages)))
         at = grams(data, offsets)
-        some = np.flatnonzero(np.diff(offsets) > 0)
-        if len(some):
-            sums = np.add.reduceat(self.table[at], offsets[some], axis=0)
-            count = np.maximum(1, np.diff(offsets)[some] - 2)
-            out[some] = sums / np.sqrt(count)[:, None]
-        return out
+        step = max(1, NUMBERS // max(1, len(self.languages)))
+        for lo in range(0, len(at), step):
+            # Texts with bytes in this part; the first may have begun before it.
+            hi = min(lo + step, len(at))
+            some = np.flatnonzero((np.diff(offsets) > 0) & (offsets[1:] > lo) & (offsets[:-1] < hi))
+            out[some] += np.add.reduceat(self.table[at[lo:hi]], np.maximum(offsets[some] - lo, 0), axis=0)
+        count = np.maximum(1, np.diff(offsets) - 2)
+        return out / np.sqrt(count)[:, None]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,7 +106,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     place = {name: i for i, name in enumerate(languages)}
     for row in counted.toLocalIterator():
         table[row["bucket"], place[row["lang"]]] += row["n"]
-    table = np.log(table / table.sum(axis=0))
+    table /= table.sum(axis=0)
+    np.log(table, out=table)
     return Model(languages, np.concatenate([table, np.zeros((1, len(languages)))]).astype(np.float32))
 
 
@@ -147,13 +153,16 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     given the text alone (null for texts of less than three bytes). Evidence that is
     null says nothing: a row without any has the language most rows have. Ties go to the
     first language in order. Repeated rows and null keys are kept. A model without
-    languages gives null and 0.
+    languages gives null and 0. With more than MAX_COLUMNS languages the same is worked
+    out on arrays (``identify_many``).
     """
     configure(rows.sparkSession)
     if not model.languages:
         empty = F.lit(None).cast("string")
         return rows.select("key", empty.alias("lang"), F.lit(0.0).alias("score"), empty.alias("text_lang"), "declared", "host")
     n = len(model.languages)
+    if n > MAX_COLUMNS:
+        return identify_many(rows, model)
     logs, ps = [f"l{i}" for i in range(n)], [f"p{i}" for i in range(n)]
     kept = ["key", "declared", "suffix", "host", "domain"]
     schema = rows.select(*kept).schema.add("known", "boolean")
@@ -214,3 +223,118 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     return final.select(
         "key", lang.alias("lang"), score.alias("score"), F.when(F.col("known"), alone).alias("text_lang"), "declared", "host"
     )
+
+
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """The lists of a column as rows; null ones are not numbers."""
+    out = np.full((len(column), width), np.nan)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def shares(logs: np.ndarray) -> np.ndarray:
+    """Probabilities from logarithms, by row."""
+    found = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return found / found.sum(axis=1, keepdims=True)
+
+
+def identify_many(rows: DataFrame, model: Model) -> DataFrame:
+    """``identify`` for any number of languages: an array per row instead of columns.
+
+    The sums of a declared language, suffix, host or domain are one row per language
+    until they are whole. Tasks add up what a batch says of a value before that, so a
+    value that many rows have costs a few rows a batch.
+    """
+    n, languages = len(model.languages), np.array(model.languages, dtype=object)
+    levels = ["declared", "suffix", "host", "domain"]
+    kept = ["key", *levels]
+    few = max(1, NUMBERS // n)  # rows at a time
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * n, pa.int32()), pa.array(values.ravel()))
+
+    def read(batches):
+        for batch in batches:
+            data, offsets = W.utf8(batch.column("text"))
+            for start, end in W.chunks(offsets):
+                for lo in range(start, end, few):
+                    hi = min(lo + few, end)
+                    mine = offsets[lo : hi + 1] - offsets[lo]
+                    found = shared.value.evidence(data[offsets[lo] : offsets[hi]], mine)
+                    columns = [batch.column(c).slice(lo, hi - lo) for c in kept]
+                    known = pa.array(np.diff(mine) > 2)
+                    yield pa.RecordBatch.from_arrays([*columns, known, lists(found)], names=[*kept, "known", "logs"])
+
+    def slices(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, few):
+                yield batch.slice(lo, few)
+
+    def said_by_text(batch) -> np.ndarray:
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        return shares(matrix(batch.column("logs"), n)) * known[:, None]
+
+    def add_up(batches):
+        for batch in slices(batches):
+            said = said_by_text(batch)
+            for level in ["all", *levels]:
+                values = pa.array([""] * len(said)) if level == "all" else batch.column(level)
+                codes = values.dictionary_encode()
+                which = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(which, kind="stable")
+                order = order[which[order] >= 0]
+                if not len(order):
+                    continue
+                begins = np.flatnonzero(np.diff(which[order], prepend=-1))
+                sums = np.add.reduceat(said[order], begins, axis=0)
+                names = codes.dictionary.take(pa.array(which[order][begins]))
+                yield pa.RecordBatch.from_arrays([pa.array([level] * len(names)), names, lists(sums)], names=["level", "at", "sums"])
+
+    schema = rows.select(*kept).schema.add("known", "boolean").add("logs", ArrayType(DoubleType()))
+    said = written(rows.select(*kept, "text").mapInArrow(read, schema), "text-evidence")
+    sums = said.mapInArrow(add_up, "level string, at string, sums array<double>")
+    sums = sums.select("level", "at", F.posexplode("sums").alias("i", "p")).groupBy("level", "at", "i").agg(F.sum("p").alias("p"))
+    # A list has one entry per language.
+    sums = sums.groupBy("level", "at").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("sums"))
+    sums = written(sums.select("level", "at", F.col("sums.p").alias("sums")), "evidence-sums")
+    row = sums.filter("level = 'all'").select("sums").first()
+    every = np.array(row["sums"] if row else [0.0] * n)
+    joined = said
+    for level in levels:
+        mine = sums.filter(F.col("level") == level).select("at", F.col("sums").alias(f"{level}_sums"))
+        # Rows without a value match nothing; numbers spread them over the tasks.
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("key", "logs"), F.lit(1 << 16)).cast("string"))
+        joined = joined.withColumn("at", F.coalesce(level, spread)).join(mine, "at", "left").drop("at")
+
+    def judge(batches):
+        for batch in slices(batches):
+            logs = matrix(batch.column("logs"), n)
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            said = said_by_text(batch)
+
+            def others(found):
+                """Sums without the row itself, which may end just below zero."""
+                return np.maximum(found - said, 0.0), np.maximum(found.sum(axis=1) - known, 0.0)[:, None]
+
+            mine, total = others(np.broadcast_to(every, said.shape))
+            overall = (mine + 1.0) / (total + n)
+            prior = overall
+            for level in ("domain", "host"):
+                mine, total = others(matrix(batch.column(f"{level}_sums"), n))
+                narrow = (mine + PRIOR_ROWS * prior) / (total + PRIOR_ROWS)
+                prior = np.where(np.isnan(narrow), prior, narrow)
+            at = logs + np.log(prior)
+            for kind in ("declared", "suffix"):
+                mine, total = others(matrix(batch.column(f"{kind}_sums"), n))
+                likely = np.log((mine + KINDS_ROWS * overall) / (total + KINDS_ROWS) / overall)
+                at += np.where(np.isnan(likely), 0.0, likely)
+            final = shares(at)
+            alone = np.where(known, languages[logs.argmax(axis=1)], None)
+            columns = [batch.column("key"), pa.array(languages[final.argmax(axis=1)], pa.string()), pa.array(final.max(axis=1))]
+            columns += [pa.array(alone, pa.string()), batch.column("declared"), batch.column("host")]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "score", "text_lang", "declared", "host"])
+
+    out = rows.select("key").schema.add("lang", "string").add("score", "double").add("text_lang", "string")
+    return joined.mapInArrow(judge, out.add("declared", "string").add("host", "string"))
