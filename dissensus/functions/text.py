@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dissensus.functions import vectors
+
 # Patterns that answers and logs are read with.
 FENCE = r"(?s)```json(.*?)```"
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
@@ -97,7 +99,8 @@ def int_list(text: Column) -> Column:
     """A text as list of integers, decimals cut; null for any other shape."""
     numbers = parse(text, "array<double>")
     whole = F.transform(numbers, lambda x: x.try_cast("int"))
-    return F.when(F.forall(whole, lambda x: x.isNotNull()), whole)
+    # Bound, as each mention of the parse repeats it.
+    return vectors.bind(whole, lambda w: F.when(F.forall(w, lambda x: x.isNotNull()), w))
 
 
 def int_list_by_category(text: Column) -> Column:

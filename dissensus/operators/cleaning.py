@@ -102,15 +102,16 @@ def prediction_entries(df: DataFrame, task: str = SOFT) -> Column:
     """
     dataset, response = F.col("dataset"), F.col("response")
     if task == SOFT:
-        whole = scheme_vector(text.soft_label(response), dataset)
+        whole = vectors.bind(text.soft_label(response), lambda v: scheme_vector(v, dataset))
         by_category = text.soft_label_by_category(response)
         part = lambda v: scheme_vector(v, dataset)
     else:
         whole = text.int_list(response)
         by_category = text.int_list_by_category(response)
         part = lambda v: v
-    single = F.when(
-        whole.isNotNull(), F.array(F.struct(F.lit("").alias("category"), whole.alias("pred")))
+    # Bound, as each mention of a parse repeats it.
+    single = vectors.bind(
+        whole, lambda v: F.when(v.isNotNull(), F.array(F.struct(F.lit("").alias("category"), v.alias("pred"))))
     )
     split = F.transform(
         F.map_entries(by_category),

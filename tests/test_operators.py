@@ -63,6 +63,13 @@ def test_clean_soft_labels(spark):
     }
 
 
+@pytest.mark.parametrize(("task", "parses"), [(cleaning.SOFT, 12), (cleaning.PERSPECTIVIST, 10)])
+def test_an_answer_is_parsed_once(spark, task, parses):
+    # Each of the tries of the two forms, whole and by category, once.
+    plan = cleaning.clean(raw(spark, [("CSC", 1, 0, "{}", True)]), task)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("JsonToStructs(") <= parses
+
+
 def test_share_of_invalid_answers_comes_from_the_same_pass(spark):
     df = raw(spark, [("MP", i, 0, '{"0": 0.5, "1": %s}' % (0.5 if i else 0.9), True) for i in range(4)])
     seen = Observation("validity")
