@@ -47,6 +47,17 @@ def poisson_thresholds(terms: int = 14) -> list[float]:
     return [math.fsum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(terms)]
 
 
+def poisson_of_word(word_text: Column) -> Column:
+    """``poisson`` of eight hex digits of an md5 text. Such texts have the order of their
+    numbers, so they are compared as they stand, mostly with the first two bounds."""
+    bounds = [math.ceil(limit * 2**32) for limit in poisson_thresholds()]
+    count = F.when(word_text < format(bounds[0], "08x"), 0)
+    for k, bound in enumerate(bounds[1:], start=1):
+        if bound < 2**32:
+            count = count.when(word_text < format(bound, "08x"), k)
+    return count.otherwise(sum(b < 2**32 for b in bounds))
+
+
 def poisson(u: Column) -> Column:
     """Poisson(1) count of a uniform number, by inversion."""
     return reduce(

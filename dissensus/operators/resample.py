@@ -14,6 +14,8 @@ from dissensus.operators import nulls, ordering
 
 CONFIDENCE = 0.95
 N_RESAMPLES = 9999
+# Tasks that the rows of a bootstrap are dealt to, per core.
+TASKS_PER_CORE = 8
 
 
 def replicate_sums(
@@ -28,14 +30,16 @@ def replicate_sums(
     rows = df.select(
         *keys, F.col(value).cast("double").alias("__x"), rng.key_text(F.lit(seed), *row_key).alias("__key")
     )
+    # The work is a multiple of the rows: it is dealt to more tasks than a scan has.
+    rows = rows.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, "__key", "__x")
     words = rows.select(
         *keys, "__x", "__key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
     ).withColumn("__md5", rng.order_key(F.col("__key"), F.col("__block")))
     draws = words.select(
-        *keys, "__block", "__x", *[rng.word(F.col("__md5"), F.lit(i)).alias(f"__u{i}") for i in range(4)]
+        *keys, "__block", "__x", *[F.substring("__md5", i * 8 + 1, 8).alias(f"__u{i}") for i in range(4)]
     )
     weights = draws.select(
-        *keys, "__block", "__x", *[rng.poisson(F.col(f"__u{i}")).alias(f"__w{i}") for i in range(4)]
+        *keys, "__block", "__x", *[rng.poisson_of_word(F.col(f"__u{i}")).alias(f"__w{i}") for i in range(4)]
     )
     sums = weights.groupBy(*keys, "__block").agg(
         *[F.sum(f"__w{i}").alias(f"__w{i}") for i in range(4)],

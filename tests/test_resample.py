@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dissensus.functions import rng
 from dissensus.operators import resample
 from dissensus.schemas import ITEM
 
@@ -51,6 +52,16 @@ def test_result_does_not_depend_on_partitions(values):
     assert one["low"] == pytest.approx(many["low"]) and one["high"] == pytest.approx(many["high"])
 
 
+def test_weights_come_from_the_digits_in_many_tasks(spark):
+    ends = [int(t * 2**32) + d for t in rng.poisson_thresholds() for d in (-1, 0, 1)] + [0, 2**32 - 1]
+    words = spark.createDataFrame([(f"{b:08x}" + "0" * 24,) for b in ends if 0 <= b < 2**32], "digest string")
+    got = words.select(rng.poisson(rng.word(F.col("digest"), F.lit(0))).alias("a"), rng.poisson_of_word(F.substring("digest", 1, 8)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and {r["b"] for r in got} >= {0, 1, 2, 3, 10}
+    df = spark.range(100).select("id", F.lit(1.0).alias("x")).coalesce(1)
+    plan = resample.replicate_sums(df, [], "x", [F.col("id")], 8, "0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "RepartitionByExpression [__key" in plan
+
+
 def test_groups_of_any_size_have_an_interval(values):
     _, df = values
     for rows in (df, df.limit(20)):
