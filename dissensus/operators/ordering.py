@@ -63,6 +63,15 @@ def large_groups(
     return None if largest <= size else (sizes.where(F.col("__rows") > size), size)
 
 
+def rows_if_small(bound: DataFrame | None, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT) -> int | None:
+    """The number of rows, if no group is large, so that one task can hold any of them;
+    else None. ``bound`` is explained at ``large_groups``; without it nothing is counted."""
+    if bound is None:
+        return None
+    _, n, largest = group_stats(bound, [k for k in keys if k in bound.columns])
+    return n if largest <= max(limit.rows, limit.share * n) else None
+
+
 def range_bounds(df: DataFrame, keys: list[str], order: Column, large: DataFrame, size: int) -> DataFrame:
     """Bounds of the ranges of each large group, as sorted lists of order keys.
 

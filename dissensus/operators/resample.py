@@ -7,6 +7,7 @@ depend on partitioning and repeat on every engine.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dissensus.functions import normal, rng
@@ -253,13 +254,27 @@ def expected_best_of_n(
 
 
 def best_with_random_ties(
-    df: DataFrame, keys: list[str], item: list[str], run: list[Column], value: str, k: int, score: str = "score", seed: str = "0"
+    df: DataFrame,
+    keys: list[str],
+    item: list[str],
+    run: list[Column],
+    value: str,
+    k: int,
+    score: str = "score",
+    seed: str = "0",
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Value of the best-scored run per item, ties broken at random, ``k`` times.
 
-    Only the runs that share an item's best score go into the draws.
+    Only the runs that share an item's best score go into the draws. Where ``bound``
+    shows that no item is large, a run is shuffled once (see ``best_in_place``).
     """
     group = list(dict.fromkeys([*keys, *item]))
+    n = ordering.rows_if_small(bound, group) if k <= PLACE_DRAWS else None
+    if n is not None:
+        return best_in_place(df, keys, item, run, value, k, {score: F.lit(True)}, seed, n).select(
+            *keys, F.inline(F.col(score))
+        ).groupBy(*keys, "draw").agg(F.avg("value").alias(value))
     rows = df.select(*group, value, score, F.struct(*run).alias("__run"))
     best = rows.groupBy(*group).agg(F.max(score).alias("__best"))
     tied = nulls.join(rows, best, group).where(F.col(score).eqNullSafe(F.col("__best"))).drop("__best")
@@ -273,6 +288,61 @@ def best_with_random_ties(
     )
 
 
+# Rows that a task sorts in its memory.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(df: DataFrame, n: int) -> int:
+    """Tasks for n rows, as many as there are cores at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+
+
+# Draws that are columns of an aggregate; more of them are rows.
+PLACE_DRAWS = 50
+
+
+def best_in_place(
+    df: DataFrame, keys: list[str], item: list[str], run: list[Column], value: str, k: int, scores: dict[str, Column], seed: str, n: int
+) -> DataFrame:
+    """A row per item with an array of (draw, value) for each score, null without a run.
+
+    ``scores`` maps a score to the condition of the runs it counts. A run is shuffled
+    once, whatever the number of scores and draws; its hashes are made where it shares
+    a best score with another one. An item's runs meet in one task; ``n`` is the number
+    of rows, or more.
+    """
+    group = list(dict.fromkeys([*keys, *item]))
+    names = list(scores)
+    rows = df.select(
+        *group, F.col(value).alias("__value"), F.struct(*run).alias("__run"),
+        *[F.struct(F.col(n).alias("s")).alias(f"__s{i}") for i, n in enumerate(names)],
+        *[scores[n].alias(f"__in{i}") for i, n in enumerate(names)],
+    ).repartition(tasks_for(df, n), *group)
+    whole = W.partitionBy(*group)
+    some = range(len(names))
+    rows = rows.withColumns({f"__best{i}": F.max(F.when(F.col(f"__in{i}"), F.col(f"__s{i}"))).over(whole) for i in some})
+    rows = rows.withColumns({f"__tied{i}": F.coalesce(F.col(f"__in{i}"), F.lit(False)) & F.col(f"__s{i}").eqNullSafe(F.col(f"__best{i}")) for i in some})
+    rows = rows.withColumns({f"__n{i}": F.count_if(f"__tied{i}").over(whole) for i in some})
+    shared = F.lit(False)
+    for i in some:
+        shared = shared | (F.col(f"__tied{i}") & (F.col(f"__n{i}") > 1))
+    text = F.to_json("__run")
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda d: rng.order_key(F.lit(seed), d, *[F.col(c) for c in item], text),
+    )
+    rows = rows.withColumn("__ties", F.when(shared, hashes))
+
+    def first(i: int, d: int) -> Column:
+        tie = F.when(F.col(f"__n{i}") > 1, F.get("__ties", F.lit(d))).otherwise("")
+        return F.struct(F.lit(d).alias("draw"), F.min_by("__value", F.when(F.col(f"__tied{i}"), tie)).alias("value"))
+
+    found = [
+        F.when(F.max(f"__n{i}") > 0, F.array(*[first(i, d) for d in range(k)])).alias(n) for i, n in enumerate(names)
+    ]
+    return rows.groupBy(*group).agg(*found)
+
+
 def upsample(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Repeat the rows of smaller groups in turn until all are as large as the largest.
 

@@ -113,6 +113,20 @@ def test_random_ties(spark):
     assert set(out["v"]) == {0.0, 1.0} and 0.3 < out["v"].mean() < 0.7
 
 
+def test_random_ties_in_place_are_those_of_rows(spark):
+    nan, none = float("nan"), None
+    scores = [1.0, 1.0, 0.0, none, nan, nan, none, none, -0.0, 0.0]
+    rows = [(i // 2 if i else none, r, scores[(3 * i + r * r) % 10], float(r) if r % 4 else none) for i in range(40) for r in range(6 * (i % 2), 6 * (i % 2) + 6)]
+    df = spark.createDataFrame(rows, "item int, run int, score double, v double")
+    def drawn(bound):
+        return resample.best_with_random_ties(df, [], ["item"], [F.col("run")], "v", 20, bound=bound)
+    same = lambda a, b: {r["draw"]: pytest.approx(r["v"]) for r in a.collect()} == {r["draw"]: r["v"] for r in b.collect()}
+    assert same(drawn(None), drawn(df))
+    # Draws are made behind the exchange of the rows.
+    for plan in (p._jdf.queryExecution().optimizedPlan().toString() for p in (drawn(df),)):
+        assert plan.index("RepartitionByExpression [item") > plan.index("Aggregate [item")
+
+
 def test_growing_subsets_contain_each_other(runs):
     _, df = runs
     out = resample.growing_subsets(df, "dataset_idx", "loss", [5, 10, 1000]).toPandas()

@@ -402,7 +402,7 @@ def _(t):
 def _(t):
     df = t.scored.join(t.answers.select("rid", F.col("t").alias("grade")), "rid")
     return rounded(
-        resample.best_with_random_ties(df, ["dataset"], ITEM, [F.col("rid")], "ws_loss", 10, score="grade")
+        resample.best_with_random_ties(df, ["dataset"], ITEM, [F.col("rid")], "ws_loss", 10, score="grade", bound=t.answers)
     )
 
 
