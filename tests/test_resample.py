@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dissensus.functions import rng
-from dissensus.operators import resample
+from dissensus.operators import evaluation, resample
 from dissensus.schemas import ITEM
 
 
@@ -127,6 +127,16 @@ def test_random_ties_in_place_are_those_of_rows(spark):
         assert plan.index("RepartitionByExpression [item") > plan.index("Aggregate [item")
 
 
+def test_rating_matrix_in_place_is_that_of_rows(spark):
+    words = ["great", "ok", "bad", "odd"]
+    rated = [(i // 3, i, f'[{{"rating": "{words[i % 4]}"}}, {{"rating": "{words[i // 4 % 3]}"}}]', i % 2) for i in range(90)]
+    df = spark.createDataFrame(rated, "item int, rid int, response string, is_correct int")
+    def found(bound):
+        out = evaluation.rating_matrix(df, ["item"], ["rid"], draws=5, n_resamples=40, method="percentile", bound=bound)
+        return sorted((r["mapping"], r["operation"], *(round(r[c], 9) for c in ("low", "mean", "high", "n_samples"))) for r in out.collect())
+    assert found(None) == found(df) and len(found(df)) == 6
+
+
 def test_growing_subsets_contain_each_other(runs):
     _, df = runs
     out = resample.growing_subsets(df, "dataset_idx", "loss", [5, 10, 1000]).toPandas()

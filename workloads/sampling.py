@@ -505,5 +505,5 @@ def _(t):
 def _(t):
     df = t.judgements.select(*ITEM, "rid", "response", (F.col("pred") == F.col("target")).cast("int").alias("is_correct"))
     return rounded(
-        evaluation.rating_matrix(df, ITEM, ["rid"], draws=10, n_resamples=200, method="percentile"), 5
+        evaluation.rating_matrix(df, ITEM, ["rid"], draws=10, n_resamples=200, method="percentile", bound=t.answers), 5
     )
