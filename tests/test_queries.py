@@ -76,3 +76,8 @@ def test_scan_reads_only_what_is_needed(spark, sf_dir):
     plan = entry.queries()["brand_shift"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     schema = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert any(set(re.findall(r"(\w+):", s)) == {"l_partkey", "l_discount", "l_linestatus"} for s in schema)
+
+
+def test_weighted_average_adds_up_vectors_not_classes(spark, sf_dir):
+    plan = entry.queries()["weighted_model_average"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1

@@ -124,7 +124,7 @@ def _(t):
 )
 def _(t):
     df = t.soft.select(*ITEM, "q", "pred")
-    return long_vector(distributions.mean_vectors(df, ITEM, weight=F.sqrt("q")), ITEM)
+    return long_vector(distributions.mean_vectors(df, ITEM, weight=F.sqrt("q"), width=registry.MAX_CLASSES), ITEM)
 
 
 @query(
