@@ -63,9 +63,17 @@ def write_columns(df: DataFrame, path: str) -> None:
     df.select(*[c for c in names if c in df.columns]).write.parquet(path)
 
 
+def subset(df: DataFrame, ids: DataFrame, key: str = "dataset_idx") -> DataFrame:
+    """Answers to the items of an id table.
+
+    A task holds its share of the distinct ids as a hash table, so that the answers, whole
+    rows, are not sorted.
+    """
+    return df.join(ids.select(key).distinct().hint("shuffle_hash"), key, "left_semi")
+
+
 def write_subset(df: DataFrame, ids: DataFrame, path: str, key: str = "dataset_idx") -> None:
-    """Answers to the items of an id table."""
-    df.join(ids.select(key), key, "left_semi").write.parquet(path)
+    subset(df, ids, key).write.parquet(path)
 
 
 # Columns of a batch service's file that an answer does not have.

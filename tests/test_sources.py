@@ -280,3 +280,13 @@ def test_stream_over_many_files_equals_batch(spark, sf_dir, folder):
     twice = streams.file_stream(spark, f"{folder}/twice", flat.schema)
     kept = streams.run_to_table(streams.distinct_answers(twice, ["event_type", "timestamp"], delay="60 days"), "d")
     assert kept.count() == flat.dropDuplicates(["event_type", "timestamp"]).count()
+
+
+def test_a_subset_does_not_sort_the_answers(spark):
+    from dissensus.sources import answers
+
+    df = spark.createDataFrame([(i % 5 or None, i) for i in range(20)], "dataset_idx long, x int")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "dataset_idx long")
+    out = answers.subset(df, ids)
+    assert sorted(r["x"] for r in out.collect()) == [1, 3, 6, 8, 11, 13, 16, 18]
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()
