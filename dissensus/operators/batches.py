@@ -179,6 +179,10 @@ def soft_label_answer(soft_label: Column, digits: int = 3) -> Column:
     return F.to_json(F.transform_values(soft_label, lambda _, v: F.round(v, digits)))
 
 
+# The rows that are numbered hold the items' texts, so a range has fewer of them.
+TEXT_LIMIT = ordering.SizeLimit(rows=20_000, share=1e-5)
+
+
 def prediction_requests(
     items: DataFrame,
     templates: DataFrame,
@@ -197,7 +201,7 @@ def prediction_requests(
     """
     group = ["dataset", "split"]
     place = [F.col("dataset_idx")]
-    base = ordering.running_total(items, group, place, name="__pos")
+    base = ordering.running_total(items, group, place, name="__pos", limit=TEXT_LIMIT)
     asked = base.where(F.col("__pos") >= n_fewshot)
     if n_examples is not None:
         asked = asked.where(F.col("__pos") < n_fewshot + n_examples)

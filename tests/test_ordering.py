@@ -113,3 +113,14 @@ def test_quintiles_include_their_upper_edge(spark):
     out = {x[0]: x[1] for x in diversity.with_quintile(df).collect()}
     cut = pd.qcut(pd.Series(sorted(out)), 5, labels=["Q1", "Q2", "Q3", "Q4", "Q5"])
     assert [out[x] for x in sorted(out)] == cut.tolist()
+
+
+def test_requests_number_a_large_group_in_ranges(spark, monkeypatch):
+    from dissensus.operators import batches, ordering
+
+    items = spark.createDataFrame([("d", "s", i // 2, f"t{i // 2}") for i in range(120)], "dataset string, split string, dataset_idx long, text string")
+    templates = spark.createDataFrame([("d", 31, "Rate: {text}")], "dataset string, template_id int, template string")
+    rows = lambda: sorted((r["dataset_idx"], r["prompt"]) for r in batches.prediction_requests(items, templates, n_examples=50).collect())
+    one_window = rows()
+    monkeypatch.setattr(batches, "TEXT_LIMIT", ordering.SizeLimit(rows=20))
+    assert rows() == one_window and len(one_window) == 50
