@@ -192,17 +192,22 @@ def best_of_n(
     score: str = "score",
     keys: list[str] | None = None,
     seed: str = "0",
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Value of the best-scored of ``n_samples`` random runs per item, averaged over
     the items, ``k`` times: (keys, n_samples, draw, value).
 
-    Each map task keeps only its first ``n_samples`` runs of an (item, draw).
+    Each map task keeps only its first ``n_samples`` runs of an (item, draw). Where
+    ``bound`` shows that no item is large, rows go to their item's task before they are
+    drawn, to so many tasks that the drawn rows are sorted in memory.
     """
     keys = keys or []
     names = dict.fromkeys([*keys, *item, value, score])
-    rows = df.select(*names, F.struct(*run).alias("__run")).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    )
+    rows = df.select(*names, F.struct(*run).alias("__run"))
+    n = ordering.rows_if_small(bound, [*keys, *item])
+    if n is not None:
+        rows = rows.repartition(tasks_for(df, n * k), *dict.fromkeys([*keys, *item]))
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     order = rng.order_key(F.lit(seed), "draw_key", F.col("draw"), *[F.col(c) for c in item], F.to_json("__run"))
     group = list(dict.fromkeys([*keys, *item, "draw"]))
     taken = ordering.first_rows(rows.withColumn("__o", order), group, [F.col("__o"), F.col("__run")], n_samples)

@@ -122,8 +122,10 @@ def test_random_ties_in_place_are_those_of_rows(spark):
         return resample.best_with_random_ties(df, [], ["item"], [F.col("run")], "v", 20, bound=bound)
     same = lambda a, b: {r["draw"]: pytest.approx(r["v"]) for r in a.collect()} == {r["draw"]: r["v"] for r in b.collect()}
     assert same(drawn(None), drawn(df))
+    best = lambda bound: resample.best_of_n(df.where("score > -1"), ["item"], [F.col("run")], "v", 2, 5, bound=bound)
+    assert same(best(None), best(df))
     # Draws are made behind the exchange of the rows.
-    for plan in (p._jdf.queryExecution().optimizedPlan().toString() for p in (drawn(df),)):
+    for plan in (p._jdf.queryExecution().optimizedPlan().toString() for p in (drawn(df), best(df))):
         assert plan.index("RepartitionByExpression [item") > plan.index("Aggregate [item")
 
 

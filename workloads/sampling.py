@@ -188,7 +188,7 @@ def _(t):
 )
 def _(t):
     draws = resample.best_of_n(
-        t.scored, ITEM, [F.col("rid")], "ws_loss", n_samples=2, k=5, keys=["dataset"]
+        t.scored, ITEM, [F.col("rid")], "ws_loss", n_samples=2, k=5, keys=["dataset"], bound=t.answers
     )
     return rounded(draws)
 
