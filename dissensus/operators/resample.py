@@ -169,13 +169,14 @@ def simple_sampling(
         bound=bound,
     )
     item_key = rng.key_text(F.lit(seed), *[F.col(c) for c in item])
+    every = F.sequence(F.lit(0), F.lit(k - 1))
     chosen = placed.withColumn("__key", item_key).select(
         *keys,
         value,
         F.explode(
-            F.filter(
-                F.sequence(F.lit(0), F.lit(k - 1)),
-                lambda d: F.floor(rng.uniform(F.col("__key"), d) * F.col("__n")) == F.col("__r"),
+            # A single run needs no hash.
+            F.when(F.col("__n") == 1, every).otherwise(
+                F.filter(every, lambda d: F.floor(rng.uniform(F.col("__key"), d) * F.col("__n")) == F.col("__r"))
             )
         ).alias("draw"),
     )
@@ -426,7 +427,9 @@ def best_of_n_by_rank(
         u = rng.uniform(F.col("__key"), draw)
         return (u >= F.col("__low")) & (u < F.col("__high"))
 
-    draws = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), best_in)
+    every = F.sequence(F.lit(0), F.lit(k - 1))
+    # A run that is always the best one needs no hash.
+    draws = F.when((F.col("__low") <= 0) & (F.col("__high") >= 1), every).otherwise(F.filter(every, best_in))
     best = ends.select(*keys, value, F.explode(draws).alias("draw"))
     return best.groupBy(*keys, "draw").agg(F.avg(value).alias(value)).withColumn("n_samples", F.lit(n_samples))
 

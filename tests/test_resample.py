@@ -129,6 +129,15 @@ def test_random_ties_in_place_are_those_of_rows(spark):
         assert plan.index("RepartitionByExpression [item") > plan.index("Aggregate [item")
 
 
+def test_single_runs_are_drawn_without_a_hash(spark):
+    df = spark.createDataFrame([("a", i, r, float(i + r)) for i in range(30) for r in range(1 + i % 3)], "d string, i int, r int, score double")
+    for draws in (
+        resample.simple_sampling(df, ["d"], ["i"], [F.col("r")], "score", k=4),
+        resample.best_of_n_by_rank(df, ["d"], ["i"], [F.col("r")], "score", 2, 4),
+    ):
+        assert draws.count() == 4 and "CASE WHEN" in draws._jdf.queryExecution().optimizedPlan().toString().split("filter(")[0].split("explode(")[-1]
+
+
 def test_rating_matrix_in_place_is_that_of_rows(spark):
     words = ["great", "ok", "bad", "odd"]
     rated = [(i // 3, i, f'[{{"rating": "{words[i % 4]}"}}, {{"rating": "{words[i // 4 % 3]}"}}]', i % 2) for i in range(90)]
