@@ -207,7 +207,7 @@ def prediction_requests(
         asked = asked.where(F.col("__pos") < n_fewshot + n_examples)
     asked = asked.where(F.pmod(F.col("__pos") - n_fewshot, F.lit(world)) == rank)
     runs = F.sequence(F.lit(0), F.lit(n_loops - 1))
-    rows = asked.join(templates.select("dataset", "template_id"), "dataset").withColumn(
+    rows = asked.join(F.broadcast(templates.select("dataset", "template_id")), "dataset").withColumn(
         "run_idx", F.explode(runs)
     )
     if done is not None:
@@ -222,7 +222,8 @@ def prediction_requests(
         messages = fewshot_messages(
             with_prompt(shown, templates), [F.col("__pos")], soft_label_answer(F.col("soft_label"))
         )
-        rows = rows.join(messages, ["dataset", "split", "template_id"], "left")
+        # A row per (dataset, split, template): the texts stay where they are.
+        rows = rows.join(F.broadcast(messages), ["dataset", "split", "template_id"], "left")
     convo = conversation(F.col("fewshot") if n_fewshot else None, F.col("prompt"))
     for name, value in (settings or {}).items():
         rows = rows.withColumn(name, F.lit(value))
