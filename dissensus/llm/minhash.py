@@ -37,6 +37,8 @@ BUCKET_SLICE = 512
 # Texts of a crowd that are in one block, and their distinct shingles.
 CROWD_BLOCK = 4096
 CROWD_SHINGLES = 1 << 21
+# Shingles of a crowd's texts that are compared with a text at once.
+CROWD_SLICE = 1 << 17
 
 
 def signatures(rows: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -189,6 +191,14 @@ def may_reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return 1 / (1 - x) + 1 / (1 - y) <= 1 + 1 / SIMILARITY + 1e-9
 
 
+def contents(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The values of a binary column without nulls one after another, not copied."""
+    held = column.combine_chunks()
+    _, offsets, data = held.buffers()
+    ends = np.frombuffer(offsets, np.int32)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
 def bags(texts: DataFrame) -> DataFrame:
     """``texts`` (``node, text``) as ``node, size, shingles, weights``: the sorted distinct
     shingles of each text and how often they occur, in binary."""
@@ -259,11 +269,11 @@ def crowd_links(members: DataFrame, texts: DataFrame, registers: DataFrame) -> D
         second = part.column("second")[0].as_py()
         main, block = (part.column(c).to_numpy(zero_copy_only=False) for c in ("main", "block"))
         label = part.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
-        marks = np.frombuffer(b"".join(part.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        marks = contents(part.column("registers"), "<u2").reshape(-1, REGISTERS)
         size = part.column("size").to_numpy()
         ends = np.cumsum(size)
-        shingles = np.frombuffer(b"".join(part.column("shingles").to_pylist()), "<u8")
-        weights = np.frombuffer(b"".join(part.column("weights").to_pylist()), "<u4").astype(np.float64)
+        shingles = contents(part.column("shingles"), "<u8")
+        weights = contents(part.column("weights"), "<u4").astype(np.float64)
         total = np.add.reduceat(weights, ends - size)
         bag = lambda i: (shingles[ends[i] - size[i] : ends[i]], weights[ends[i] - size[i] : ends[i]])
         one, two, alike = [], [], []
@@ -274,26 +284,29 @@ def crowd_links(members: DataFrame, texts: DataFrame, registers: DataFrame) -> D
             near = right if first != second else right[right > i]
             near = near[label[near] != label[i]]
             near = near[(marks[near] == marks[i]).sum(axis=1) >= LEAST_EQUAL]
-            if not len(near):
-                continue
-            # Weights in common shingles, of both sides.
             own, own_weights = bag(i)
-            flat = np.arange(size[near].sum()) + np.repeat(ends[near] - np.cumsum(size[near]), size[near])
-            at = np.minimum(np.searchsorted(own, shingles[flat]), len(own) - 1)
-            both = own[at] == shingles[flat]
-            begins = np.cumsum(size[near]) - size[near]
-            theirs = np.add.reduceat(np.where(both, weights[flat], 0), begins)
-            mine = np.add.reduceat(np.where(both, own_weights[at], 0), begins)
-            able = may_reach(1 - mine / total[i], 1 - theirs / total[near])
-            for j in near[able]:
-                if label[j] == label[i]:
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[near]) // CROWD_SLICE)) + 1
+            for some in np.split(near, cuts):
+                some = some[label[some] != label[i]]
+                if not len(some):
                     continue
-                found = probability_jaccard(bag(i), bag(j))
-                if found >= SIMILARITY:
-                    one.append(i)
-                    two.append(j)
-                    alike.append(found)
-                    label[label == label[j]] = label[i]
+                # Weights in common shingles, of both sides.
+                flat = np.arange(size[some].sum()) + np.repeat(ends[some] - np.cumsum(size[some]), size[some])
+                at = np.minimum(np.searchsorted(own, shingles[flat]), len(own) - 1)
+                both = own[at] == shingles[flat]
+                begins = np.cumsum(size[some]) - size[some]
+                theirs = np.add.reduceat(np.where(both, weights[flat], 0), begins)
+                mine = np.add.reduceat(np.where(both, own_weights[at], 0), begins)
+                able = may_reach(1 - mine / total[i], 1 - theirs / total[some])
+                for j in some[able]:
+                    if label[j] == label[i]:
+                        continue
+                    found = probability_jaccard(bag(i), bag(j))
+                    if found >= SIMILARITY:
+                        one.append(i)
+                        two.append(j)
+                        alike.append(found)
+                        label[label == label[j]] = label[i]
         nodes = part.column("node").combine_chunks()
         x, y = (nodes.take(pa.array(np.array(at, dtype=np.int64))) for at in (one, two))
         return pa.RecordBatch.from_arrays([x, y, pa.array(alike, pa.float64())], names=["x", "y", "similarity"])

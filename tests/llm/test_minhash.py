@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dissensus.llm import components, minhash, words
@@ -192,6 +193,21 @@ def test_crowds_of_many_blocks(spark, monkeypatch, block):
     assert block == 7 or len(found) < len(texts)
 
 
+def test_binary_columns_are_read_in_place():
+    rows = [b"abcd", b"", b"efgh", b"ijkl"]
+    column = pa.chunked_array([pa.array(rows[:2], pa.binary()), pa.array(rows[2:], pa.binary())])
+    assert minhash.contents(column.slice(1), "<u4").tobytes() == b"efghijkl"
+    assert len(minhash.contents(column.slice(1, 1), "<u4")) == 0
+
+
+def test_a_text_is_compared_in_slices(spark, monkeypatch):
+    texts = template_pages(random.Random(5), 352, 20)
+    links = lambda: {(r["a"], r["b"]) for r in minhash.crowd_links(*crowd_of(spark, texts)).collect()}
+    whole = links()
+    monkeypatch.setattr(minhash, "CROWD_SLICE", 1)
+    assert whole and links() == whole
+
+
 def test_a_crowd_gives_out_links_not_pairs(spark):
     """Some thousand near copies of one text, all in different classes so far."""
     rng = random.Random(7)
