@@ -61,7 +61,12 @@ def label_f1(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def soft_label_rows(preds: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Labels of an item as a distribution, with its distance to the target."""
+    """Labels of an item as a distribution, with its distance to the target.
+
+    Where no item is large its labels and its target meet in one task, of as many tasks
+    as the rows need.
+    """
+    preds = ordering.together(preds, ITEM)
     shares = distributions.soft_labels(preds, [*(by or []), *ITEM])
     keys = [c for c in ITEM if c in targets.columns]
     return metrics.with_wasserstein(shares.join(targets.select(*keys, "target"), keys, "inner"))

@@ -72,6 +72,26 @@ def rows_if_small(bound: DataFrame | None, keys: list[str], limit: SizeLimit = D
     return n if largest <= max(limit.rows, limit.share * n) else None
 
 
+# Rows that a task sorts or groups in memory when groups are dealt to tasks.
+TASK_ROWS = 1_000_000
+
+
+def together(df: DataFrame, keys: list[str], copies: int = 1, limit: SizeLimit = DEFAULT_LIMIT) -> DataFrame:
+    """The rows dealt to tasks by ``keys``, so that all that follows by these and further
+    keys needs no other exchange; as they are where a group is large.
+
+    The number of tasks follows from that of the rows, each of which turns into
+    ``copies`` later on.
+    """
+    n = rows_if_small(df.select(*keys), keys, limit)
+    if n is None:
+        return df
+    spark = df.sparkSession
+    # With fewer partitions than other exchanges have, a join would deal the rows anew.
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, -(-n * copies // TASK_ROWS)), *keys)
+
+
 def range_bounds(df: DataFrame, keys: list[str], order: Column, large: DataFrame, size: int) -> DataFrame:
     """Bounds of the ranges of each large group, as sorted lists of order keys.
 
