@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dissensus import registry
 from dissensus.operators import cleaning, ordering
 from dissensus.schemas import ITEM
+from dissensus.session import written
 
 
 def stacked(*frames: DataFrame) -> DataFrame:
@@ -115,7 +116,11 @@ def personas(rows: DataFrame, include_none: bool = False) -> DataFrame:
 
 
 def item_order(items: DataFrame) -> DataFrame:
-    """Items with a position column for ordered output."""
+    """Items with a position column for ordered output.
+
+    They are written first, as sizes, bounds and places are read from them one by one.
+    """
+    items = written(items, "items")
     return ordering.running_total(items, [], [F.col(c) for c in ITEM], name="ord")
 
 
