@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissensus import registry
 from dissensus.functions import vectors
 from dissensus.operators import nulls, ordering
 from dissensus.operators.ordering import DEFAULT_LIMIT, SizeLimit
@@ -23,9 +24,11 @@ def pairwise_wasserstein(
     sum of |a - b| over all pairs follows from the sorted values: a value with
     ``c`` copies, ``b`` values before it and ``n`` in all counts
     ``c * (2b + c - n)`` times. No pair is formed, and equal values are counted
-    before they are sorted.
+    before they are sorted. Where no group is large its vectors meet in one task before
+    they are taken apart, so that neither points nor counts are shuffled.
     """
     keys = keys or ITEM
+    df = ordering.together(df.select(*keys, "pred"), keys, registry.MAX_CLASSES, limit)
     points = df.select(*keys, F.posexplode(vectors.cumulative(F.col("pred"))).alias("class", "v"))
     counts = points.groupBy(*keys, "class", "v").agg(F.count(F.lit(1)).alias("c"))
     placed = ordering.running_total(
