@@ -6,6 +6,10 @@ likelihood ratio compares "as often as any word" with "nearly always" (Kiss and
 sentences, after which a break is kept even behind an abbreviation. Both come from counts
 of words, so a model is as large as the vocabulary, and splitting adds no shuffle to the
 texts as long as the model's words fit in a set.
+
+Patterns are slow, and most tokens are frequent ones without any mark. So words are
+counted as they stand before they are looked at, and texts are cut behind the tokens that
+hold a mark: only there can a sentence end.
 """
 
 from __future__ import annotations
@@ -17,8 +21,13 @@ from pyspark.sql import functions as F
 
 from dissensus.session import written
 
-# Words of a text with the white space after them; white space is that of ASCII.
-TOKEN = r"[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*"
+# White space is that of ASCII.
+BLANK = r" \t\n\x0B\f\r"
+BLANKS = " \t\n\x0b\f\r"
+# Words of a text with the white space after them.
+TOKEN = rf"[^{BLANK}]+[{BLANK}]*"
+# A text up to the end of a word with a mark, or its rest.
+STRETCH = rf"[^.!?…]*+[.!?…][^{BLANK}]*+|[^.!?…]++"
 # Marks that may follow the end of a sentence.
 CLOSING = r"[\"'”’»)\]]*"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -54,12 +63,60 @@ def has_period(token: Column) -> Column:
     return F.rlike(token, F.lit(rf"(^|[^.])\.{CLOSING}$"))
 
 
+def is_marked(token: Column) -> Column:
+    """A mark at the end, marks that close left aside."""
+    return F.rlike(token, F.lit(rf"[.!?…]{CLOSING}$"))
+
+
 def is_number(word: Column) -> Column:
     return F.rlike(word, F.lit(r"^[\p{N}.,:/-]+$"))
 
 
 def is_initial(word: Column) -> Column:
-    return F.rlike(word, F.lit(r"^\p{L}$"))
+    return (F.char_length(word) == 1) & F.rlike(word, F.lit(r"^\p{L}$"))
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """``word, n, k``: how often each word occurs in all, and with a period. Tokens are
+    counted as they are written, and only different ones are made words."""
+    rows = texts.select(F.explode(F.split(trimmed(F.col(text)), f"[{BLANK}]+")).alias("t"))
+    written_as = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    words = written_as.select(stem(F.col("t")).alias("word"), has_period(F.col("t")).alias("period"), "n")
+    k = F.coalesce(F.sum(F.when(F.col("period"), F.col("n"))), F.lit(0).cast("long"))
+    # A filter on the word itself would be pushed below the first count.
+    held = words.groupBy("word").agg(F.sum("n").alias("n"), k.alias("k"), F.bool_or(F.col("word") != "").alias("some"))
+    return held.where("some").select("word", "n", "k")
+
+
+def stretches(text: Column) -> Column:
+    """A text cut behind each token that holds a mark; white space goes with what follows."""
+    return F.regexp_extract_all(trimmed(text), F.lit(f"({STRETCH})"), F.lit(1))
+
+
+def first_token(part: Column) -> Column:
+    part = F.ltrim(part, F.lit(BLANKS))
+    for blank in BLANKS:
+        part = F.substring_index(part, blank, 1)
+    return part
+
+
+def last_token(part: Column) -> Column:
+    """The last token of a stretch, which has no white space behind it."""
+    for blank in BLANKS:
+        part = F.substring_index(part, blank, -1)
+    return part
+
+
+def followed(parts: Column) -> Column:
+    """The last token of each stretch (``token``), if it may end a sentence or is that of
+    the text, with the one that follows it or null, and its place ``i``."""
+    lasts = F.transform(parts, lambda x, i: F.struct(last_token(x).alias("token"), i.alias("i")))
+    able = F.filter(lasts, lambda x: (x["i"] == F.size(parts) - 1) | is_marked(x["token"]))
+    return F.transform(able, lambda x: x.withField("following", first_token(F.get(parts, x["i"] + 1))))
 
 
 def occurrences(texts: DataFrame, text: str) -> DataFrame:
@@ -116,28 +173,32 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 
     The texts are read twice, their words are counted before they are shuffled.
     """
-    rows = occurrences(texts, text)
-    words = written(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("k")), "words")
+    words = written(word_counts(texts, text), "words")
     abbreviations = written(abbreviation_scores(words).where(F.col("score") >= ABBREVIATION).select("word"), "abbreviations")
     # Sure breaks: a period after a usual word, a capital letter behind it.
-    sure = rows.where(F.col("period") & F.col("next_upper") & (F.col("next") != "") & ~is_initial(F.col("word")) & ~is_number(F.col("word")))
-    follows = sure.groupBy("word", "next").agg(F.count(F.lit(1)).alias("k")).join(abbreviations, "word", "left_anti")
-    pairs = follows.groupBy("next").agg(F.sum("k").alias("k"))
+    places = texts.select(stretches(F.col(text)).alias("parts")).select(F.inline(followed(F.col("parts"))))
+    token, following = F.col("token"), F.col("following")
+    places = places.where(has_period(token) & F.rlike(following, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}")))
+    places = places.select(stem(token).alias("word"), stem(following).alias("next"))
+    follows = places.groupBy("word", "next").agg(F.count(F.lit(1)).alias("k")).join(abbreviations, "word", "left_anti")
+    # Looked at once per pair; as a filter it would be pushed below the count.
+    usual = (F.col("word") != "") & (F.col("next") != "") & ~is_initial(F.col("word")) & ~is_number(F.col("word"))
+    pairs = follows.groupBy("next").agg(F.sum(F.when(usual, F.col("k"))).alias("k")).where("k IS NOT NULL")
     starters = starter_scores(pairs, words).where(F.col("score") >= STARTER).select("word")
     return Model(abbreviations, written(starters, "starters"))
 
 
-def breaks_after(token: Column, following: Column, abbreviation: Column, starter: Column) -> Column:
-    """Whether a sentence ends with a token. The two last arguments say whether the token
-    is a known abbreviation and whether the following one begins sentences."""
-    ends = F.rlike(token, F.lit(rf"[.!?…]{CLOSING}$"))
+def breaks_after(token: Column, following: Column, abbreviation: Column, starter: Column, word: Column | None = None) -> Column:
+    """Whether a sentence ends with a token. ``abbreviation`` says whether the token is a
+    known one, ``starter`` whether the following one begins sentences; ``word`` is the
+    token's stem, if it is at hand."""
     lower = F.rlike(following, F.lit(r"^[^\p{L}\p{N}]*\p{Ll}"))
-    word = stem(token)
+    word = stem(token) if word is None else word
     upper_starter = starter & ~lower
     held = F.when(has_period(token), (abbreviation | is_initial(word)) & ~upper_starter | is_number(word) & lower)
     # Dots that trail off go on in small letters.
     trails = F.rlike(token, F.lit(rf"(\.\.|…){CLOSING}$")) & lower
-    return ends & ~F.coalesce(held, F.lit(False)) & ~trails
+    return is_marked(token) & ~F.coalesce(held, F.lit(False)) & ~trails
 
 
 def split(texts: DataFrame, model: Model, key: list[str], text: str = "text", name: str = "sentences") -> DataFrame:
@@ -145,32 +206,34 @@ def split(texts: DataFrame, model: Model, key: list[str], text: str = "text", na
     text without words has none.
 
     A model of up to SET_WORDS words goes into the plan as a set. The words of a larger
-    one are joined to the distinct words of the texts, by their ``key`` (not null,
-    distinct); the result is the same.
+    one are joined to the distinct words of the texts that matter to it, by their ``key``
+    (not null, distinct); the result is the same.
     """
     sets = []
     for words in (model.abbreviations, model.starters):
         found = [r[0] for r in words.limit(SET_WORDS + 1).collect()]
         sets.append(found if len(found) <= SET_WORDS else None)
+    cut = lambda rows: rows.withColumn("__parts", stretches(F.col(text))).withColumn("__marks", followed(F.col("__parts")))
     rows, known = texts, []
     for i, (words, found) in enumerate(zip((model.abbreviations, model.starters), sets)):
         if found is not None:
             known.append(lambda w, found=found: w.isin(found) if found else F.lit(False))
             continue
-        column = f"__known_{i}"
-        own = texts.select(*key, F.explode(F.array_distinct(F.transform(tokens(F.col(text)), lambda x: stem(bare(x))))).alias("word"))
+        column, side = f"__known_{i}", ("token", "following")[i]
+        own = cut(texts).select(*key, F.explode(F.array_distinct(F.transform("__marks", lambda x: stem(x[side])))).alias("word"))
         held = own.join(words, "word", "left_semi").groupBy(*key).agg(F.collect_set("word").alias(column))
         rows = rows.join(held, key, "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
         known.append(lambda w, column=column: F.array_contains(F.col(column), w))
-    rows = rows.withColumn("__tokens", tokens(F.col(text)))
-    places = F.transform("__tokens", lambda x, i: i)
-    last = F.size("__tokens") - 1
+    # A token's stem is looked at several times.
+    named = F.transform("__marks", lambda x: x.withField("word", stem(x["token"])))
+    rows = cut(rows).withColumn("__marks", named)
+    last = F.size("__parts") - 1
 
-    def ends(i: Column) -> Column:
-        token, following = bare(F.get("__tokens", i)), bare(F.get("__tokens", i + 1))
-        return (i == last) | breaks_after(token, following, known[0](stem(token)), known[1](stem(following)))
+    def ends(x: Column) -> Column:
+        token, following, word = x["token"], x["following"], x["word"]
+        return (x["i"] == last) | breaks_after(token, following, known[0](word), known[1](stem(following)), word)
 
-    rows = rows.withColumn("__ends", F.filter(places, ends))
+    rows = rows.withColumn("__ends", F.transform(F.filter("__marks", ends), lambda x: x["i"]))
     begin = lambda j: F.when(j > 0, F.get("__ends", j - 1) + 1).otherwise(0)
-    cut = F.transform("__ends", lambda e, j: bare(F.array_join(F.slice("__tokens", begin(j) + 1, e - begin(j) + 1), "")))
-    return rows.withColumn(name, cut).drop("__tokens", "__ends", "__known_0", "__known_1")
+    whole = F.transform("__ends", lambda e, j: F.ltrim(F.array_join(F.slice("__parts", begin(j) + 1, e - begin(j) + 1), ""), F.lit(BLANKS)))
+    return rows.withColumn(name, whole).drop("__parts", "__marks", "__ends", "__known_0", "__known_1")

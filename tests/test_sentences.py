@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 
 import pytest
 
@@ -83,3 +84,35 @@ def test_ratios(spark):
     )
     found = {r["word"]: r["score"] for r in sentences.abbreviation_scores(words).collect()}
     assert n == k and found["dr"] == pytest.approx(ratio * math.exp(-2))
+
+
+ODD = [
+    None, "", " \n\t ", ". ? !", "  \x0bOne two.  \r\n Three four?!  ", "no mark at all", "a.b.c x.y. End", "Dots... go on. Dots... Go on",
+    "http://a.b/c?d=e. Next. 3.14. 2. of", "Well… yes. “Dr.” Smith. (Mr.) Jones.  It  ", "x.  The end.  ", "...", "word .", ". word", "É. Été. Ünd so.",
+]
+
+
+def test_counts_and_breaks_are_those_of_single_tokens(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS + ODD * 5)], "id int, text string")
+    F = sentences.F
+    every = sentences.occurrences(rows, "text")
+    plain = every.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("k"))
+    assert sorted(map(tuple, sentences.word_counts(rows, "text").collect())) == sorted(map(tuple, plain.collect()))
+    # A text is cut behind the tokens with a mark, and nothing of it is lost.
+    tokens = rows.select(F.transform(sentences.tokens(F.col("text")), sentences.bare).alias("t"))
+    seen = [t for r in tokens.collect() for t in zip(r["t"] or [], [*(r["t"] or [])[1:], None])]
+    parts = rows.select("text", sentences.stretches(F.col("text")).alias("parts"))
+    found = parts.withColumn("marks", sentences.followed(F.col("parts"))).collect()
+    pairs = [(m["token"], m["following"]) for r in found for m in r["marks"] or []]
+    able = lambda a, b: b is None or re.search(rf"[.!?…]{sentences.CLOSING}\u2028?$", a)
+    assert collections.Counter(pairs) == collections.Counter((a, b) for a, b in seen if able(a, b))
+    assert all("".join(r["parts"]) == r["text"].strip(sentences.BLANKS) for r in found if r["text"] is not None)
+
+
+def test_frequent_tokens_are_not_looked_at_one_by_one(spark):
+    rows = spark.createDataFrame([("the sea is old. " * 500,)] * 20, "text string")
+    plan = sentences.word_counts(rows, "text")._jdf.queryExecution().optimizedPlan().toString()
+    # Patterns stand above the first count, not below it.
+    below = plan[plan.rindex("Aggregate") :]
+    assert "RLIKE" in plan and "regexp_replace" in plan
+    assert "RLIKE" not in below and "regexp_replace" not in below

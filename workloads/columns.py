@@ -406,8 +406,7 @@ def _(t):
     f"WITH {learned_sentences_sql('conversations', 'conv_id, turn')} SELECT word, n, k, round(score, 6) AS score FROM scored_words",
 )
 def _(t):
-    words = sentences.occurrences(t.conversations, "text").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("k"))
-    return rounded(sentences.abbreviation_scores(words))
+    return rounded(sentences.abbreviation_scores(sentences.word_counts(t.conversations, "text")))
 
 
 @query(
