@@ -54,8 +54,11 @@ class Blocks:
         bit = lambda k: F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftright(h2, {6 * k}) & 63 AS INT))"))
         made = rows.groupBy("block").agg(*[bit(k).alias(f"w{k}") for k in range(WORDS)])
         words = np.zeros((blocks, WORDS), dtype=np.uint64)
-        for row in made.toLocalIterator():
-            words[row[0]] = np.array(row[1:], dtype=np.int64).view(np.uint64)
+        # In one job and as columns; the rows are no more than the blocks.
+        found = made.toArrow()
+        at = found.column("block").to_numpy()
+        for k in range(WORDS):
+            words[at, k] = found.column(f"w{k}").to_numpy().view(np.uint64)
         return cls(words)
 
     def may_hold(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:

@@ -251,3 +251,19 @@ def test_components(spark):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     assert found == {n: root(n) for n in list(parent)}
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(38,0)"])
+def test_components_within_a_task_and_across_tasks(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] * 2 + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
+    rows = spark.createDataFrame(links, "a long, b long").selectExpr(f"CAST(a AS {kind}) AS a", f"CAST(b AS {kind}) AS b")
+    jobs, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: jobs.append(name) or real(df, name))
+    one = sorted(map(tuple, components.components(rows).collect()))
+    # Links that fit one task take no rounds of joins.
+    assert len(jobs) == 2 and len(one) == len({x for x, _ in one})
+    monkeypatch.setattr(components, "TASK_LINKS", 16)
+    assert sorted(map(tuple, components.components(rows).collect())) == one and len(jobs) > 5
+    nothing = rows.filter("a < '0'" if kind == "string" else "a < 0")
+    assert components.components(nothing).count() == 0
