@@ -134,6 +134,20 @@ class Coded:
     bounds: np.ndarray
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, where each stands first, and which of them each
+    key is. All keys are hashed, only distinct ones are sorted."""
+    found = pa.array(keys).dictionary_encode()
+    distinct, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    # The dictionary has the keys in the order they come first.
+    one = np.empty(len(order), dtype=np.int64)
+    one[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return distinct[order], one[order], rank[which]
+
+
 class Memo:
     """Ids of pieces seen so far.
 
@@ -182,7 +196,7 @@ class Memo:
         place = np.arange(len(cp)) - np.repeat(begin, lengths)
         terms = symbols()[cp] * W.powers(int(lengths.max()))[place]
         keys = W.mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64) * W.GOLDEN)
-        distinct, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, one, which = grouped(keys)
         at = np.searchsorted(self.keys, distinct)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == distinct[known]

@@ -29,6 +29,15 @@ END_ID = 0
 # Ids after which a file is closed at the end of a document; bounds a task's memory.
 FILE_IDS = 1 << 22
 BLOCK = 512  # bits between two stored counts of ones
+# Numbers that are moved at once: they and their places stay in a core's cache.
+MOVED = 1 << 15
+
+
+def sides(high: np.ndarray):
+    """Slice by slice of a plane: where it begins, and the places in it of zeros and ones."""
+    for at in range(0, len(high), MOVED):
+        some = high[at : at + MOVED]
+        yield at, np.flatnonzero(~some), np.flatnonzero(some)
 
 
 @dataclass
@@ -47,7 +56,7 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if bits <= 16 else np.uint32)
         padded = -(-max(1, len(values)) // BLOCK) * BLOCK
         for bit in reversed(range(bits)):
-            high = (now >> bit) & 1 != 0
+            high = now & now.dtype.type(1 << bit) != 0
             packed = np.packbits(high, bitorder="little")
             plane = np.zeros(padded // 8, dtype=np.uint8)
             plane[: len(packed)] = packed
@@ -56,7 +65,13 @@ class WaveletMatrix:
             planes.append(plane)
             ones.append(np.concatenate([[0], np.cumsum(count)]).astype(np.uint32))
             zeros.append(int(len(now) - count.sum()))
-            now = np.concatenate([now[~high], now[high]])
+            moved, low, up = np.empty_like(now), 0, zeros[-1]
+            for at, down, over in sides(high):
+                some = now[at : at + MOVED]
+                moved[low : low + len(down)] = some[down]
+                moved[up : up + len(over)] = some[over]
+                low, up = low + len(down), up + len(over)
+            now = moved
         return cls(len(values), planes, ones, zeros)
 
     def rank(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -120,10 +135,13 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         now = np.zeros(self.size, dtype=kind)
         for level in reversed(range(len(self.planes))):
-            high, cut = self._bits(level), self.zeros[level]
-            above = np.empty_like(now)
-            above[~high] = now[:cut]
-            above[high] = now[cut:] | kind(1 << (len(self.planes) - 1 - level))
+            above, low, up = np.empty_like(now), 0, self.zeros[level]
+            now[up:] |= kind(1 << (len(self.planes) - 1 - level))
+            for at, down, over in sides(self._bits(level)):
+                some = above[at : at + MOVED]
+                some[down] = now[low : low + len(down)]
+                some[over] = now[up : up + len(over)]
+                low, up = low + len(down), up + len(over)
             now = above
         return now
 
@@ -202,8 +220,14 @@ def coder(path: str) -> tuple[pretokens.Memo, int]:
     tokenizer = Tokenizer.from_file(path)
     model, letters = tokenizer.model, dict(enumerate(byte_letters()))
 
+    blank = letters[32]
+
+    def spelled(p: str) -> str:
+        # Of the printable ASCII signs, only a blank has another letter.
+        return p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+
     def encode(pieces: list[str]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        return [[t.id for t in model.tokenize(spelled(p))] for p in pieces]
 
     return pretokens.Memo(encode), tokenizer.get_vocab_size()
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from dissensus.llm import queries, tokenfiles
+from dissensus.llm import pretokens, queries, tokenfiles
 from tests.llm.test_text import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,3 +79,34 @@ def test_query_gives_the_librarys_ids_of_added_tokens(spark, tmp_path):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_bits_are_moved_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes, real = [], np.flatnonzero
+    monkeypatch.setattr(tokenfiles.np, "flatnonzero", lambda x: sizes.append(len(x)) or real(x))
+    for moved in (tokenfiles.MOVED, 64):
+        monkeypatch.setattr(tokenfiles, "MOVED", moved)
+        for n in (0, 1, 63, 64, 65, 1000, 2 * moved + 7):
+            for top in (1, 2, 50_000, 1 << 20):
+                values = rng.integers(0, top, n).astype(np.uint32)
+                assert (tokenfiles.WaveletMatrix.of(values).values() == values).all()
+        assert max(sizes) <= moved
+        sizes.clear()
+
+
+def test_only_distinct_hashes_are_sorted(monkeypatch):
+    keys = np.random.default_rng(6).integers(0, 2**64, 300, dtype=np.uint64)[np.random.default_rng(7).integers(0, 300, 5000)]
+    sizes, real = [], np.argsort
+    wanted = np.unique(keys, return_index=True, return_inverse=True)
+    monkeypatch.setattr(pretokens.np, "argsort", lambda x, **k: sizes.append(len(x)) or real(x, **k))
+    assert all((a == b).all() for a, b in zip(pretokens.grouped(keys), wanted))
+    assert sizes == [len(wanted[0])]
+
+
+def test_spelling_of_pieces_is_that_of_their_bytes():
+    memo, _ = tokenfiles.coder(PATH)
+    letters = dict(enumerate(tokenfiles.byte_letters()))
+    model = Tokenizer.from_file(PATH).model
+    pieces = [" a", "a b", "\x00", "\x1f\x7f", "\t\n", "~!", " é", "…", " ", "\xa0", " 日本", "😀", " ", "  "]
+    assert memo.encode(pieces) == [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
