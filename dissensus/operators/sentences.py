@@ -220,7 +220,11 @@ def split(texts: DataFrame, model: Model, key: list[str], text: str = "text", na
             known.append(lambda w, found=found: w.isin(found) if found else F.lit(False))
             continue
         column, side = f"__known_{i}", ("token", "following")[i]
-        own = cut(texts).select(*key, F.explode(F.array_distinct(F.transform("__marks", lambda x: stem(x[side])))).alias("word"))
+        # Both only matter behind a period, starters only behind an abbreviation or initial.
+        short = known[0] if i and sets[0] is not None else lambda w: F.lit(True)
+        needed = lambda x: has_period(x["token"]) & (short(stem(x["token"])) | is_initial(stem(x["token"])))
+        stems = F.transform(F.filter("__marks", needed), lambda x: stem(x[side]))
+        own = cut(texts).select(*key, F.explode(F.array_distinct(stems)).alias("word"))
         held = own.join(words, "word", "left_semi").groupBy(*key).agg(F.collect_set("word").alias(column))
         rows = rows.join(held, key, "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
         known.append(lambda w, column=column: F.array_contains(F.col(column), w))

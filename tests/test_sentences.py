@@ -62,6 +62,19 @@ def test_a_large_model_is_joined(spark, model, monkeypatch):
     assert cut(spark, model, [*CASES, None]) == [*CASES.values(), None]
 
 
+def test_starters_are_joined_only_behind_abbreviations_and_initials(spark, monkeypatch):
+    frame = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    model = sentences.Model(frame(["dr", "mr"]), frame(["the", "it", "she", "then"]))
+    texts = [*CASES, None, *PLAIN, "Then Dr. The end. She saw J. It rained. Mr. the end.", "So it was. The end! It rained? She left."]
+    whole = cut(spark, model, texts)
+    seen, real = [], sentences.F.explode
+    monkeypatch.setattr(sentences, "SET_WORDS", 2)
+    monkeypatch.setattr(sentences.F, "explode", lambda c: seen.append(c) or real(c))
+    assert cut(spark, model, texts) == whole and len(seen) == 1
+    last = spark.createDataFrame([(texts[-1],)], "text string").select(sentences.followed(sentences.stretches(sentences.F.col("text"))).alias("__marks"))
+    assert last.select(real(seen[0])).count() == 0
+
+
 def test_without_texts_all_marks_end_sentences(spark):
     model = sentences.train(spark.createDataFrame([], "text string"))
     assert cut(spark, model, ["Ask Dr. No. Now!"]) == [["Ask Dr.", "No.", "Now!"]]
