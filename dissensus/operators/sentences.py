@@ -239,5 +239,7 @@ def split(texts: DataFrame, model: Model, key: list[str], text: str = "text", na
 
     rows = rows.withColumn("__ends", F.transform(F.filter("__marks", ends), lambda x: x["i"]))
     begin = lambda j: F.when(j > 0, F.get("__ends", j - 1) + 1).otherwise(0)
-    whole = F.transform("__ends", lambda e, j: F.ltrim(F.array_join(F.slice("__parts", begin(j) + 1, e - begin(j) + 1), ""), F.lit(BLANKS)))
+    # The pattern of bare also takes white space in front of a last line separator.
+    joined = lambda e, j: F.array_join(F.slice("__parts", begin(j) + 1, e - begin(j) + 1), "")
+    whole = F.transform("__ends", lambda e, j: bare(F.ltrim(joined(e, j), F.lit(BLANKS))))
     return rows.withColumn(name, whole).drop("__parts", "__marks", "__ends", "__known_0", "__known_1")

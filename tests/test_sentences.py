@@ -122,6 +122,10 @@ def test_counts_and_breaks_are_those_of_single_tokens(spark):
     assert all("".join(r["parts"]) == r["text"].strip(sentences.BLANKS) for r in found if r["text"] is not None)
 
 
+def test_white_space_before_a_line_separator(spark, model):
+    assert cut(spark, model, ["Abc \u2028", "Abc. \u2028 Def."]) == [["Abc\u2028"], ["Abc.", "\u2028 Def."]]
+
+
 def test_frequent_tokens_are_not_looked_at_one_by_one(spark):
     rows = spark.createDataFrame([("the sea is old. " * 500,)] * 20, "text string")
     plan = sentences.word_counts(rows, "text")._jdf.queryExecution().optimizedPlan().toString()
