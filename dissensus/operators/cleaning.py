@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dissensus import registry
@@ -260,10 +261,16 @@ def same_annotators(df: DataFrame) -> DataFrame:
     return df.where(F.size("pred") == F.col("n_annotators"))
 
 
-def annotator_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Annotators of each prediction; null where its categories disagree."""
-    return df.groupBy(*keys).agg(
-        F.when(F.min(F.size("pred")) == F.max(F.size("pred")), F.max(F.size("pred"))).alias(
-            "n_pred_annotators"
-        )
-    )
+def annotator_count(df: DataFrame, keys: list[str], on_rows: bool = False) -> DataFrame:
+    """Annotators of each prediction; null where its categories disagree.
+
+    One row per prediction, or ``on_rows`` as a column of the rows. The rows of a
+    prediction meet in a window then, so they must be few, as its categories are.
+    """
+    least, most = F.min(F.size("pred")), F.max(F.size("pred"))
+    if on_rows:
+        least, most = (x.over(W.partitionBy(*keys)) for x in (least, most))
+        return df.withColumns({"__least": least, "n_pred_annotators": most}).withColumn(
+            "n_pred_annotators", F.when(F.col("__least") == F.col("n_pred_annotators"), F.col("n_pred_annotators"))
+        ).drop("__least")
+    return df.groupBy(*keys).agg(F.when(least == most, most).alias("n_pred_annotators"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dissensus.functions import text
+from dissensus.operators import ordering
 from dissensus.schemas import ITEM
 
 # Fixed value: what an annotator without metadata gets.
@@ -90,10 +91,17 @@ def fewshot_with_solutions(examples: DataFrame, solutions: DataFrame) -> DataFra
     return joined
 
 
-def in_item_order(preds: DataFrame, items: DataFrame, order_col: str = "ord") -> DataFrame:
-    """Predictions for every item, in the order of the items; null where one lacks."""
+def in_item_order(
+    preds: DataFrame, items: DataFrame, order_col: str = "ord", n: int | None = None
+) -> DataFrame:
+    """Predictions for every item, in the order of the items; null where one lacks.
+
+    ``n`` says that the order is 0..n-1: then no sample of the joined rows is taken for it.
+    """
     keys = [c for c in ITEM if c in preds.columns]
-    return items.select(*keys, order_col).join(preds, keys, "left").orderBy(order_col)
+    joined = items.select(*keys, order_col).join(preds, ordering.numbers_first(items, keys), "left")
+    joined = joined.select(*keys, order_col, *[c for c in preds.columns if c not in keys])
+    return joined.orderBy(order_col) if n is None else ordering.in_places(joined, order_col, n)
 
 
 def labels_in_annotator_order(preds: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +44,16 @@ def group_stats(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
     return sizes, stats["n"] or 0, stats["largest"] or 0
 
 
+# Buckets that keys are counted in; a task gives out no more counts than that.
+BUCKETS = 8192
+
+
+def bucket_stats(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """The number of rows, and that of the fullest bucket of keys, which no group is above."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("__bucket")
+    return group_stats(df.select(bucket), ["__bucket"])[1:]
+
+
 def large_groups(
     df: DataFrame, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT, bound: DataFrame | None = None
 ) -> tuple[DataFrame, int] | None:
@@ -56,7 +66,7 @@ def large_groups(
     """
     if bound is not None:
         shared = [k for k in keys if k in bound.columns]
-        if group_stats(bound, shared)[2] <= limit.rows:
+        if shared and bucket_stats(bound, shared)[1] <= limit.rows or group_stats(bound, shared)[2] <= limit.rows:
             return None
     sizes, n, largest = group_stats(df, keys)
     size = int(max(limit.rows, limit.share * n))
@@ -68,7 +78,11 @@ def rows_if_small(bound: DataFrame | None, keys: list[str], limit: SizeLimit = D
     else None. ``bound`` is explained at ``large_groups``; without it nothing is counted."""
     if bound is None:
         return None
-    _, n, largest = group_stats(bound, [k for k in keys if k in bound.columns])
+    shared = [k for k in keys if k in bound.columns]
+    n, most = bucket_stats(bound, shared) if shared else (0, limit.rows + 1)
+    if most <= limit.rows:
+        return n
+    _, n, largest = group_stats(bound, shared)
     return n if largest <= max(limit.rows, limit.share * n) else None
 
 
@@ -76,20 +90,44 @@ def rows_if_small(bound: DataFrame | None, keys: list[str], limit: SizeLimit = D
 TASK_ROWS = 1_000_000
 
 
-def together(df: DataFrame, keys: list[str], copies: int = 1, limit: SizeLimit = DEFAULT_LIMIT) -> DataFrame:
+def n_tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows; as many as other exchanges have, or a join would deal them anew."""
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-rows // TASK_ROWS))
+
+
+def together(
+    df: DataFrame,
+    keys: list[str],
+    copies: int = 1,
+    limit: SizeLimit = DEFAULT_LIMIT,
+    bound: DataFrame | None = None,
+) -> DataFrame:
     """The rows dealt to tasks by ``keys``, so that all that follows by these and further
     keys needs no other exchange; as they are where a group is large.
 
     The number of tasks follows from that of the rows, each of which turns into
-    ``copies`` later on.
+    ``copies`` later on. ``bound`` is explained at ``large_groups``.
     """
-    n = rows_if_small(df.select(*keys), keys, limit)
-    if n is None:
-        return df
-    spark = df.sparkSession
-    # With fewer partitions than other exchanges have, a join would deal the rows anew.
-    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(max(least, -(-n * copies // TASK_ROWS)), *keys)
+    n = rows_if_small(df.select(*keys) if bound is None else bound.select(*keys), keys, limit)
+    return df if n is None else df.repartition(n_tasks(df.sparkSession, n * copies), *keys)
+
+
+def numbers_first(df: DataFrame, keys: list[str]) -> list[str]:
+    """The keys with numbers before texts: a sort looks at the first bytes of the first
+    key, and only where they are equal at the rows, as it is for a text of few values."""
+    kinds = dict(df.dtypes)
+    return sorted(keys, key=lambda k: kinds[k] == "string")
+
+
+def in_places(df: DataFrame, place: str, n: int) -> DataFrame:
+    """The rows sorted by their place among 0..n-1, in ranges known without a sample."""
+    parts = min(n_tasks(df.sparkSession, n), 1 + n // PLACES)
+    return df.repartitionById(parts, F.expr(f"CAST({place} * {parts} DIV {n + 1} AS INT)")).sortWithinPartitions(place)
+
+
+# Places that make up a range at least.
+PLACES = 10_000
 
 
 def range_bounds(df: DataFrame, keys: list[str], order: Column, large: DataFrame, size: int) -> DataFrame:

@@ -115,12 +115,13 @@ def personas(rows: DataFrame, include_none: bool = False) -> DataFrame:
     return rows.withColumn("persona", F.explode(F.array(*choices)))
 
 
-def item_order(items: DataFrame) -> DataFrame:
+def item_order(items: DataFrame, kept: bool = False) -> DataFrame:
     """Items with a position column for ordered output.
 
-    They are written first, as sizes, bounds and places are read from them one by one.
+    They are written first, unless they are ``kept`` already, as sizes, bounds and places
+    are read from them one by one.
     """
-    items = written(items, "items")
+    items = items if kept else written(items, "items")
     return ordering.running_total(items, [], [F.col(c) for c in ITEM], name="ord")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dissensus.functions import rng
@@ -35,9 +36,14 @@ def earliest(df: DataFrame, keys: list[str], time: str = "timestamp", tie: list[
     return ordering.first_rows(df, keys, [F.col(time).asc_nulls_last(), *tie])
 
 
-def first_per_item(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The first run of each item."""
-    return ordering.first_rows(df, keys or ["dataset_idx"], tie_keys(df))
+def first_per_item(df: DataFrame, keys: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """The first run of each item: a row of it, or the ``whole`` of its rows."""
+    keys = keys or ["dataset_idx"]
+    if not whole:
+        return ordering.first_rows(df, keys, tie_keys(df))
+    # A rank is trimmed on the map side as row numbers are.
+    rank = F.rank().over(W.partitionBy(*keys).orderBy(*tie_keys(df)))
+    return df.withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
 
 
 def extremes(df: DataFrame, keys: list[str], score: str, tie: list[Column]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissensus import registry
-from dissensus.operators import cleaning, distributions, joins, reshape, selection, votes
-from dissensus.schemas import ANSWER, ITEM
+from dissensus.operators import cleaning, distributions, joins, ordering, reshape, selection, votes
+from dissensus.schemas import ITEM
+from dissensus.session import written
 from dissensus.sources import submissions
 
 
@@ -21,7 +22,10 @@ def ready_answers(raw: DataFrame, task: str, order: list[Column] | None = None)
     if order is None:
         order = [F.col(c).asc_nulls_last() for c in ("timestamp",) if c in preds.columns]
         order.append(F.xxhash64("response"))
-    return cleaning.distinct_answers(preds, [*ANSWER, "category"], order)
+    # An answer has a row for each of its categories, of which there are few.
+    keys = ordering.numbers_first(preds, ITEM)
+    preds = ordering.together(preds, keys, bound=raw)
+    return cleaning.distinct_answers(preds, [*keys, "run_idx", "category"], order)
 
 
 def soft_label_table(raw: DataFrame, items: DataFrame, order: list[Column] | None = None) -> DataFrame:
@@ -37,14 +41,17 @@ def perspectivist_table(
 ) -> DataFrame:
     """First fitting answer of every item in item order, checked, as text."""
     preds = ready_answers(raw, cleaning.PERSPECTIVIST, order)
-    sizes = items.select(*ITEM, F.size("annotator_ids").alias("n_annotators"))
-    counted = preds.join(
-        cleaning.annotator_count(preds, [*ITEM, "run_idx"]), [*ITEM, "run_idx"]
-    ).join(sizes, ITEM)
-    fitting = counted.where(F.col("n_pred_annotators") == F.col("n_annotators"))
-    first = selection.first_per_item(fitting.select(*ITEM, "run_idx").distinct(), ITEM)
-    chosen = fitting.join(first, [*ITEM, "run_idx"], "left_semi").select(*ITEM, "category", "pred")
-    return in_order(submissions.as_text(chosen), items)
+    keys = ordering.numbers_first(preds, ITEM)
+    kept = [c for c in (*ITEM, "ord") if c in items.columns]
+    items = written(items.select(*kept, F.size("annotator_ids").alias("n_annotators")), "items")
+    # What follows is by item, and by run within it: no row is dealt to another task.
+    counted = cleaning.annotator_count(preds.where(F.col("run_idx").isNotNull()), [*keys, "run_idx"], on_rows=True)
+    # A difference, as two equal columns would be one more key of the join.
+    fitting = counted.join(items.select(*ITEM, "n_annotators"), keys).where(
+        F.col("n_pred_annotators") - F.col("n_annotators") == 0
+    )
+    chosen = selection.first_per_item(fitting, keys, whole=True).select(*ITEM, "category", "pred")
+    return in_order(submissions.as_text(chosen), items, kept=True)
 
 
 def label_table(preds: DataFrame, items: DataFrame, task: str) -> DataFrame:
@@ -59,10 +66,12 @@ def label_table(preds: DataFrame, items: DataFrame, task: str) -> DataFrame:
     return in_order(submissions.as_text(reduced), items).where(F.col("pred").isNotNull())
 
 
-def in_order(preds: DataFrame, items: DataFrame) -> DataFrame:
-    if "ord" not in items.columns:
-        items = reshape.item_order(items)
-    return joins.in_item_order(preds, items)
+def in_order(preds: DataFrame, items: DataFrame, kept: bool = False) -> DataFrame:
+    """Predictions in item order; items that are not ``kept`` are written for it."""
+    if "ord" in items.columns:
+        return joins.in_item_order(preds, items)
+    items = items if kept else written(items.select(*ITEM), "items")
+    return joins.in_item_order(preds, reshape.item_order(items, kept=True), n=items.count())
 
 
 def write_all(tables: dict[tuple[str, str], DataFrame], folder: str) -> list[str]:

@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dissensus import registry, schemas
 from dissensus.functions import vectors
-from dissensus.operators import cleaning
+from dissensus.operators import cleaning, ordering
 from dissensus.operators.joins import RowCountError
 from dissensus.schemas import ITEM
 
@@ -78,9 +79,14 @@ def as_text(df: DataFrame) -> DataFrame:
     order = registry.lookup(
         F.col("category"), {c: i for i, c in enumerate(registry.SUBMISSION_CATEGORIES)}, F.lit(0)
     )
-    lists = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), "category", "pred"))).alias("__l")
-    )
+    # A window, as a hash table of lists turns into a sort of its own soon.
+    group = W.partitionBy(*ordering.numbers_first(df, keys))
+    entry = F.struct(order.alias("o"), "category", "pred")
+    lists = df.select(
+        *keys,
+        F.array_sort(F.collect_list(entry).over(group)).alias("__l"),
+        F.row_number().over(group.orderBy(F.lit(0))).alias("__rn"),
+    ).where(F.col("__rn") == 1)
     single = (F.size("__l") == 1) & (F.col("__l")[0]["category"] == "")
     text = F.when(single, F.to_json(F.col("__l")[0]["pred"])).otherwise(
         F.to_json(F.transform("__l", lambda x: x["pred"]))
