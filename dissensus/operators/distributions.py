@@ -130,14 +130,16 @@ def smoothed(df: DataFrame) -> DataFrame:
     return df.withColumn("pred", vectors.smoothed(F.col("pred")))
 
 
-def smoothed_metrics(df: DataFrame, items: DataFrame) -> DataFrame:
-    """Metrics of the smoothed predictions; one that is no distribution raises."""
+def smoothed_metrics(df: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Metrics of the smoothed predictions; one that is no distribution raises.
+
+    Without ``items`` the predictions are joined to their items already.
+    """
     checked = F.when(vectors.sums_to_one(F.col("pred")), F.col("pred")).otherwise(
         F.raise_error(F.lit("smoothed prediction does not sum to 1")).cast("array<double>")
     )
-    return metrics.with_soft_metrics(
-        joins.join_items(smoothed(df).withColumn("pred", checked), items)
-    )
+    df = smoothed(df).withColumn("pred", checked)
+    return metrics.with_soft_metrics(df if items is None else joins.join_items(df, items))
 
 
 def dataset_mean(items: DataFrame) -> DataFrame:

@@ -29,7 +29,19 @@ def shared_keys(left: DataFrame, right: DataFrame) -> list[str]:
 
 def join_items(answers: DataFrame, items: DataFrame) -> DataFrame:
     """Answers with their item, over the key columns both sides have."""
-    return answers.join(items, shared_keys(answers, items), "inner")
+    keys = shared_keys(answers, items)
+    joined = answers.join(items, item_keys(answers, items), "inner")
+    return joined.select(*keys, *[c for c in joined.columns if c not in keys])
+
+
+def item_keys(answers: DataFrame, items: DataFrame) -> list[str]:
+    """The keys of ``join_items``, in the order that the merge sorts by.
+
+    Without the number of classes, items that were aggregated lie in the tasks of the
+    join already if the keys are in their usual order.
+    """
+    keys = shared_keys(answers, items)
+    return ordering.numbers_first(answers, keys) if "n_classes" in keys else keys
 
 
 def items_in_use(items: DataFrame, answers: DataFrame) -> DataFrame:

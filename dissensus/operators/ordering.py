@@ -45,7 +45,7 @@ def group_stats(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
 
 
 # Buckets that keys are counted in; a task gives out no more counts than that.
-BUCKETS = 8192
+BUCKETS = 65536
 
 
 def bucket_stats(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -114,10 +114,10 @@ def together(
 
 
 def numbers_first(df: DataFrame, keys: list[str]) -> list[str]:
-    """The keys with numbers before texts: a sort looks at the first bytes of the first
-    key, and only where they are equal at the rows, as it is for a text of few values."""
+    """The keys with numbers, long ones first, before texts: a sort looks at the first bytes
+    of the first key, and where they are equal at the rows, as often for a text of few values."""
     kinds = dict(df.dtypes)
-    return sorted(keys, key=lambda k: kinds[k] == "string")
+    return sorted(keys, key=lambda k: {"bigint": 0, "string": 2}.get(kinds[k], 1))
 
 
 def in_places(df: DataFrame, place: str, n: int) -> DataFrame:
@@ -250,12 +250,17 @@ def first_rows(
     order: list[Column],
     n: int = 1,
     limit: SizeLimit = DEFAULT_LIMIT,
+    mark: str | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each group.
 
     For small ``n`` every map task keeps only its own first rows of a group, so a
-    large group does not reach one task whole.
+    large group does not reach one task whole. ``mark`` keeps all rows and names a
+    column that tells the first ones; then groups must be small, as in ``together``.
     """
+    if mark is not None:
+        place = F.row_number().over(W.partitionBy(*numbers_first(df, keys)).orderBy(*order))
+        return df.withColumn(mark, place <= n)
     if n >= GROUP_LIMIT_ROWS or not keys:
         out = ranked(df, keys, order, "__rn", limit)
     else:

@@ -18,6 +18,7 @@ from dissensus.operators import (
     votes,
 )
 from dissensus.schemas import EXAMPLE, ITEM
+from dissensus.session import written
 
 
 def answers_with_metrics(
@@ -43,38 +44,74 @@ def soft_baselines(
     """Mean distance and entropy of every way to reduce the answers of an item.
 
     ``preds`` are cleaned predictions, ``items`` have targets in rows of categories.
-    ``tie`` orders answers of one run that are equally good.
+    ``tie`` orders answers of one run that are equally good. Items are written once. Where
+    no item has too many answers for a task, all methods that take the answers as they are
+    go over them in one pass, sorted by item.
     """
+    by = by or ["dataset"]
+    items = written(items, "items")
+    keys = joins.item_keys(preds, items)
+    n = None if "category" in preds.columns else ordering.rows_if_small(preds.select(*keys), keys)
+    small = n is not None
+    if small:
+        preds = preds.repartition(ordering.n_tasks(preds.sparkSession, n), *keys)
     joined = metrics.with_soft_metrics(joins.join_items(preds, items))
+    cols = ["ws_loss", "pred_entropy"]
     methods = {
-        "Simple Sampling": joined,
         "Model Averaging": distributions.model_average_metrics(preds, items),
-        "Smoothing": distributions.smoothed_metrics(preds, items),
-        "BoN Oracle": best_answers(joined, "ws_loss", tie),
         "Most Frequent": distributions.dataset_mean_metrics(items),
         "Uniform": metrics.uniform_baseline(items),
     }
-    keys = ["method", *(by or ["dataset"])]
-    cols = [*(by or ["dataset"]), "ws_loss", "pred_entropy"]
-    return (
-        reshape.named({k: v.select(*cols) for k, v in methods.items()}, "method")
-        .groupBy(*keys)
-        .agg(F.avg("ws_loss").alias("ws_loss"), F.avg("pred_entropy").alias("pred_entropy"))
+    if not small:
+        methods |= {
+            "Simple Sampling": joined,
+            "Smoothing": distributions.smoothed_metrics(preds, items),
+            "BoN Oracle": best_answers(joined, "ws_loss", tie),
+        }
+    means = lambda df: df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
+    found = reshape.named({k: means(v) for k, v in methods.items()}, "method").select("method", *by, *cols)
+    return found.unionByName(means_in_one_pass(joined, by, cols, tie)) if small else found
+
+
+def means_in_one_pass(joined: DataFrame, by: list[str], cols: list[str], tie: list[Column] | None) -> DataFrame:
+    """Mean metrics of all answers, of their smoothed form, and of each item's best one."""
+    marked = best_answers(joined, "ws_loss", tie, mark="__best")
+    renamed = marked.withColumnsRenamed({c: f"__own_{c}" for c in cols})
+    both = distributions.smoothed_metrics(renamed)
+    of = {
+        "Simple Sampling": {c: F.col(f"__own_{c}") for c in cols},
+        "Smoothing": {c: F.col(c) for c in cols},
+        "BoN Oracle": {c: F.when(F.col("__best"), F.col(f"__own_{c}")) for c in cols},
+    }
+    means = both.groupBy(*by).agg(
+        F.max("__best").alias("__best"),
+        *[F.avg(x).alias(f"__{i}_{c}") for i, parts in enumerate(of.values()) for c, x in parts.items()],
     )
+    rows = [F.struct(F.lit(name).alias("method"), *[F.col(f"__{i}_{c}").alias(c) for c in cols]) for i, name in enumerate(of)]
+    # A group without a known metric has no best answer.
+    some = F.when(F.col("__best"), F.array(*rows)).otherwise(F.array(*rows[:2]))
+    return means.select(*by, F.inline(some)).select("method", *by, *cols)
 
 
-def best_answers(joined: DataFrame, metric: str, tie: list[Column] | None = None) -> DataFrame:
+def best_answers(
+    joined: DataFrame, metric: str, tie: list[Column] | None = None, mark: str | None = None
+) -> DataFrame:
     """Best answer of each item, judged by the mean over its categories.
 
     Metrics that agree in nine decimals are equal; ties go to the first run, and
-    then by the order ``tie``.
+    then by the order ``tie``. ``mark`` keeps all answers, which have no categories
+    then, and names a column that tells the best ones.
     """
     keys = [c for c in EXAMPLE if c in joined.columns]
     if "category" in joined.columns:
         cols = [c for c in ("ws_loss", "pred_entropy", "avg_abs_dist") if c in joined.columns]
         joined = metrics.per_answer(joined, [*keys, "run_idx"], cols)
-    known = joined.where(F.col(metric).isNotNull())
-    return ordering.first_rows(known, keys, [F.round(metric, 9), *selection.tie_keys(joined), *(tie or [])])
+    order = [F.round(metric, 9), *selection.tie_keys(joined), *(tie or [])]
+    if mark is not None:
+        order[0] = order[0].asc_nulls_last()
+        marked = ordering.first_rows(joined, keys, order, mark=mark)
+        return marked.withColumn(mark, F.col(mark) & F.col(metric).isNotNull())
+    return ordering.first_rows(joined.where(F.col(metric).isNotNull()), keys, order)
 
 
 def label_baselines(preds: DataFrame, items: DataFrame) -> DataFrame:
