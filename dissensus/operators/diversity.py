@@ -25,10 +25,15 @@ def pairwise_wasserstein(
     ``c`` copies, ``b`` values before it and ``n`` in all counts
     ``c * (2b + c - n)`` times. No pair is formed, and equal values are counted
     before they are sorted. Where no group is large its vectors meet in one task before
-    they are taken apart, so that neither points nor counts are shuffled.
+    they are taken apart, so that neither points nor counts are shuffled. Where all are
+    small, a group's vectors are a list and its points are sorted in place.
     """
     keys = keys or ITEM
-    df = ordering.together(df.select(*keys, "pred"), keys, registry.MAX_CLASSES, limit)
+    df = df.select(*keys, "pred")
+    n, most = ordering.most_rows(df.select(*keys), keys, LIST_ROWS)
+    if most <= min(LIST_ROWS, limit.rows):
+        return listed_wasserstein(df.repartition(ordering.n_tasks(df.sparkSession, n), *keys), keys)
+    df = ordering.together(df, keys, registry.MAX_CLASSES, limit)
     points = df.select(*keys, F.posexplode(vectors.cumulative(F.col("pred"))).alias("class", "v"))
     counts = points.groupBy(*keys, "class", "v").agg(F.count(F.lit(1)).alias("c"))
     placed = ordering.running_total(
@@ -45,6 +50,38 @@ def pairwise_wasserstein(
     )
 
 
+# Vectors of a group that are held as a list.
+LIST_ROWS = 10_000
+
+
+def listed_wasserstein(df: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``pairwise_wasserstein``, from a list of each group's vectors.
+
+    Of ``n`` sorted values the one with ``b`` before it counts ``2b + 1 - n`` times.
+    """
+    # Without a filter on rows, which would compute each vector once more below the shuffle.
+    vector = F.when(F.size("pred") > 0, F.col("pred"))
+    lists = df.groupBy(*keys).agg(F.collect_list(vector).alias("__all")).where(F.size("__all") > 0)
+    # Sorted nulls first, as a window does; they count in n alone.
+    value = """
+        transform(sequence(0, array_max(transform(__vs, v -> size(v))) - 1), k ->
+          transform(array(array_sort(
+              transform(filter(__vs, v -> size(v) > k), v -> v[k]),
+              (x, y) -> CASE WHEN x IS NULL AND y IS NULL THEN 0 WHEN x IS NULL THEN -1 WHEN y IS NULL THEN 1
+                             WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END)),
+            s -> struct(
+              aggregate(transform(s, (x, b) -> x * (2 * b + 1 - size(s))), CAST(NULL AS DOUBLE),
+                        (a, x) -> if(x IS NULL, a, coalesce(a, 0D) + x)) AS d,
+              CAST(size(s) AS DOUBLE) * (size(s) - 1) / 2 AS pairs))[0])"""
+    sums = "aggregate(__per_class, CAST(NULL AS DOUBLE), (a, t) -> if(t.d IS NULL, a, coalesce(a, 0D) + t.d))"
+    mean = f"coalesce(try_divide({sums}, array_max(transform(__per_class, t -> t.pairs))), 0D)"
+    several = lists.withColumn("__vs", F.when(F.size("__all") > 1, F.transform("__all", vectors.cumulative)))
+    per_class = several.withColumn("__per_class", F.when(F.col("__vs").isNotNull(), F.expr(value)))
+    # One vector has no pair.
+    distance = F.when(F.col("__vs").isNull(), F.lit(0.0)).otherwise(F.expr(mean))
+    return per_class.select(*keys, distance.alias("avg_pairwise_ws_loss"))
+
+
 def quintile(value: Column, edges: list[Column]) -> Column:
     """Q1..Q5 by the four inner edges; each bin includes its upper edge. Null without edges."""
     tag = F.when(value <= edges[0], "Q1")
@@ -110,13 +147,16 @@ def improvements(
     answers take part in one join only.
     """
     keys = keys or ITEM
+    # Merges sort by the keys in this order.
+    by = ordering.numbers_first(answers, keys)
     per_item = (
         diversity.select(*keys, "diversity")
-        .join(average.select(*keys, F.col("ws_loss").alias("__avg")), keys, "left")
-        .join(best.select(*keys, F.col("ws_loss").alias("__best")), keys, "left")
+        .join(average.select(*keys, F.col("ws_loss").alias("__avg")), by, "left")
+        .join(best.select(*keys, F.col("ws_loss").alias("__best")), by, "left")
     )
+    joined = answers.join(per_item, by, "left")
     return (
-        answers.join(per_item, keys, "left")
+        joined.select(*keys, *[c for c in joined.columns if c not in keys])
         .withColumns(
             {
                 "model_avg_improvement": F.col("ws_loss") - F.col("__avg"),

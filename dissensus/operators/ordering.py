@@ -54,6 +54,12 @@ def bucket_stats(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return group_stats(df.select(bucket), ["__bucket"])[1:]
 
 
+def most_rows(df: DataFrame, keys: list[str], enough: int) -> tuple[int, int]:
+    """The number of rows, and a bound of the largest group's; exact where it is above ``enough``."""
+    n, most = bucket_stats(df, keys) if keys else (0, enough + 1)
+    return (n, most) if most <= enough else group_stats(df, keys)[1:]
+
+
 def large_groups(
     df: DataFrame, keys: list[str], limit: SizeLimit = DEFAULT_LIMIT, bound: DataFrame | None = None
 ) -> tuple[DataFrame, int] | None:
@@ -66,7 +72,7 @@ def large_groups(
     """
     if bound is not None:
         shared = [k for k in keys if k in bound.columns]
-        if shared and bucket_stats(bound, shared)[1] <= limit.rows or group_stats(bound, shared)[2] <= limit.rows:
+        if most_rows(bound, shared, limit.rows)[1] <= limit.rows:
             return None
     sizes, n, largest = group_stats(df, keys)
     size = int(max(limit.rows, limit.share * n))
@@ -78,12 +84,8 @@ def rows_if_small(bound: DataFrame | None, keys: list[str], limit: SizeLimit = D
     else None. ``bound`` is explained at ``large_groups``; without it nothing is counted."""
     if bound is None:
         return None
-    shared = [k for k in keys if k in bound.columns]
-    n, most = bucket_stats(bound, shared) if shared else (0, limit.rows + 1)
-    if most <= limit.rows:
-        return n
-    _, n, largest = group_stats(bound, shared)
-    return n if largest <= max(limit.rows, limit.share * n) else None
+    n, most = most_rows(bound, [k for k in keys if k in bound.columns], limit.rows)
+    return n if most <= max(limit.rows, limit.share * n) else None
 
 
 # Rows that a task sorts or groups in memory when groups are dealt to tasks.

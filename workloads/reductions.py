@@ -516,6 +516,16 @@ def _(t):
 def _(t):
     value = written(t.spread.withColumn("avg_pairwise_ws_loss", F.round("avg_pairwise_ws_loss", 9)), "spread")
     tagged = diversity.with_quintile(value, by=["dataset"])
+    # Targets and distances are read several times; answers meet their item in one task.
+    t.made["targets"] = written(t.targets, "targets")
+    keys = joins.item_keys(t.soft, t.targets)
+    n = ordering.rows_if_small(t.labelled, keys)
+    if n is not None:
+        t.made["soft"] = t.soft.repartition(ordering.n_tasks(t.spark, n), *keys)
+        scored = t.scored.select(*keys, "run_idx", "rid", "ws_loss")
+        order = [F.round("ws_loss", 9), F.col("run_idx"), F.col("rid")]
+        marked = written(ordering.first_rows(scored, keys, order, mark="is_best").drop("run_idx", "rid"), "scored")
+        t.made["scored"], t.made["best"] = marked, marked.where("is_best")
     gains = diversity.improvements(t.scored, t.averaged_scored, t.best, tagged)
     out = diversity.captured_fraction(gains, ["dataset", "diversity"])
     tiny = F.abs("oracle_improvement") < 1e-9
